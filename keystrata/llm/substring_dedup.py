@@ -8,8 +8,7 @@
 2. Dictionary. The phrases of repeated triggers are cut out of the text; equal phrases are one dictionary
    entry with the smallest document that has it (an aggregation that combines before the exchange).
 3. Suffix array. In each shard of the dictionary (all the phrases of a trigger are in the same one) a
-   suffix array of the phrases, ordered by prefix doubling up to the 50-byte horizon, puts equal strings
-   next to each other. Phrases overlap their successors by 49 bytes, so the order of the parse behind a
+   suffix array of the phrases, ordered up to the 50-byte horizon, puts equal strings next to each other. Phrases overlap their successors by 49 bytes, so the order of the parse behind a
    phrase never decides within the horizon, and the order of the dictionary's suffixes with the list of
    each phrase's occurrences in the parse is the corpus order. Each group of equal prefixes gets its
    smallest document.
@@ -25,18 +24,20 @@ after all others; rows of the same doc_id don't remove from each other.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, mix64, release, text_slices
 
 LENGTH, WINDOW = 50, 24
-SPAN = LENGTH - WINDOW + 1
+SPAN, SIDE = LENGTH - WINDOW + 1, (LENGTH - WINDOW) // 2
 #: Text in a slice, text bytes per bucket of triggers, and phrases of one trigger in a shard.
 SLICE_BYTES, BUCKET_BYTES, SHARD_PHRASES = 2 << 20, 16 << 20, 2048
 LAST = (1 << 63) - 1
@@ -47,8 +48,8 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
 
-def window_hashes(b: np.ndarray) -> np.ndarray:
-    """The hash of the WINDOW bytes from each position."""
+def window_hashes(b: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The hash of the WINDOW bytes from each position, and the rolling hashes of 1, 2, 4, 8 and 16 bytes."""
     h = b.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
         parts = {1: h}
@@ -56,16 +57,24 @@ def window_hashes(b: np.ndarray) -> np.ndarray:
             x = parts[n]
             parts[2 * n] = x[:-n] * _power(n) + x[n:] if len(x) > n else x[:0]
         n = len(b) - WINDOW + 1
-        return mix64(parts[16][:n] * _power(8) + parts[8][16 : 16 + n]) if n > 0 else parts[16][:0]
+        return (mix64(parts[16][:n] * _power(8) + parts[8][16 : 16 + n]) if n > 0 else parts[16][:0]), parts
 
 
-def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts) of each phrase of concatenated texts; doc numbers each byte's text."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _side(parts: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Eight bits of the hash of the SIDE = 8 + 4 + 1 bytes from each position; any value outside the text."""
+    take = lambda n, at: parts[n][np.clip(at, 0, len(parts[n]) - 1)]
+    with np.errstate(over="ignore"):
+        return mix64(take(8, at) * _power(5) + take(4, at + 8) * _power(1) + take(1, at + 12)) & np.uint64(0xFF)
+
+
+def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, sides, first start, number of starts) of each phrase of concatenated texts; doc numbers each
+    byte's text. sides: eight bits each for the SIDE bytes left and right of the trigger."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(b) - LENGTH + 1
     if n <= 0:
         return none
-    h = window_hashes(b)
+    h, parts = window_hashes(b)
     bits = np.uint64(max(1, int(len(b) - 1).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -81,39 +90,44 @@ def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(starts):
         return none
     number = np.cumsum(first)[valid] - 1
-    return h[at[starts]], starts, np.bincount(number, minlength=len(starts))
+    where = at[starts]
+    sides = _side(parts, where - SIDE) << np.uint64(8) | _side(parts, where + WINDOW)
+    return h[where], sides, starts, np.bincount(number, minlength=len(starts))
 
 
-def _slice_phrases(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash, start in the text, number of starts) of the phrases of some texts."""
+def _slice_phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, hash, sides, start in the text, number of starts) of the phrases of some texts."""
     out = []
     small = [i for i, t in enumerate(texts) if LENGTH <= len(t) <= SLICE_BYTES]
     if small:
         lens = np.array([len(texts[i]) for i in small])
         b = np.frombuffer(b"".join(texts[i] for i in small), np.uint8)
         doc = np.repeat(np.arange(len(small), dtype=np.int32), lens)
-        h, start, n = triggers(b, doc)
+        h, sides, start, n = triggers(b, doc)
         which = doc[start]
-        out.append((np.array(small)[which], h, start - (np.cumsum(lens) - lens)[which], n))
+        out.append((np.array(small)[which], h, sides, start - (np.cumsum(lens) - lens)[which], n))
     for i, t in enumerate(texts):
         for at in range(0, len(t) if len(t) > SLICE_BYTES else 0, SLICE_BYTES):
             b = np.frombuffer(t[at : at + SLICE_BYTES + LENGTH - 1], np.uint8)
-            h, start, n = triggers(b, np.zeros(len(b), np.int32))
-            out.append((np.full(len(h), i), h, start + at, n))
+            h, sides, start, n = triggers(b, np.zeros(len(b), np.int32))
+            out.append((np.full(len(h), i), h, sides, start + at, n))
     if not out:
-        out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ALONE, STANDS_FOR, KNOWN = 0, 1, 2
+#: Kinds of rows in the exchange. A trigger with its sides that two texts of a slice have is known to be
+#: repeated; one row stands for it. A trigger that many texts of a slice have is known whatever its sides.
+ALONE, STANDS_FOR, KNOWN, STANDS_FOR_ANY = 0, 1, 2, 3
+MANY = 64
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:
+def _pack(g: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:
+    """g: 48 bits of the trigger's hash and 16 of its sides. Rows of doc and rid are listed once."""
     rows, idx = np.unique(np.stack([doc, rid], axis=1), axis=0, return_inverse=True)
     idx = idx.ravel()
-    head = np.array([len(h), len(rows)], np.int64)
-    parts = [head, rows, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16), idx.astype(np.uint16), (idx >> 16).astype(np.uint8)]
-    parts += [(start & 0xFFFF).astype(np.uint16), (start >> 16).astype(np.uint32), (n + 32 * kind).astype(np.uint8)]
+    head = np.array([len(g), len(rows)], np.int64)
+    parts = [head, rows, g.astype(np.uint64), idx.astype(np.uint16), (idx >> 16).astype(np.uint8), (start & 0xFFFF).astype(np.uint16), (start >> 16).astype(np.uint32), (n + 32 * kind).astype(np.uint8)]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -128,14 +142,28 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         return out
 
     rows = take(np.int64, 2 * r).reshape(-1, 2)
-    h = take(np.uint32, n).astype(np.uint64)
-    h |= take(np.uint16, n).astype(np.uint64) << np.uint64(32)
+    g = take(np.uint64, n)
     idx = take(np.uint16, n).astype(np.int64)
     idx |= take(np.uint8, n).astype(np.int64) << 16
     start = take(np.uint16, n).astype(np.int64)
     start |= take(np.uint32, n).astype(np.int64) << 16
     meta = take(np.uint8, n).astype(np.int64)
-    return h, rows[idx, 0], rows[idx, 1], start, meta & 31, meta >> 5
+    return g, rows[idx, 0], rows[idx, 1], start, meta & 31, meta >> 5
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their lengths."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    cut = np.flatnonzero(new)
+    return cut, np.diff(np.append(cut, len(new)))
+
+
+def _several(rid: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Whether each run holds more than one text."""
+    return np.minimum.reduceat(rid, cut) < np.maximum.reduceat(rid, cut) if len(cut) else np.zeros(0, bool)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -146,30 +174,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
     def run(s: pa.RecordBatch) -> dict:
         texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in s.column("text").to_pylist()]
-        which, h, start, n = _slice_phrases(texts)
+        which, h, sides, start, n = _slice_phrases(texts)
         doc, rid = (s.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which] for c in ("doc", "rid"))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        h = h >> np.uint64(16)
-        order = np.lexsort((h, bucket))
-        h, doc, rid, start, n, bucket = (x[order] for x in (h, doc, rid, start, n, bucket))
-        kind = np.full(len(h), ALONE)
-        if len(h):
-            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]))
-            sizes = np.diff(np.append(cut, len(h)))
-            low, high = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
-            many = low < high
-            kind[np.repeat(many, sizes)] = KNOWN
-            reps = cut[many]
-            # One row stands for the trigger; the known ones only pass through, spread by document.
-            spread = (mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        g = (h >> np.uint64(16) << np.uint64(16)) | sides
+        order = np.lexsort((g, bucket))
+        g, doc, rid, start, n, bucket = (x[order] for x in (g, doc, rid, start, n, bucket))
+        kind = np.full(len(g), ALONE)
+        if len(g):
+            cut, sizes = _runs(g, bucket)
+            several = _several(rid, cut)
+            kind[np.repeat(several, sizes)] = KNOWN
+            wide, wide_sizes = _runs(g >> np.uint64(16), bucket)
+            hot = _several(rid, wide) & (wide_sizes > MANY)
+            kind[np.repeat(hot, wide_sizes)] = KNOWN
+            inside = np.repeat(hot, wide_sizes)[cut]
+            reps = np.concatenate([cut[several & ~inside], wide[hot]])
+            rep_kind = np.repeat([STANDS_FOR, STANDS_FOR_ANY], [int((several & ~inside).sum()), int(hot.sum())])
+            # Known rows only pass through, spread by their text; copies of a text stay together.
+            spread = (mix64(rid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             bucket = np.concatenate([np.where(kind == KNOWN, spread, bucket), bucket[reps]])
-            kind = np.concatenate([kind, np.full(len(reps), STANDS_FOR)])
-            h, doc, rid, start, n = (np.concatenate([x, x[reps]]) for x in (h, doc, rid, start, n))
+            kind = np.concatenate([kind, rep_kind])
+            g, doc, rid, start, n = (np.concatenate([x, x[reps]]) for x in (g, doc, rid, start, n))
             order = np.argsort(bucket, kind="stable")
-            h, doc, rid, start, n, kind, bucket = (x[order] for x in (h, doc, rid, start, n, kind, bucket))
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, int)
-        ends = np.append(cut[1:], len(h))
-        return {"bucket": bucket[cut], "blob": [_pack(h[a:b], doc[a:b], rid[a:b], start[a:b], n[a:b], kind[a:b]) for a, b in zip(cut, ends, strict=True)]}
+            g, doc, rid, start, n, kind, bucket = (x[order] for x in (g, doc, rid, start, n, kind, bucket))
+        cut, sizes = _runs(bucket)
+        return {"bucket": bucket[cut], "blob": [_pack(*(x[a : a + k] for x in (g, doc, rid, start, n, kind))) for a, k in zip(cut, sizes, strict=True)]}
 
     target = arrow_schema("bucket int, blob binary")
 
@@ -185,115 +215,188 @@ REPEATED = "doc long, rid long, h long, start long, n int"
 
 
 def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
-    """Phrases whose trigger at least two documents have."""
+    """Phrases that may hold a string which another text has too: their trigger is in both, and SIDE bytes to
+    its left or to its right are, as a common string has LENGTH - WINDOW = 2 SIDE bytes besides it. Of equal
+    texts in one bucket only the first document's stay."""
     schema = arrow_schema(REPEATED)
 
     def run(batches):
-        for g in grouped(batches, ["bucket"]):
-            bucket = g.column("bucket")[0].as_py()
-            h, doc, rid, start, n, kind = (np.concatenate(x) for x in zip(*map(_unpack, g.column("blob").to_pylist()), strict=True))
+        for group in grouped(batches, ["bucket"]):
+            g, doc, rid, start, n, kind = (np.concatenate(x) for x in zip(*map(_unpack, group.column("blob").to_pylist()), strict=True))
             take = kind == KNOWN
-            order = np.flatnonzero(~take)
-            if len(order):
-                order = order[np.argsort(h[order], kind="stable")]
-                hs, ds = h[order], doc[order]
-                cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-                many = np.minimum.reduceat(ds, cut) < np.maximum.reduceat(ds, cut)
-                many = np.repeat(many, np.diff(np.append(cut, len(hs))))
-                take[order[many & (kind[order] == ALONE)]] = True
+            rest = np.flatnonzero(~take)
+            h = g >> np.uint64(16)
+            for key in (g >> np.uint64(8), (h << np.uint64(8)) | (g & np.uint64(0xFF))):
+                order = rest[np.argsort(key[rest], kind="stable")]
+                cut, sizes = _runs(key[order])
+                take[order[np.repeat(_several(rid[order], cut), sizes)]] = True
+            anywhere = np.unique(h[kind == STANDS_FOR_ANY])
+            take |= np.isin(h, anywhere)
+            take &= (kind == ALONE) | (kind == KNOWN)
             at = np.flatnonzero(take)
+            at = at[np.lexsort((doc[at], start[at], rid[at]))]
+            at = at[_runs(rid[at], start[at])[0]]
             for i in range(0, len(at), 100_000):
                 j = at[i : i + 100_000]
                 yield as_batch(schema, {"doc": doc[j], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j]})
-            del bucket
 
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPEATED)
 
 
-PHRASE = "doc long, rid long, start long, h long, cid binary, phrase binary"
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(doc, rid) of the rows whose whole text a smaller document has, LENGTH bytes at least."""
+    ids = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("doc", "rid", F.xxhash64("text", F.lit(7)).alias("second"), F.octet_length("text").alias("size")))
+    first = materialize(ids.groupBy("rid", "second", "size").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    return materialize(ids.join(first, ["rid", "second", "size"]).where("doc > first").select("doc", "rid").distinct())
+
+
+PHRASE = "doc long, rid long, start long, n int, h long, c long, low long, phrase binary"
 
 
 def _phrases(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The phrases' text: one row for each occurrence of a repeated trigger."""
+    """One row for each occurrence of a phrase, which (h, c) names. Within a slice of documents its text is
+    given once, with the smallest document of the slice that has it."""
     lists = repeated.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n", "h")).alias("found"))
     joined = keyed.join(lists, ["doc", "rid"])
 
     def run(s: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc", "rid", "start", "h", "cid", "phrase")}
         lists = s.column("found")
         flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
         start, n, h = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        at = 0
-        for t, size in zip(s.column("text").to_pylist(), sizes, strict=True):
+        at, phrase = 0, []
+        for t, size in zip(s.column("text").to_pylist(), sizes.tolist(), strict=True):
             b = t.encode("utf-8", "surrogatepass")
-            out["phrase"] += [b[x : x + k] for x, k in zip(start[at : at + size].tolist(), (n[at : at + size] + LENGTH - 1).tolist(), strict=True)]
+            phrase += [b[x : x + k] for x, k in zip(start[at : at + size].tolist(), (n[at : at + size] + LENGTH - 1).tolist(), strict=True)]
             at += size
-        out["doc"], out["rid"] = (np.repeat(s.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc", "rid"))
-        out["start"], out["h"], out["cid"] = start, h, list(map(xxh3_128_digest, out["phrase"]))
-        return out
+        doc, rid = (np.repeat(s.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc", "rid"))
+        c = np.fromiter(map(xxh3_64_intdigest, phrase), np.uint64, len(phrase)).view(np.int64)
+        order = np.lexsort((doc, c))
+        cut, _ = _runs(c[order])
+        first = np.zeros(len(c), bool)
+        first[order[cut]] = True
+        return {"doc": doc, "rid": rid, "start": start, "n": n, "h": h, "c": c, "low": doc, "phrase": [p if x else None for p, x in zip(phrase, first.tolist(), strict=True)]}
 
     return map_text(joined.select("doc", "rid", "text", "found"), PHRASE, run)
 
 
 def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase number, offset, rank) of every suffix of LENGTH bytes at least; equal prefixes of LENGTH bytes
-    have equal ranks, and ranks follow the bytes' order. Prefix doubling: 8, 16, 32, then 50 bytes."""
+    """The suffix array of the phrases up to LENGTH bytes: (phrase number, suffix array, where its groups begin).
+
+    Suffixes of fewer bytes are left out; they are numbered phrase by phrase. The suffix array lists the
+    suffixes in the order of their first LENGTH bytes, a group is those with equal ones. Suffixes are
+    ranked by eight bytes, then by the rank so far and the next four."""
     lens = np.array([len(p) for p in phrases], np.int64)
-    b = np.frombuffer(b"".join(phrases) + bytes(LENGTH), np.uint8).astype(np.uint64)
-    total = int(lens.sum())
-    key = np.zeros(total + LENGTH - 8, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | b[i : i + len(key)]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    for step in (8, 16):
-        rank = np.unique((rank[:-step] << np.uint64(32)) | rank[step:], return_inverse=True)[1].astype(np.uint64)
+    b = np.frombuffer(b"".join(phrases), np.uint8).astype(np.uint64)
     counts = np.maximum(lens - LENGTH + 1, 0)
     which = np.repeat(np.arange(len(phrases)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.cumsum(lens) - lens)[which] + offset
-    # Bytes 0-31 and 18-49.
-    return which, offset, np.unique((rank[at] << np.uint64(32)) | rank[at + LENGTH - 32], return_inverse=True)[1]
+    if not len(which):
+        return which, which, which
+    four = np.zeros(len(b) - 3, np.uint64)
+    for i in range(4):
+        four = (four << np.uint64(8)) | b[i : i + len(four)]
+    at = np.arange(len(which)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(counts) - counts), counts)
+    rank = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))  # those that share their rank still
+    step, key = 4, four[at]
+    while True:
+        key = (key << np.uint64(32)) | four[at[live] + step]
+        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
+        # Ranks are the number of suffixes before, so that parts can be ranked apart.
+        base = np.cumsum(size) - size
+        old = rank[live]
+        rank[live] = old + base[inverse] - _first_of(old, base[inverse])
+        live = live[size[inverse] > 1]
+        if step == LENGTH - 4 or not len(live):
+            break
+        step = min(step + 4, LENGTH - 4)
+        key = rank[live].view(np.uint64)
+    order = np.argsort(rank, kind="stable")
+    return which, order, _runs(rank[order])[0]
+
+
+def _first_of(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The smallest new rank among those of equal old rank."""
+    order = np.argsort(old, kind="stable")
+    cut, sizes = _runs(old[order])
+    out = np.empty_like(new)
+    out[order] = np.repeat(np.minimum.reduceat(new[order], cut), sizes)
+    return out
+
+
+def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the phrases up to LENGTH bytes: (phrase number, suffix array, where its groups begin).
+
+    Suffixes of fewer bytes are left out; they are numbered phrase by phrase. The suffix array lists the
+    suffixes in the order of their first LENGTH bytes, a group is those with equal ones."""
+    lens = np.array([len(p) for p in phrases], np.int64)
+    b = np.frombuffer(b"".join(phrases), np.uint8).astype(np.uint64)
+    counts = np.maximum(lens - LENGTH + 1, 0)
+    which = np.repeat(np.arange(len(phrases)), counts)
+    if not len(which):
+        return which, which, which
+    eight = np.zeros(len(b) - 7, np.uint64)
+    for i in range(8):
+        eight = (eight << np.uint64(8)) | b[i : i + len(eight)]
+    at = np.arange(len(which)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(counts) - counts), counts)
+    keys = [eight[at + i] for i in (0, 8, 16, 24, 32, 40, LENGTH - 8)]
+    order = np.lexsort(keys[::-1])
+    return which, order, _runs(*(k[order] for k in keys))[0]
 
 
 def _smallest(dictionary: DataFrame) -> DataFrame:
-    """(cid, mins): for each string of a phrase, the smallest document that has it."""
-    counts = materialize(dictionary.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > SHARD_PHRASES).select("h", F.ceil(F.col("c") / SHARD_PHRASES).cast("int").alias("shards")))
+    """(h, c, lowest, highest, mins): for each string of a phrase the smallest document that has it, mins,
+    which is null where all are the same."""
+    counts = materialize(dictionary.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > SHARD_PHRASES).select("h", F.ceil(F.col("k") / SHARD_PHRASES).cast("int").alias("shards")))
     # The hot triggers have SHARD_PHRASES phrases each at least.
     dealt = dictionary.join(counts, "h", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")).repartition("h", "shard").sortWithinPartitions("h", "shard")
-    schema_text = "cid binary, merged boolean, mins array<long>, digests array<binary>"
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("c"), F.col("shards")).cast("int")).repartition("h", "shard").sortWithinPartitions("h", "shard")
+    schema_text = "h long, c long, merged boolean, lowest long, highest long, mins array<long>, digests array<binary>"
     schema = arrow_schema(schema_text)
 
-    def solve(rows: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(rows)
-        phrases, doc = t.column("phrase").to_pylist(), t.column("doc").to_numpy()
-        which, offset, rank = suffix_groups(phrases)
-        low = np.full(int(rank.max()) + 1 if len(rank) else 0, LAST)
-        np.minimum.at(low, rank, doc[which])
-        mins = low[rank]
-        ends = np.cumsum(np.maximum(np.array([len(p) for p in phrases]) - LENGTH + 1, 0))
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        phrases, doc = t.column("phrase").to_pylist(), t.column("low").to_numpy()
+        which, order, groups = suffix_groups(phrases)
+        mins = np.zeros(len(which), np.int64)
+        ranked = doc[which][order]
+        mins[order] = np.repeat(np.minimum.reduceat(ranked, groups), np.diff(np.append(groups, len(order))))
+        counts = np.array([len(p) for p in phrases]) - LENGTH + 1
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        lowest, highest = np.minimum.reduceat(mins, starts), np.maximum.reduceat(mins, starts)
         hot = t.column("shards").to_numpy() > 1
-        digests = [[xxh3_128_digest(p[i : i + LENGTH]) for i in range(len(p) - LENGTH + 1)] if x else None for p, x in zip(phrases, hot, strict=True)]
-        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([t.column("cid").combine_chunks().cast(pa.binary()), pa.array(~hot), pa.ListArray.from_arrays(offsets, pa.array(mins, pa.int64())), pa.array(digests, pa.list_(pa.binary()))], schema=schema)
+        varied = hot | (lowest < highest)
+        lists = [mins[a:e] if v else None for a, e, v in zip(starts.tolist(), ends.tolist(), varied.tolist(), strict=True)]
+        digests = [[xxh3_128_digest(p[i : i + LENGTH]) for i in range(len(p) - LENGTH + 1)] if x else None for p, x in zip(phrases, hot.tolist(), strict=True)]
+        return as_batch(schema, {"h": t.column("h").to_numpy(), "c": t.column("c").to_numpy(), "merged": ~hot, "lowest": lowest, "highest": highest, "mins": lists, "digests": digests})
 
     def run(batches):
-        held, size = [], 0
-        for g in grouped(batches, ["h", "shard"]):
-            held.append(g)
-            size += g.num_rows
-            if size > 20_000:
-                yield solve(held)
-                held, size = [], 0
-        if held:
-            yield solve(held)
-
-    solved = materialize(dealt.select("h", "shard", "shards", "cid", "phrase", "doc").mapInArrow(run, schema_text))
-    done = solved.where("merged").select("cid", "mins")
-    parts = materialize(solved.where("not merged").select("cid", F.posexplode(F.arrays_zip("mins", "digests")).alias("i", "x")).select("cid", "i", F.col("x.mins").alias("m"), F.col("x.digests").alias("digest")))
+        # Whole shards only, several at a time: different triggers have no strings in common.
+        held, size, last = [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, shard = (b.column(c).to_numpy() for c in ("h", "shard"))
+            cut, _ = _runs(h, shard)
+            at = 0
+            for x in cut.tolist():
+                if (size + x - at > 20_000) and (x > 0 or last != (h[0], shard[0])):
+                    held.append(b.slice(at, x - at))
+                    if size + x - at:
+                        yield solve([r for r in held if r.num_rows])
+                    held, size, at = [], 0, x
+            held.append(b.slice(at))
+            size += b.num_rows - at
+            last = h[-1], shard[-1]
+        if size:
+            yield solve([r for r in held if r.num_rows])
+
+    solved = materialize(dealt.select("h", "shard", "shards", "c", "phrase", "low").mapInArrow(run, schema_text))
+    names = ["h", "c", "lowest", "highest", "mins"]
+    parts = materialize(solved.where("not merged").select("h", "c", F.posexplode(F.arrays_zip("mins", "digests")).alias("i", "x")).select("h", "c", "i", F.col("x.mins").alias("m"), F.col("x.digests").alias("digest")))
     low = materialize(parts.groupBy("digest").agg(F.min("m").alias("low")))
-    hot = parts.join(low, "digest").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("l")).select("cid", F.col("l.low").alias("mins"))
-    return done.unionByName(hot)
+    hot = parts.join(low, "digest").groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("l"), F.min("low").alias("lowest"), F.max("low").alias("highest"))
+    return solved.where("merged").select(names).unionByName(hot.select("h", "c", "lowest", "highest", F.col("l.low").alias("mins")))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
@@ -315,29 +418,35 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, -(-total // BUCKET_BYTES))
     some = keyed.where("text is not null")
+    copies = _copies(some)
     repeated = materialize(_repeated(_trigger_rows(some, buckets), buckets))
     _collect_garbage(spark)
-    phrases = materialize(_phrases(some, repeated))
+    phrases = materialize(_phrases(some, repeated.join(copies, ["doc", "rid"], "left_anti")))
     release(repeated)
     _collect_garbage(spark)
-    dictionary = materialize(phrases.groupBy("h", "cid", "phrase").agg(F.min("doc").alias("doc")))
+    dictionary = materialize(phrases.where("phrase is not null").groupBy("h", "c", "phrase").agg(F.min("low").alias("low")))
     mins = materialize(_smallest(dictionary))
     release(dictionary)
-    flagged = phrases.select("doc", "rid", "start", "cid").join(mins, "cid").where(F.exists("mins", lambda m: m < F.col("doc")))
+    _collect_garbage(spark)
+    flagged = phrases.select("doc", "rid", "start", "n", "h", "c").join(mins, ["h", "c"]).where(F.col("lowest") < F.col("doc"))
     # Bit i: the string that starts i bytes on. A phrase has SPAN strings at most.
-    mask = F.aggregate(F.transform("mins", lambda m, i: F.when(m < F.col("doc"), F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-    found = materialize(flagged.select("doc", "rid", F.struct("start", mask.alias("mask")).alias("x")).groupBy("doc", "rid").agg(F.collect_set("x").alias("found")))
+    some_bits = F.aggregate(F.transform("mins", lambda m, i: F.when(m < F.col("doc"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a + b)
+    mask = F.when(F.col("highest") < F.col("doc"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1).otherwise(some_bits)
+    found = materialize(flagged.select("doc", "rid", (F.col("start") * (1 << SPAN) + mask).alias("x")).groupBy("doc", "rid").agg(F.collect_set("x").alias("found")))
     release(phrases, mins)
     _collect_garbage(spark)
-    joined = keyed.join(found, ["doc", "rid"], "left")
+    whole = copies.withColumn("copy", F.lit(True))
+    joined = keyed.join(found, ["doc", "rid"], "left").join(whole, ["doc", "rid"], "left")
 
     def run(s: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-        for t, found in zip(s.column("text").to_pylist(), s.column("found").to_pylist(), strict=True):
+        for t, found, copy in zip(s.column("text").to_pylist(), s.column("found").to_pylist(), s.column("copy").to_pylist(), strict=True):
             b = t.encode("utf-8", "surrogatepass") if t else b""
-            starts = np.array([x["start"] + i for x in found or () for i in range(SPAN) if x["mask"] >> i & 1], np.int64)
+            x = np.array(found or [], np.int64)[:, None]
+            bits = np.arange(SPAN)
+            starts = ((x >> SPAN) + bits)[(x >> bits & 1).astype(bool)]
             kept, last, removed = hashlib.sha256(), 0, 0
-            parts, spans = [], _spans(starts)
+            parts, spans = [], [(0, len(b))] if copy else _spans(starts)
             for a, e in spans:
                 parts.append(b[last:a])
                 removed, last = removed + e - a, e
@@ -348,13 +457,13 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 out[k].append(v)
         return out | {"doc_id": s.column("doc_id")}
 
-    result = map_text(joined.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text", "found"), RESULT, run)
+    result = map_text(joined.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text", "found", "copy"), RESULT, run)
     return result if with_text else result.drop("kept_text")
 
 
 def _collect_garbage(spark) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished steps now, not when the driver's heap fills up."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
