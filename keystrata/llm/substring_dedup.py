@@ -39,7 +39,7 @@ from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, mate
 LENGTH, WINDOW = 50, 24
 SPAN, SIDE = LENGTH - WINDOW + 1, (LENGTH - WINDOW) // 2
 #: Text in a slice, text bytes per bucket of triggers, and phrases of one trigger in a shard.
-SLICE_BYTES, BUCKET_BYTES, SHARD_PHRASES = 2 << 20, 16 << 20, 2048
+SLICE_BYTES, BUCKET_BYTES, SHARD_PHRASES = 2 << 20, 16 << 20, 1 << 16
 LAST = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D | 1
 
