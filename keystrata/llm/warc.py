@@ -82,7 +82,7 @@ class ArchiveWriter:
     def __init__(self, uri: str, dictionary: bytes) -> None:
         files, path = open_fs(uri)
         files.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.out, self.records, self.size = uri, files.open_output_stream(path), 0, 0
+        self.uri, self.out, self.records, self.size = uri, files.open_output_stream(path, compression=None), 0, 0
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_checksum=True, write_content_size=True)
         self._write(struct.pack("<II", SKIPPABLE_MAGIC, len(dictionary)) + dictionary)
 
@@ -134,7 +134,7 @@ def parse(data: bytes) -> dict:
 def read_archive(uri: str) -> Iterator[dict]:
     """The records of an archive, one frame at a time."""
     files, path = open_fs(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
 
         def exactly(n: int) -> bytes:
             out = b""
