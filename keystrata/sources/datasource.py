@@ -52,7 +52,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: FilePart) -> Iterator[tuple]:
         files, _ = open_fs(self.path)
-        with files.open_input_stream(part.path) as f:
+        with files.open_input_stream(part.path, compression=None) as f:
             data = f.read()
         entries = codec.Run(data).scan() if self.kind == "run" else codec.decode(data, permissive=self.permissive)
         for n, (seq, op, key, value) in enumerate(entries):
@@ -69,7 +69,7 @@ class _Writer(DataSourceWriter):
         entries = ((r["seq"], r["op"], bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in rows)
         name = uuid.uuid4().hex
         tmp, final = f"{p}/.{name}.tmp", f"{p}/{name}.{'sst' if self.kind == 'run' else 'log'}"
-        with files.open_output_stream(tmp) as f:
+        with files.open_output_stream(tmp, compression=None) as f:
             if self.kind == "run":
                 f.write(codec.encode_run(entries, self.rate))
             else:
