@@ -33,7 +33,7 @@ SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 20
+ARCHIVE_BYTES, READ_BYTES, READ_TASKS = 64 << 20, 1 << 20, 50_000
 #: The dictionary is trained on so many payloads of limited size, drawn by a hash.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 200, 32 << 10
 
@@ -171,7 +171,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     first = materialize(base.groupBy("digest").agg(F.min("page_id").alias("first")))
-    few = base.where(F.length("payload").between(1, SAMPLE_BYTES)).select("page_id", "payload").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS)
+    # Thinned before the sort, or every task would send its own SAMPLE_ROWS to the driver.
+    share = min(1.0, 4 * SAMPLE_ROWS / max(1, pages.count()))
+    drawn = base.where(F.length("payload").between(1, SAMPLE_BYTES) & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    few = drawn.select("page_id", "payload").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS)
     held = spark.sparkContext.broadcast(train_dictionary([bytes(r["payload"]) for r in few.collect()]))
     refers = F.when(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")), F.col("first"))
     rows = base.join(first, "digest").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
@@ -222,7 +225,9 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                         out, size = {f.name: [] for f in schema}, 0
                 yield as_batch(schema, out)
 
-    out = archives.select("path").repartition("path").mapInArrow(run, RECORD)
+    # An explicit number of partitions: the paths are few bytes, and would all be put into one task.
+    tasks = min(max(1, archives.count()), READ_TASKS)
+    out = archives.select("path").repartition(tasks).mapInArrow(run, RECORD)
     return out if payloads else out.drop("payload")
 
 
