@@ -111,7 +111,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, i
     if limit[0] is not None and limit[0] >= 2.0**53:
         raise ValueError("scores don't fit exact double arithmetic; use a smaller scale")
     # The seed is bounded: its scores are true scores of candidates, so their kth is a lower bound.
-    seed = rows.select("vec_id", "v", "dim").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).collect()
+    # It is thinned before the sort, or every task would send SEED_ROWS vectors to the driver.
+    share = min(1.0, 4 * SEED_ROWS / max(1, limit[1] or 0))
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    seed = drawn.select("vec_id", "v", "dim").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {r["dim"] for r in seed}:
         part = [r for r in seed if r["dim"] == d]
