@@ -8,10 +8,11 @@
 2. Dictionary. The phrases of repeated triggers are cut out of the text; equal phrases are one dictionary
    entry with the smallest document that has it (an aggregation that combines before the exchange).
 3. Suffix array. In each shard of the dictionary (all the phrases of a trigger are in the same one) a
-   suffix array of the phrases, ordered up to the 50-byte horizon, puts equal strings next to each other. Phrases overlap their successors by 49 bytes, so the order of the parse behind a
-   phrase never decides within the horizon, and the order of the dictionary's suffixes with the list of
-   each phrase's occurrences in the parse is the corpus order. Each group of equal prefixes gets its
-   smallest document.
+   suffix array of the phrases, ordered up to the 50-byte horizon, puts equal strings next to each other.
+   Phrases overlap their successors by 49 bytes, so the order of the parse behind a phrase never decides
+   within the horizon, and the order of the dictionary's suffixes with the list of each phrase's
+   occurrences in the parse is the corpus order. Each group of
+   equal prefixes gets its smallest document.
 4. Occurrences look up their phrase's result; bytes of strings that start in a smaller document go.
 
 Skew. A trigger repeated within a slice of documents is one row in the exchange, however often it
@@ -279,50 +280,6 @@ def _phrases(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
     return map_text(joined.select("doc", "rid", "text", "found"), PHRASE, run)
 
 
-def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffix array of the phrases up to LENGTH bytes: (phrase number, suffix array, where its groups begin).
-
-    Suffixes of fewer bytes are left out; they are numbered phrase by phrase. The suffix array lists the
-    suffixes in the order of their first LENGTH bytes, a group is those with equal ones. Suffixes are
-    ranked by eight bytes, then by the rank so far and the next four."""
-    lens = np.array([len(p) for p in phrases], np.int64)
-    b = np.frombuffer(b"".join(phrases), np.uint8).astype(np.uint64)
-    counts = np.maximum(lens - LENGTH + 1, 0)
-    which = np.repeat(np.arange(len(phrases)), counts)
-    if not len(which):
-        return which, which, which
-    four = np.zeros(len(b) - 3, np.uint64)
-    for i in range(4):
-        four = (four << np.uint64(8)) | b[i : i + len(four)]
-    at = np.arange(len(which)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(counts) - counts), counts)
-    rank = np.zeros(len(at), np.int64)
-    live = np.arange(len(at))  # those that share their rank still
-    step, key = 4, four[at]
-    while True:
-        key = (key << np.uint64(32)) | four[at[live] + step]
-        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
-        # Ranks are the number of suffixes before, so that parts can be ranked apart.
-        base = np.cumsum(size) - size
-        old = rank[live]
-        rank[live] = old + base[inverse] - _first_of(old, base[inverse])
-        live = live[size[inverse] > 1]
-        if step == LENGTH - 4 or not len(live):
-            break
-        step = min(step + 4, LENGTH - 4)
-        key = rank[live].view(np.uint64)
-    order = np.argsort(rank, kind="stable")
-    return which, order, _runs(rank[order])[0]
-
-
-def _first_of(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """The smallest new rank among those of equal old rank."""
-    order = np.argsort(old, kind="stable")
-    cut, sizes = _runs(old[order])
-    out = np.empty_like(new)
-    out[order] = np.repeat(np.minimum.reduceat(new[order], cut), sizes)
-    return out
-
-
 def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of the phrases up to LENGTH bytes: (phrase number, suffix array, where its groups begin).
 
