@@ -9,13 +9,16 @@ keys are joined by signature distance into clusters, and inside clusters pairs a
 shingle sets.
 
 Skew. Equal sets are one class before anything is joined, found by an aggregation that combines before
-the exchange. A run or cluster larger than a block is cut into blocks, and each pair of blocks is its own
-group, so no task holds more than two blocks. Inside a group, pairs that are already linked through
-others are not compared again, and a group emits a spanning forest of its links, never all pairs.
+the exchange. A run or cluster larger than a block is cut into blocks, and its hub, one of its texts, is
+added to each. What is linked with the hub, directly or through others of its block, is in one component
+already and is not compared with the rest of it; what is not, the loose texts, is afterwards compared with
+all blocks, a block of loose texts with one of the others at a time. A group of copies thus costs as much
+as it has rows, and no task holds more than two blocks. A group emits a spanning forest of its links,
+never all pairs.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; rows without doc_id get n_shingles and no component,
-and are kept; rows that repeat a doc_id are one document.
+and are kept; rows that repeat a doc_id are each linked as their text is.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -110,27 +113,43 @@ class Forest:
         return np.fromiter(map(self.find, range(len(self.parent))), np.int64, len(self.parent))
 
 
-def _near_forest(sig: np.ndarray, block: np.ndarray, bound: int) -> list[tuple[int, int]]:
+def _near_forest(sig: np.ndarray, bound: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose symbols differ in bound places at most."""
     n, f, out = len(sig), Forest(len(sig)), []
+    root = np.arange(n)
     for i in range(n):
-        root = f.roots() if i == 0 or out else np.arange(n)
-        if i and (root == root[0]).all():
-            break
-        other = np.flatnonzero((root[i + 1 :] != root[i])) + i + 1
-        if len(other):
-            for j in other[(sig[other] != sig[i]).sum(axis=1) <= bound]:
-                if f.join(i, int(j)):
-                    out.append((i, int(j)))
+        other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        new = [int(j) for j in other[(sig[other] != sig[i]).sum(axis=1) <= bound] if f.join(i, int(j))]
+        if new:
+            out += [(i, j) for j in new]
+            root = f.roots()
+            if (root == root[0]).all():
+                break
     return out
 
 
-def _links(values: np.ndarray, offsets: np.ndarray, side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the links among texts; with two blocks only between them."""
+def _near_across(sig: np.ndarray, side: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """The same of the pairs between side 0 and side 1."""
+    f, out, others = Forest(len(sig)), [], np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0).tolist():
+        out += [(i, int(j)) for j in others[(sig[others] != sig[i]).sum(axis=1) <= bound] if f.join(i, int(j))]
+    return out
+
+
+def _loose(n: int, edges: list[tuple[int, int]], hubs: np.ndarray) -> np.ndarray:
+    """Those of 0..n-1 that the edges don't link with a hub."""
+    f = Forest(n)
+    for i, j in edges:
+        f.join(i, j)
+    root = f.roots()
+    return np.flatnonzero(~np.isin(root, root[hubs]))
+
+
+def _links(values: np.ndarray, offsets: np.ndarray, t: Threshold, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts, or of those between two sides."""
     sets = [np.unique(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
     size = np.array([len(s) for s in sets])
     sig, n, f, out = signatures(values, offsets).astype(np.uint8), len(sets), Forest(len(sets)), []
-    two = side.min() != side.max()
 
     def confirmed(i: int, j: int) -> bool:
         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -144,7 +163,7 @@ def _links(values: np.ndarray, offsets: np.ndarray, side: np.ndarray, t: Thresho
         # Sizes within the threshold of each other only.
         last = int(np.searchsorted(size[order], size[i] * 100 // t.percent, "right"))
         js = order[x + 1 : last]
-        js = js[side[js] != side[i]] if two else js
+        js = js[side[js] != side[i]] if side is not None else js
         if not len(js):
             continue
         d = (sig[js] != sig[i]).sum(axis=1)
@@ -175,8 +194,12 @@ def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_shingles long, bytes long, digest binary, sig binary", run)
 
 
+RUN, EDGE = "key long, block int, hub long, id long", "a long, b long"
+
+
 def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
-    """(key, i, j, id): the runs of equal keys with two classes at least, cut into pairs of blocks."""
+    """(key, block, hub, id): the runs of equal keys with two classes at least. block is -1 where a run is one
+    block; a larger run's hub is in each of its blocks."""
     keyed = arrow_schema("key long, id long")
 
     def key(batches):
@@ -187,7 +210,7 @@ def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
                 ks = chunk_keys(sig, t)
                 yield as_batch(keyed, {"key": ks.ravel(), "id": np.repeat(s.column("id").to_numpy(zero_copy_only=False), ks.shape[1])})
 
-    schema = arrow_schema("key long, i int, j int, id long")
+    schema = arrow_schema(RUN)
 
     def run(batches):
         held_k, held_i = [], []
@@ -196,16 +219,13 @@ def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             n = np.diff(cut)
             small = np.repeat((n > 1) & (n <= RUN_BLOCK), n)
-            zero = np.zeros(int(small.sum()), np.int32)
-            yield as_batch(schema, {"key": k[small], "i": zero, "j": zero, "id": ids[small]})
+            one = np.full(int(small.sum()), -1, np.int32)
+            yield as_batch(schema, {"key": k[small], "block": one, "hub": ids[small], "id": ids[small]})
             for r in np.flatnonzero(n > RUN_BLOCK):
-                part = ids[cut[r] : cut[r + 1]]
-                blocks = -(-len(part) // RUN_BLOCK)
-                for b in range(blocks):
-                    piece = part[b * RUN_BLOCK : (b + 1) * RUN_BLOCK]
-                    for other in range(blocks):
-                        pair = np.full(len(piece), min(b, other), np.int32), np.full(len(piece), max(b, other), np.int32)
-                        yield as_batch(schema, {"key": np.full(len(piece), k[cut[r]]), "i": pair[0], "j": pair[1], "id": piece})
+                hub, part = ids[cut[r]], ids[cut[r] + 1 : cut[r + 1]]
+                for b, at in enumerate(range(0, len(part), RUN_BLOCK)):
+                    piece = np.append(hub, part[at : at + RUN_BLOCK])
+                    yield as_batch(schema, {"key": np.full(len(piece), k[cut[r]]), "block": np.full(len(piece), b, np.int32), "hub": np.full(len(piece), hub), "id": piece})
 
         for b in batches:
             if not b.num_rows:
@@ -222,61 +242,107 @@ def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
             yield from out(np.concatenate(held_k), np.concatenate(held_i))
 
     dealt = classes.select("id", "sig").mapInArrow(key, "key long, id long").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, i int, j int, id long")
+    return dealt.mapInArrow(run, RUN)
+
+
+def _against_all(loose: DataFrame, blocks: DataFrame, size: Column, limit: int) -> DataFrame:
+    """(key, block, part, side, id): each part of a key's loose ids (side 0) with each block of its ids (side 1).
+    loose is (key, id) and what size needs; blocks is (key, block, id)."""
+    parts = materialize(loose.groupBy("key").agg(F.ceil(F.sum(size) / limit).cast("int").alias("parts")))
+    many = materialize(blocks.join(parts, "key", "left_semi").groupBy("key").agg((F.max("block") + 1).alias("many")))
+    to = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part")
+    all_ = blocks.join(parts, "key").select("key", "block", "id", to).withColumn("side", F.lit(1))
+    few = loose.join(parts, "key").join(many, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))).cast("int"))
+    few = few.select("key", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), "id", "part").withColumn("side", F.lit(0))
+    return all_.unionByName(few).select("key", "block", "part", "side", "id")
 
 
 def _near_edges(runs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     """(a, b): classes of a run whose signatures are within the bound, as spanning forests."""
-    schema = arrow_schema("a long, b long")
-
-    def run(batches):
-        a, b = [], []
-        for g in grouped(batches, ["key", "i", "j"]):
-            ids = g.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for x, y in _near_forest(sig, ids, t.distance):
+    found_ddl = "a long, b long, key long, loose boolean"
+    found_schema, schema = arrow_schema(found_ddl), arrow_schema(EDGE)
+    # Eight bits of each symbol: distances can only shrink, so no pair within the bound is lost.
+    small = classes.select("id", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("sig"))
+
+    def matrix(g: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, -1)
+
+    def within(batches):
+        a, b, key, loose = [], [], [], []
+        for g in grouped(batches, ["key", "block"]):
+            ids, edges = g.column("id").to_numpy(), []
+            if g.column("block")[0].as_py() >= 0:
+                # The hub first: most of a group of copies is linked with it at once.
+                g = g.take(np.argsort(ids != g.column("hub").to_numpy(), kind="stable"))
+                ids, edges = g.column("id").to_numpy(), _near_forest(matrix(g), t.distance)
+                rest = ids[_loose(len(ids), edges, np.flatnonzero(ids == g.column("hub").to_numpy()))].tolist()
+                a, b, key, loose = a + rest, b + rest, key + [g.column("key")[0].as_py()] * len(rest), loose + [True] * len(rest)
+            else:
+                edges = _near_forest(matrix(g), t.distance)
+            for x, y in edges:
                 a.append(ids[x])
                 b.append(ids[y])
+            key, loose = key + [0] * len(edges), loose + [False] * len(edges)
             if len(a) > 50_000:
-                yield as_batch(schema, {"a": a, "b": b})
-                a, b = [], []
-        yield as_batch(schema, {"a": a, "b": b})
+                yield as_batch(found_schema, {"a": a, "b": b, "key": key, "loose": loose})
+                a, b, key, loose = [], [], [], []
+        yield as_batch(found_schema, {"a": a, "b": b, "key": key, "loose": loose})
 
-    # Eight bits of each symbol: distances can only shrink, so no pair within the bound is lost.
-    small = F.regexp_replace(F.hex("sig"), "(..)..", "$1")
-    with_sig = runs.join(classes.select("id", F.unhex(small).alias("sig")), "id")
-    return with_sig.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    def across(batches):
+        for g in grouped(batches, ["key", "block", "part"]):
+            ids = g.column("id").to_numpy()
+            edges = _near_across(matrix(g), g.column("side").to_numpy(), t.distance)
+            yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
+
+    found = materialize(runs.join(small, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl).distinct())
+    edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select("key", F.col("a").alias("id"))
+    if not loose.isEmpty():
+        dealt = _against_all(loose, runs.where("block >= 0").select("key", "block", "id"), F.lit(1), RUN_BLOCK).join(small, "id")
+        edges = edges.unionByName(dealt.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part").mapInArrow(across, EDGE))
+    return edges.distinct()
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): links between classes of one cluster, confirmed on the full sets."""
-    schema = arrow_schema("a long, b long")
-    members = materialize(clusters.join(classes.select("id", "bytes"), "id"))
-    sizes = materialize(members.groupBy("component").agg(F.ceil(F.sum("bytes") / CLUSTER_BLOCK_BYTES).cast("int").alias("blocks")))
-    placed = members.join(sizes, "component").withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    """(a, b): links between classes of one cluster, confirmed on the full sets. A cluster's hub is its smallest id."""
+    found_ddl = "a long, b long, key long, loose boolean"
+    found_schema, schema = arrow_schema(found_ddl), arrow_schema(EDGE)
+    members = materialize(clusters.join(classes.select("id", "bytes"), "id").select(F.col("component").alias("key"), "id", "bytes"))
+    sizes = materialize(members.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / CLUSTER_BLOCK_BYTES)).cast("int").alias("blocks")))
+    hubs = sizes.where("blocks > 1").select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("id"))
+    placed = members.join(sizes, "key").where("blocks = 1 or id <> key").select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
+    placed = placed.unionByName(hubs)
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = text.join(placed, "id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "text")
-
-    def run(batches):
-        a, b = [], []
-        for g in grouped(batches, ["component", "i", "j"]):
-            ids, side = g.column("id").to_numpy(), g.column("block").to_numpy()
-            if len(ids) < 2:
-                continue
-            values, offsets = [], [0]
-            for batch in g.select(["text"]).to_batches():
-                for s in text_slices(batch):
-                    v, o = shingles(s.column("text").to_pylist(), t.words)
-                    values.append(v)
-                    offsets.extend((o[1:] + offsets[-1]).tolist())
-            for x, y in _links(np.concatenate(values), np.array(offsets), side, t):
-                a.append(ids[x])
-                b.append(ids[y])
-        yield as_batch(schema, {"a": a, "b": b})
 
-    return dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long")
+    def sets(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        values, offsets = [], [0]
+        for batch in g.select(["text"]).to_batches():
+            for s in text_slices(batch):
+                v, o = shingles(s.column("text").to_pylist(), t.words)
+                values.append(v)
+                offsets.extend((o[1:] + offsets[-1]).tolist())
+        return np.concatenate(values), np.array(offsets)
+
+    def within(batches):
+        for g in grouped(batches, ["key", "block"]):
+            ids, key = g.column("id").to_numpy(), g.column("key")[0].as_py()
+            edges, rest = _links(*sets(g), t) if len(ids) > 1 else [], []
+            if g.column("blocks")[0].as_py() > 1:
+                rest = ids[_loose(len(ids), edges, np.flatnonzero(ids == key))].tolist()
+            yield as_batch(found_schema, {"a": [ids[x] for x, _ in edges] + rest, "b": [ids[y] for _, y in edges] + rest, "key": [key] * (len(edges) + len(rest)), "loose": [False] * len(edges) + [True] * len(rest)})
+
+    def across(batches):
+        for g in grouped(batches, ["key", "block", "part"]):
+            ids, side = g.column("id").to_numpy(), g.column("side").to_numpy()
+            edges = _links(*sets(g), t, side) if side.min() != side.max() else []
+            yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
+
+    found = materialize(text.join(placed, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl))
+    edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select("key", F.col("a").alias("id")).distinct()
+    if not loose.isEmpty():
+        sized = loose.join(members, ["key", "id"])
+        dealt = _against_all(sized, placed.where("blocks > 1").select("key", "block", "id"), F.col("bytes"), CLUSTER_BLOCK_BYTES)
+        edges = edges.unionByName(text.join(dealt, "id").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part").mapInArrow(across, EDGE))
+    return edges
 
 
 def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
@@ -290,7 +356,6 @@ def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     clusters = components(near)
     links = materialize(_confirmed(docs, classes, clusters, t))
     release(near)
-    # A doc_id that repeats with another text ties its classes together.
     linked = components(links)
     root = materialize(classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     known = linkable.join(root, "digest").select("doc_id", "n_shingles", "component_id")
