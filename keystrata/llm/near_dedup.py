@@ -13,7 +13,7 @@ the exchange. A run or cluster larger than a block is cut into blocks, and its h
 added to each. What is linked with the hub, directly or through others of its block, is in one component
 already and is not compared with the rest of it; what is not, the loose texts, is afterwards compared with
 all blocks, a block of loose texts with one of the others at a time. A group of copies thus costs as much
-as it has rows, and no task holds more than two blocks. A group emits a spanning forest of its links,
+as it has rows (one that is mostly loose still costs each pair of its blocks), and no task holds more than two blocks. A group emits a spanning forest of its links,
 never all pairs.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
