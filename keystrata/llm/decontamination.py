@@ -18,6 +18,7 @@ items are each reported; an empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import keep_rows, map_text, mix64, shingles
+from keystrata.llm.common import keep_rows, map_text, materialize, mix64, release, shingles
 
 WORDS, PERCENT = 5, 80
 #: Item text held by each task at a time.
@@ -98,16 +99,18 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> list[Index]:
-    """Blocks of items (item_id, text), each of bounded size."""
+def indexes(benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Iterator[Index]:
+    """Blocks of items (item_id, text), each of bounded size; one block at a time is held here. Rows are dealt
+    one by one, so that repeated rows don't fill a block."""
     rows = benchmark.select("item_id", "text").where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    out = []
+    dealt = materialize(rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(blocks)))) if blocks > 1 else None
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        out.append(Index.build([r["item_id"] for r in part], [r["text"] for r in part], words, percent))
-    return out
+        part = (rows if dealt is None else dealt.where(F.col("_block") == b)).orderBy("item_id").collect()
+        yield Index.build([r["item_id"] for r in part], [r["text"] for r in part], words, percent)
+    if dealt is not None:
+        release(dealt)
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -340,6 +340,17 @@ def test_decontamination(spark, docs, empty, corpus):
     assert clean.columns == docs.columns and clean.count() == sum(d not in {x[0] for x in want} for d, *_ in corpus)
 
 
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    rows = [(7, "one two three four five six seven", "e")] * 60 + [(n, " ".join(docs.where(f"doc_id = {d}").first().text.split()[:30]), "e") for n, d in ((1, 11), (2, 12))]
+    bench = spark.createDataFrame(rows, "item_id long, text string, containment string").repartition(3)
+    found = lambda: sorted(map(tuple, decontamination.contained(docs, bench).collect()), key=str)
+    one = found()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 800)
+    sizes = [len(x.items) for x in decontamination.indexes(bench)]
+    assert len(sizes) > 3 and sum(sizes) == 62 and max(sizes) < 50
+    assert one and found() == one
+
+
 # -- top-k ---------------------------------------------------------------------------------------
 
 
