@@ -230,7 +230,9 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
             for key in (g >> np.uint64(8), (h << np.uint64(8)) | (g & np.uint64(0xFF))):
                 order = rest[np.argsort(key[rest], kind="stable")]
                 cut, sizes = _runs(key[order])
-                take[order[np.repeat(_several(rid[order], cut), sizes)]] = True
+                # A row that stands for two texts bears the mark of one: other rows of that text count too.
+                stands = np.logical_or.reduceat(kind[order] == STANDS_FOR, cut) if len(cut) else np.zeros(0, bool)
+                take[order[np.repeat(_several(rid[order], cut) | stands, sizes)]] = True
             anywhere = np.unique(h[kind == STANDS_FOR_ANY])
             take |= np.isin(h, anywhere)
             take &= (kind == ALONE) | (kind == KNOWN)

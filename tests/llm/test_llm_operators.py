@@ -414,6 +414,18 @@ def test_substrings_hot_and_sliced(spark, monkeypatch):
     assert got == brute_strings(rows)
 
 
+def test_substrings_copies_in_two_slices(spark):
+    """The smallest copy of a text is alone in its slice; the next one meets a near copy in another."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a = noise(400)
+    b = a[:150] + "Z" + a[151:]
+    rows = [(1, a), (5, noise(90)), (2, a), (3, b)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring_dedup.deduplicate(df).collect()), key=repr)
+    assert got == brute_strings(rows)
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 
 
