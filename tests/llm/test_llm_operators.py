@@ -215,6 +215,20 @@ def test_quality_separates(spark):
     assert kept[1] > 0.95 and kept[0] < 0.3
 
 
+def test_quality_thresholds_are_held_out(spark):
+    """Clean documents without a label stay, also where the language has little trusted text."""
+    rng = random.Random(4)
+    size = lambda: rng.choice([6, 20, 90])
+    clean = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(size())), "en") for i in range(1200)]
+    docs = spark.createDataFrame(clean, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    out = [r for r in quality.classify(docs, labels).collect() if r.doc_id >= 600]
+    assert all(r.threshold is not None for r in out) and sum(r.kept for r in out) / len(out) > 0.95
+    _, trusted = quality.train(docs, labels)
+    rows = trusted.collect()
+    assert any(r.held_out for r in rows) and any(r.used for r in rows) and not any(r.held_out and r.used for r in rows)
+
+
 # -- WARC ----------------------------------------------------------------------------------------
 
 
