@@ -45,7 +45,8 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(b):
         return doc, np.zeros(0, np.uint16)
     keep = np.ones(len(b), bool)
-    keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
+    # Double spaces collapse, but not the space that begins a text with the one that ends the text before.
+    keep[1:] = (b[1:] != 32) | (b[:-1] != 32) | (doc[1:] != doc[:-1])
     b, doc = b[keep].astype(np.uint32), doc[keep]
     n = max(len(b) - ORDER + 1, 0)
     code = np.zeros(n, np.uint32)

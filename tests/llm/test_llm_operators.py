@@ -69,6 +69,15 @@ def test_language_mixture():
     assert share[0].tolist() == [1, 0] and share[1].tolist() == [0, 1] and abs(share[2][0] - 0.5) < 0.05 and abs(share[3][0] - 0.75) < 0.05
 
 
+def test_language_ngrams_apart_from_slices():
+    texts = ["Some words. ", "A.", None, " b ", "words again"]
+    doc, code = language_id.ngrams(texts)
+    for i, t in enumerate(texts):
+        assert code[doc == i].tolist() == language_id.ngrams([t])[1].tolist()
+    m = language_id.Model(["a", "b"], np.full((language_id.BUCKETS, 2), 0.5, np.float32))
+    assert language_id.infer(m, texts)[1].tolist() == [True, True, False, True, True]
+
+
 # -- packing -------------------------------------------------------------------------------------
 
 
