@@ -326,6 +326,13 @@ def test_pii_formats(spark):
     assert run_pii(spark, stay) == stay
 
 
+def test_pii_secrets_without_digits(spark):
+    letters = "abcdefghijklmnopqrstuv"
+    cases = [*(p + letters for p in ("ghp_", "gho_", "sk-", "xoxb-", "xoxp-")), "abcdef" * 6, "ABCDEF" * 6]
+    for c, alone, beside in zip(cases, run_pii(spark, [f"x {c} y" for c in cases]), run_pii(spark, [f"x {c} y 1" for c in cases]), strict=True):
+        assert c not in alone and beside == alone + " 1"
+
+
 def test_feistel_is_a_bijection(spark):
     a, b = 27, 31
     df = spark.range(a * b).select(pii.feistel("k", "t", F.floor(F.col("id") / b), F.col("id") % b, F.lit(a), F.lit(b), lambda p, q: p * b + q).alias("p"))
