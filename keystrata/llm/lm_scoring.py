@@ -4,11 +4,16 @@ The network predicts every token from the two on each side of it: each of the fo
 table of hidden vectors, their sum goes through tanh, and a softmax layer gives the token's distribution.
 A document's score is the sum of the log-probabilities of its tokens, each given both sides.
 
-Tokens are classes of words: the most frequent words of the whole corpus have a class each, the others
-fall into classes by a hash of their ending. Counts are taken over all documents. The network is trained
-on a fixed share of the documents, so that the training text grows with the corpus: each worker starts a
-round from the common parameters, trains on its part, and the parameters are averaged in two steps, so
-that MERGED sets of them reach the driver however many workers there are.
+A token's probability is p(class) p(word | class). The network gives the class: the most frequent words
+of the whole corpus have one each, the others fall into classes by a hash of their ending. Within a class
+a word's probability comes from the counts of all words over all documents, each less DISCOUNT; what is
+taken off is the share of words outside of the corpus. The counts of the CACHED most frequent words are
+sent to all tasks; a text's other words are joined with the table of counts, which stays distributed.
+
+The network is trained on a fixed share of the different texts, so that the training text grows with the
+corpus and a copied text counts once: each worker starts a round from the common parameters, trains on
+its part, and the parameters are averaged in two steps, so that MERGED sets of them reach the driver
+however many workers there are.
 
 Edge cases: a null text, or one without words, has no tokens, log-likelihood 0 and no score; documents
 shorter than the window are filled up with boundary tokens; without any training text the network is
@@ -18,6 +23,7 @@ uniform.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +40,21 @@ HIDDEN, SIDE = 32, 2
 TRAINED, ROUNDS, MERGED = 40, 3, 8
 BATCH, RATE = 512, 0.5
 COUNTED = 200_000
+#: Words at most whose counts are sent to all tasks.
+CACHED = 1 << 17
+DISCOUNT = 0.5
+
+
+def ending(word: bytes) -> int:
+    return xxh3_64_intdigest(word[-3:]) % ENDINGS
+
 
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, ending, n) of every word of all documents, as a stored table."""
+    schema = arrow_schema("word binary, ending int, n long")
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents; equal counts in the words' order."""
-    schema = arrow_schema("word binary, n long")
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return as_batch(schema, {"word": list(seen), "ending": list(map(ending, seen)), "n": list(seen.values())})
 
     def count(batches):
         seen: Counter = Counter()
@@ -47,12 +63,29 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
                 for t in s.column("text").to_pylist():
                     seen.update(words(t))
                 if len(seen) > COUNTED:
-                    yield as_batch(schema, {"word": list(seen), "n": list(seen.values())})
+                    yield rows(seen)
                     seen = Counter()
-        yield as_batch(schema, {"word": list(seen), "n": list(seen.values())})
+        yield rows(seen)
+
+    parts = docs.select("text").mapInArrow(count, "word binary, ending int, n long")
+    return materialize(parts.groupBy("word", "ending").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(table: DataFrame) -> list[bytes]:
+    """The most frequent words of a table of counts; equal counts in the words' order."""
+    return [bytes(r["word"]) for r in table.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+def cached(table: DataFrame) -> list:
+    """(word, ending, n) of the most frequent words: all those of the largest counts, CACHED at most."""
+    size = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in sorted(table.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        held += r["count"]
+        if held > CACHED:
+            break
+        least = r["size"]
+    return table.where(size >= least).collect() if least is not None else []
 
 
 class Classes(dict):
@@ -62,7 +95,7 @@ class Classes(dict):
         super().__init__((w, i + 1) for i, w in enumerate(frequent))
 
     def __missing__(self, word: bytes) -> int:
-        return 1 + FREQUENT + xxh3_64_intdigest(word[-3:]) % ENDINGS
+        return 1 + FREQUENT + ending(word)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all texts, with SIDE boundaries around each; and each text's tokens."""
@@ -76,6 +109,29 @@ class Classes(dict):
         return np.array(out, np.int64), sizes
 
 
+class Words(dict):
+    """Word -> number of the cached words; others are numbered behind them as they come, until forget()."""
+
+    def __init__(self, frequent: list[bytes], known: list[tuple[bytes, int]], totals: np.ndarray) -> None:
+        """known: words with their counts. totals: tokens by ending, without the frequent words."""
+        super().__init__((w, i) for i, (w, _) in enumerate(known))
+        self.classes, self.size, self.others = Classes(frequent), len(known), []
+        self.cls = np.array([self.classes[w] for w, _ in known], np.int64)
+        rare = self.cls > FREQUENT
+        self.log_n = np.where(rare, np.log(np.array([n for _, n in known], np.float64) - DISCOUNT), 0.0)
+        self.log_total = np.concatenate([np.zeros(1 + FREQUENT), np.log(np.maximum(totals, 1))])
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = self.size + len(self.others)
+        self.others.append(word)
+        return i
+
+    def forget(self) -> None:
+        for w in self.others:
+            del self[w]
+        self.others = []
+
+
 class Network:
     """tables (2 SIDE, CLASSES, HIDDEN), out (HIDDEN, CLASSES), bias (CLASSES), in single precision."""
 
@@ -135,10 +191,11 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(SIDE * (2 * np.arange(len(sizes)) + 1), sizes)
 
 
-def fit(docs: DataFrame, frequent: list[bytes]) -> Network:
-    """The network after ROUNDS of training on one document in TRAINED, drawn by a hash of its text."""
+def fit(docs: DataFrame, frequent: list[bytes], parts: int = MERGED) -> Network:
+    """The network after ROUNDS of training on one text in TRAINED, drawn by a hash; equal texts count once."""
     spark, classes = docs.sparkSession, Classes(frequent)
     drawn = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(TRAINED)) == 0))
+    drawn = drawn.select("text", F.xxhash64("text").alias("rid")).dropDuplicates(["rid"]).repartition(parts, "rid").sortWithinPartitions("rid")
     sample = materialize(map_text(drawn.select("text"), "tokens binary", lambda s: {"tokens": [classes.encode([t])[0].astype(np.uint8).tobytes() for t in s.column("text").to_pylist()]}))
     schema = arrow_schema("flat binary, weight double, part int")
     net = Network()
@@ -182,15 +239,45 @@ def fit(docs: DataFrame, frequent: list[bytes]) -> Network:
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_tokens, log_likelihood, and score, the mean log-probability of a token."""
-    frequent = vocabulary(docs)
-    net = fit(docs, frequent)
-    held = docs.sparkSession.sparkContext.broadcast((frequent, net.flat))
+    table = counts(docs)
+    frequent = vocabulary(table)
+    known = [(bytes(r["word"]), r["n"]) for r in cached(table)]
+    totals = np.zeros(ENDINGS)
+    for r in table.where(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        totals[r["ending"]] = r["n"]
+    net = fit(docs, frequent, max(MERGED, int(totals.sum()) >> 22))
+    held = docs.sparkSession.sparkContext.broadcast((frequent, net.flat, known, totals))  # bounded by CACHED
+    made: list[Words] = []
 
     def run(s: pa.RecordBatch) -> dict:
-        tokens, sizes = Classes(held.value[0]).encode(s.column("text").to_pylist())
-        log_p = Network(held.value[1]).log_probabilities(tokens, _places(sizes)).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(sizes)])]
-        total = np.diff(sums)
-        return {"doc_id": s.column("doc_id"), "n_tokens": sizes, "log_likelihood": total, "score": [t / n if n else None for t, n in zip(total.tolist(), sizes.tolist(), strict=True)]}
-
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_tokens long, log_likelihood double, score double", run)
+        if not made:
+            made.append(Words(held.value[0], *held.value[2:]))
+        vocab = made[0]
+        lists = [words(t) for t in s.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        n, places = int(sizes.sum()), _places(sizes)
+        number = np.fromiter(map(vocab.__getitem__, chain.from_iterable(lists)), np.int64, n)
+        others = vocab.others
+        cls = np.concatenate([vocab.cls, np.array([vocab.classes[w] for w in others], np.int64)])[number]
+        # A frequent word that is not cached is alone in its class.
+        far = (number >= vocab.size) & (cls > FREQUENT)
+        tokens = np.zeros(n + 2 * SIDE * len(lists), np.int64)
+        tokens[places] = cls
+        log_p = Network(held.value[1]).log_probabilities(tokens, places).astype(np.float64)
+        log_p += np.concatenate([vocab.log_n, np.zeros(len(others))])[number] - vocab.log_total[cls]
+        total = np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(sizes)])])
+        pairs, c = np.unique(np.repeat(np.arange(len(lists)), sizes)[far] * (len(others) + 1) + number[far] - vocab.size, return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(len(lists) + 1) * (len(others) + 1)).astype(np.int32)
+        rare = pa.array(others, pa.binary()).take(pa.array(pairs % (len(others) + 1)))
+        vocab.forget()
+        as_lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), x)
+        return {"doc_id": s.column("doc_id"), "n_tokens": sizes, "known": total, "rare": as_lists(rare), "c": as_lists(pa.array(c, pa.int64()))}
+
+    schema = "doc_id long, n_tokens long, known double, rare array<binary>, c array<long>"
+    part = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, run)
+    part = materialize(part.withColumn("row", F.monotonically_increasing_id()))
+    rest = part.select("row", F.explode(F.arrays_zip("rare", "c")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.c").alias("c"))
+    rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * F.log(F.col("n") - DISCOUNT)).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    out = part.select("row", "doc_id", "n_tokens", "known").join(rest, "row", "left").withColumn("log_likelihood", total)
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"))

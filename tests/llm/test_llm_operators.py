@@ -283,6 +283,32 @@ def test_lm_scoring(spark, docs, empty, corpus, monkeypatch):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_words_within_classes(spark, monkeypatch):
+    """A garbled word of the same class scores below a repeated one, by the counts; cached or joined."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(95)]
+    rare = [f"word{i}abc" for i in range(8)]
+    texts = [" ".join(common * 2 + rng.sample(common, 20)) for _ in range(20)] + [" ".join(rare)] * 20
+    texts += [" ".join("q" + w for w in rare), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = []
+    for size in (1 << 17, 0):
+        monkeypatch.setattr(lm_scoring, "CACHED", size)
+        out = {r.doc_id: r.log_likelihood for r in lm_scoring.score(df).collect()}
+        assert abs(out[20] - out[40] - 8 * (math.log(19.5) - math.log(0.5))) < 1e-3 and out[41] == out[42] == 0
+        got.append(out)
+    assert all(abs(got[0][i] - got[1][i]) < 1e-2 for i in got[0])
+
+
+def test_lm_trains_on_a_copied_text_once(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TRAINED", 1)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(40)) for _ in range(30)]
+    one, many = (spark.createDataFrame([(t,) for t in x], "text string") for x in (texts, texts + texts[:1] * 60))
+    a, b = (lm_scoring.fit(x, [b"a", b"b"]).flat for x in (one, many))
+    assert np.allclose(a, b, atol=1e-5)
+
+
 def test_lm_learns_both_sides():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["a b c", "x y z"]) for _ in range(60)) for _ in range(60)]
