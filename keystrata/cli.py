@@ -7,32 +7,15 @@ import sys
 from datetime import datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from keystrata.model import DELETE, DUMP_KEY_WIDTH, HISTORY_LIMIT, PUT, KeyNotFound
+from keystrata.functions.seed import seed_frame
+from keystrata.model import DELETE, DUMP_KEY_WIDTH, HISTORY_LIMIT, KeyNotFound
 from keystrata.store import Store
 
 HELP = """put KEY VALUE   delete KEY   get KEY   seed N
 inspect [memtable | wal/N.log | sstable/L/N.sst]   dump memtable | wal/N.log | sstable/L/N.sst
 flush   compact [LEVEL]   clear   help   exit"""
 
-# The generated pairs.
-SEED_PAIRS = [
-    ("apple", "artichoke"), ("banana", "broccoli"), ("cherry", "cabbage"), ("durian", "daikon"), ("elderberry", "eggplant"), ("fig", "fennel"), ("grapefruit", "ginger"),
-    ("honeydew", "horseradish"), ("imbe", "ivygourd"), ("jackfruit", "jicama"), ("kiwi", "kale"), ("lime", "leek"), ("mango", "mushroom"), ("nectarine", "nopale"), ("orange", "okra"),
-    ("peach", "peas"), ("quince", "quinoa"), ("raspberry", "radish"), ("strawberry", "spinach"), ("tangerine", "tomato"), ("ugni", "ube"), ("voavanga", "vanilla"),
-    ("watermelon", "watercress"), ("ximenia", "xanthan"), ("yuzu", "yam"), ("zarzamora", "zucchini"),
-]
-
-
-def seed_frame(spark: SparkSession, first: int, count: int):
-    """26 x count pairs with indexes first..first+count-1, as mutations in order."""
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(k) for k, _ in SEED_PAIRS]).alias("k"), F.array(*[F.lit(v) for _, v in SEED_PAIRS]).alias("v")))
-    rows = spark.range(first, first + count).select("id", pairs.alias("p"))
-    text = F.col("id").cast("string")
-    return rows.select(F.concat(F.lpad(text, 12, "0"), F.col("p.k")).alias("ord"), F.lit(PUT).alias("op"), F.concat("p.k", text).alias("key"), F.concat("p.v", text).alias("value"))
-
-
 class History:
     """Commands without consecutive repeats, the last thousand."""
 

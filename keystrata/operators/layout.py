@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.bloom import filter_bytes, optimal_bits
 from keystrata.model import ENTRIES_PER_BLOCK, ENTRY_HEADER_BYTES, FOOTER_BYTES
+from keystrata.operators.ordered import ranged, running_sum
 
 
 def entry_bytes(key: str = "key", value: str = "value") -> Column:
@@ -73,8 +74,14 @@ def run_overlap(meta: DataFrame) -> DataFrame:
 
 
 def read_amplification(meta: DataFrame, keys: DataFrame) -> DataFrame:
-    """Runs that a miss-free read of each key would open: all of them, and those whose interval holds it."""
-    total = meta.agg(F.count("*").alias("runs_total"))
-    hit = keys.join(meta, (F.col("key") >= F.col("smallest")) & (F.col("key") <= F.col("largest")))
-    counted = hit.groupBy("key").agg(F.count("*").alias("runs_in_range"))
-    return keys.join(counted, "key", "left").join(total).select("key", F.coalesce("runs_in_range", F.lit(0)).cast("long").alias("runs_in_range"), "runs_total")
+    """Runs that a miss-free read of each key would open: all of them, and those whose interval holds it.
+
+    The runs that hold a key are those begun at it or before, less those ended before it: the bounds and the
+    keys are put in one order, and a running sum counts them.
+    """
+    bounds = meta.select(F.col("smallest").alias("key"), F.lit(0).alias("_kind"), F.lit(1).alias("_step"), F.lit(1).alias("_run"))
+    bounds = bounds.unionByName(meta.select(F.col("largest").alias("key"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step"), F.lit(0).alias("_run")))
+    placed = ranged(bounds.unionByName(keys.select("key", F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.lit(0).alias("_run"))), "key", "_kind")
+    total = placed.agg(F.coalesce(F.sum("_run"), F.lit(0)).alias("runs_total"))
+    counted = running_sum(placed, "_step", "runs_in_range").where("_kind = 1").select("key", "runs_in_range")
+    return counted.crossJoin(F.broadcast(total))

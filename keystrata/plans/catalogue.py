@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.functions import bloom, text
+from keystrata.functions import bloom, seed, text
 from keystrata.operators import latest as L
-from keystrata.operators import layout, manifest, segments
+from keystrata.operators import layout, manifest, ordered, segments
 
 RUN = 1024
 BATCH = 50
@@ -134,6 +134,18 @@ def flush_segments(spark, d):
     return segments.flush_segments(log, THRESHOLD).groupBy("segment").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.countDistinct("key").alias("keys"))
 
 
+def flush_segments_in_batches(spark, d):
+    """The threshold is tested once per group commit."""
+    log = event_log(spark, d).select("seq", "key")
+    return segments.flush_segments(log, THRESHOLD, batch_size=BATCH).groupBy("segment").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.countDistinct("key").alias("keys"))
+
+
+def bulk_append_numbers(spark, d):
+    """Sequence numbers of a bulk load, in the order of a text column that is not the stored one."""
+    rows = table(spark, d, "lineitem").select(F.concat_ws("/", F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), "l_linenumber", F.format_string("%.2f", "l_extendedprice"), F.date_format("l_shipdate", "yyyyMMdd")).alias("ord"))
+    return ordered.numbered(ordered.ranged(rows.distinct(), "ord"), "seq").select("seq", "ord")
+
+
 def run_metadata(spark, d):
     return layout.run_metadata(order_runs(spark, d)).select("run", "smallest", "largest", "entries", F.col("data_bytes").cast("long").alias("data_bytes"))
 
@@ -221,9 +233,9 @@ def inspect_levels(spark, d):
 
 
 def seed_pairs(spark, d):
-    """Generated pairs: every nation name with an index, to a region name with the same index."""
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(F.concat("n_name", F.col("i").cast("string")).alias("key"), F.concat("r_name", F.col("i").cast("string")).alias("value"))
+    """The generated pairs of the shell's seed command, an index for each nation."""
+    count = table(spark, d, "nation").agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("id"))
+    return seed.seed_rows(count).select("key", "value")
 
 
 def history_dedup(spark, d):
@@ -303,6 +315,18 @@ UNION ALL SELECT o.n, o.seq, o.key, CASE WHEN len(w.keys) >= {THRESHOLD} THEN [o
 FROM walk w JOIN o ON o.n = w.n + 1)
 SELECT segment, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT key)::BIGINT AS keys FROM walk GROUP BY 1""",
     ),
+    "flush_segments_in_batches": (
+        flush_segments_in_batches,
+        f"""WITH RECURSIVE {LOG}, o AS (SELECT (seq - 1) // {BATCH} AS n, list(DISTINCT key) AS ks, min(seq) AS lo, max(seq) AS hi FROM log GROUP BY 1), walk(n, lo, hi, keys, segment) AS (
+SELECT n, lo, hi, ks, 0::BIGINT FROM o WHERE n = 0
+UNION ALL SELECT o.n, o.lo, o.hi, CASE WHEN len(w.keys) >= {THRESHOLD} THEN o.ks ELSE list_distinct(list_concat(w.keys, o.ks)) END, w.segment + CASE WHEN len(w.keys) >= {THRESHOLD} THEN 1 ELSE 0 END
+FROM walk w JOIN o ON o.n = w.n + 1)
+SELECT segment, min(lo) AS first_seq, max(hi) AS last_seq, max(len(keys))::BIGINT AS keys FROM walk GROUP BY 1""",
+    ),
+    "bulk_append_numbers": (
+        bulk_append_numbers,
+        "SELECT row_number() OVER (ORDER BY ord) AS seq, ord FROM (SELECT DISTINCT concat_ws('/', lpad(l_partkey::VARCHAR, 9, '0'), lpad(l_orderkey::VARCHAR, 9, '0'), l_linenumber, printf('%.2f', l_extendedprice), strftime(l_shipdate, '%Y%m%d')) AS ord FROM lineitem)",
+    ),
     "run_metadata": (run_metadata, f"WITH {RUNS} SELECT run, min(key) AS smallest, max(key) AS largest, count(*)::BIGINT AS entries, sum(strlen(key) + strlen(value) + 13)::BIGINT AS data_bytes FROM runs GROUP BY 1"),
     "block_assignment": (block_assignment, f'WITH {BLOCKS} SELECT run, block, key, "offset" FROM placed'),
     "block_index": (block_index, f"WITH {INDEX} SELECT run, block, first_key, block_offset, entries FROM idx"),
@@ -335,7 +359,7 @@ SELECT run, entries, blocks, filter_offset, index_offset, index_offset + index_b
     "manifest_live_files": (manifest_live_files, f"WITH {EDITS} SELECT level::INT AS level, file_no, edit_no FROM edits a WHERE action = 'add' AND NOT EXISTS (SELECT 1 FROM edits g WHERE g.action = 'delete' AND g.level = a.level AND g.file_no = a.file_no AND g.edit_no > a.edit_no)"),
     "manifest_next_numbers": (manifest_next_numbers, f"WITH {EDITS} SELECT (max(file_no) + 1)::BIGINT AS next_run FROM edits WHERE action = 'add'"),
     "inspect_levels": (inspect_levels, f"WITH {EVENT_RUNS} SELECT coalesce(level::VARCHAR, 'total') AS level, count(*)::BIGINT AS files, sum(entries)::BIGINT AS entries FROM (SELECT CASE WHEN run % 2 = 0 THEN 0 ELSE 1 END AS level, entries FROM meta) GROUP BY ROLLUP (level)"),
-    "seed_pairs": (seed_pairs, "SELECT n_name || i AS key, r_name || i AS value FROM nation JOIN region ON n_regionkey = r_regionkey, LATERAL (SELECT unnest(range(0, 10)) AS i)"),
+    "seed_pairs": (seed_pairs, "SELECT k || i AS key, v || i AS value FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in seed.SEED_PAIRS) + ") AS p(k, v), (SELECT unnest(range(0, (SELECT count(*) FROM nation))) AS i)"),
     "history_dedup": (history_dedup, "SELECT ord, cmd FROM (SELECT event_id AS ord, event_type AS cmd, lag(event_type) OVER (ORDER BY event_id) AS prev FROM events) WHERE prev IS NULL OR prev <> cmd ORDER BY ord DESC LIMIT 1000"),
     "compaction_merge": (compaction_merge, f"WITH {LOG}, {TOP} SELECT key, seq, op, value FROM top"),
     "compaction_bottom": (compaction_bottom, f"WITH {LOG}, {TOP} SELECT key, seq, op, value FROM top WHERE op = 0"),

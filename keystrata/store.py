@@ -1,13 +1,20 @@
 """A durable keyed store: Parquet log batches, sorted Parquet runs and a JSON manifest.
 
 One writer assigns sequence numbers. Threads that put and delete at the same time share commits: whoever
-holds the commit lock takes up to batch_size waiting requests, writes them as one Parquet batch and
-answers all of them. Reads are DataFrames over the manifest's files and the active log.
+holds the commit lock waits batch_timeout_ms at most for batch_size requests, writes them as one Parquet
+batch and answers all of them. Reads are DataFrames over the manifest's files and the active log.
+
+A batch is a folder of the log, and counts once its marker is there; the marker is written last, in one
+step. A folder without one is an interrupted write: it is never read, and goes with vacuum(). The folder of
+a stream's micro-batch bears the stream's name and the batch's number, so that the rows and the fact that
+they were committed become visible together, and a replay after any crash is recognised.
 """
 
 from __future__ import annotations
 
+import json
 import threading
+import time
 from collections import deque
 from collections.abc import Iterable
 from functools import reduce
@@ -18,7 +25,11 @@ from pyspark.sql import functions as F
 from keystrata.model import DELETE, LOG_SCHEMA, PUT, InvalidKey, KeyNotFound, Options, Paths, checked_log
 from keystrata.operators import latest as L
 from keystrata.operators.manifest import FileMeta, Version
+from keystrata.operators.ordered import numbered, ranged
 from keystrata.sources.hadoop import Files
+from keystrata.sources.scratch import release
+
+MARKER = "_COMMITTED"
 
 
 def _bytes(x: bytes | str) -> bytes:
@@ -37,9 +48,10 @@ class Store:
         self.spark, self.options, self.paths = spark, options, Paths(path.rstrip("/"))
         self.files = Files(spark, path)
         self._queue: deque[_Request] = deque()
-        self._lock, self._queue_lock, self._closed = threading.RLock(), threading.Lock(), False
+        self._lock, self._waiting, self._closed = threading.RLock(), threading.Condition(), False
         self.version = Version()
         self._seq, self._keys = 0, set()
+        self._streams: dict[str, int] = {}
 
     @staticmethod
     def open(spark: SparkSession, path: str, **options) -> Store:
@@ -53,6 +65,12 @@ class Store:
             s._seq = max(state, s.version.extra.get("LastSeq", 0))
             # The active log holds a threshold of keys and one batch at most.
             s._keys = {bytes(r[0]) for r in s.wal().select("key").distinct().toLocalIterator()}
+            s._streams = dict(s.version.extra.get("Streams", {}))
+            for name in s._batches():
+                parts = name.split(".")
+                if len(parts) == 3:
+                    stream = bytes.fromhex(parts[1]).decode()
+                    s._streams[stream] = max(s._streams.get(stream, -1), int(parts[2]))
         else:
             s.version = Version.empty(s.options.max_level + 1).with_wal(0)
             s._persist()
@@ -76,8 +94,9 @@ class Store:
         if any(not key for _, key, _ in rows):
             raise InvalidKey("empty key")
         mine = [_Request(*r) for r in rows]
-        with self._queue_lock:
+        with self._waiting:
             self._queue.extend(mine)
+            self._waiting.notify_all()
         while not all(r.done for r in mine):
             with self._lock:
                 self._commit_some()
@@ -85,16 +104,25 @@ class Store:
             if r.error:
                 raise r.error
 
+    def _take(self) -> list[_Request]:
+        """Up to batch_size requests; waits batch_timeout_ms at most for the batch to fill up."""
+        until = time.monotonic() + self.options.batch_timeout_ms / 1000
+        with self._waiting:
+            while 0 < len(self._queue) < self.options.batch_size and (left := until - time.monotonic()) > 0:
+                self._waiting.wait(left)
+            return [self._queue.popleft() for _ in range(min(len(self._queue), self.options.batch_size))]
+
     def _commit_some(self) -> None:
-        with self._queue_lock:
-            batch = [self._queue.popleft() for _ in range(min(len(self._queue), self.options.batch_size))]
+        batch = self._take()
         if not batch:
             return
         try:
             if len(self._keys) >= self.options.flush_threshold:
                 self.flush()
             rows = [(self._seq + 1 + i, op, bytearray(k), None if v is None else bytearray(v)) for i, (op, k, v) in enumerate(r.row for r in batch)]
-            self._append(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1), rows[0][0])
+            name = f"batch={rows[0][0]:020d}"
+            self._write_batch(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1), name)
+            self._mark(name, len(rows))
             self._seq = rows[-1][0]
             self._keys.update(r.row[1] for r in batch)
         except Exception as e:  # every writer of the batch gets the same answer
@@ -103,36 +131,53 @@ class Store:
         for r in batch:
             r.done = True
 
-    def _append(self, rows: DataFrame, first: int) -> None:
-        """One directory per batch, named by its first sequence number: a repeated write replaces itself."""
-        rows.write.mode("overwrite").parquet(f"{self.paths.wal(self.version.current_wal)}/batch={first:020d}")
+    def _batch_path(self, name: str) -> str:
+        return f"{self.paths.wal(self.version.current_wal)}/{name}"
+
+    def _write_batch(self, rows: DataFrame, name: str) -> None:
+        """A batch is named by its first sequence number: a repeated write replaces itself."""
+        rows.write.mode("overwrite").parquet(self._batch_path(name))
+
+    def _mark(self, name: str, entries: int) -> None:
+        """The commit point of a batch."""
+        self.files.write_text(f"{self._batch_path(name)}/{MARKER}", json.dumps({"Entries": entries}))
+
+    def _batches(self, number: int | None = None) -> list[str]:
+        """Names of the committed batches of a log."""
+        path = self.paths.wal(self.version.current_wal if number is None else number)
+        return [name for name in self.files.names(path) if self.files.exists(f"{path}/{name}/{MARKER}")]
 
     def append(self, rows: DataFrame, order: str, stream: str | None = None, batch_id: int | None = None) -> None:
         """Bulk write of rows (op, key, value), numbered densely in the order of a column.
 
-        Numbering takes one range exchange and one small count per partition. With stream and batch_id a
-        batch that was already committed is skipped.
+        The rows are dealt by range and stored once, numbered from the stored table, and written as one
+        batch. With stream and batch_id a batch that was already committed is skipped.
         """
         self._check_open()
         with self._lock:
-            done = dict(self.version.extra.get("Streams", {}))
-            if stream is not None and done.get(stream, -1) >= batch_id:
+            if stream is not None and self._streams.get(stream, -1) >= batch_id:
                 return
             if len(self._keys) >= self.options.flush_threshold:
                 self.flush()
-            n = dense_numbers(rows, order).select((F.col("_n") + self._seq).alias("seq"), F.col("op").cast("int").alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
             first = self._seq + 1
-            self._append(checked_log(n), first)
-            added = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.paths.wal(self.version.current_wal)}/batch={first:020d}")
-            self._seq += added.count()
-            fresh = added.select("key").distinct()
+            name = f"batch={first:020d}" + ("" if stream is None else f".{stream.encode().hex()}.{batch_id}")
+            stored = ranged(rows.select(F.col(order).alias("_order"), F.col("op").cast("int").alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), "_order")
+            try:
+                log = numbered(stored, "_n").select((F.col("_n") + self._seq).alias("seq"), "op", "key", "value")
+                self._write_batch(checked_log(log), name)
+                added = self.spark.read.schema(LOG_SCHEMA).parquet(self._batch_path(name))
+                n, low, high, want = *added.agg(F.count("*"), F.min("seq"), F.max("seq")).first(), stored.count()
+                if n != want or n and (low, high) != (first, first + n - 1):
+                    raise RuntimeError(f"a bulk write gave {n} of {want} rows, numbered {low} to {high} instead of {first} to {first + want - 1}")
+            finally:
+                release(stored)
+            self._mark(name, n)
+            self._seq += n
             if len(self._keys) < self.options.flush_threshold:
                 # Enough keys to know that the threshold is reached are enough.
-                self._keys.update(bytes(r[0]) for r in fresh.limit(2 * self.options.flush_threshold).collect())
+                self._keys.update(bytes(r[0]) for r in added.select("key").distinct().limit(2 * self.options.flush_threshold).collect())
             if stream is not None:
-                done[stream] = batch_id
-                self.version = Version(self.version.current_wal, self.version.levels, self.version.next_wal, self.version.next_run, {**self.version.extra, "Streams": done})
-                self._persist()
+                self._streams[stream] = batch_id
 
     def flush(self) -> None:
         """Turns the active log into a sorted run at level 0 and starts the next log."""
@@ -143,13 +188,13 @@ class Store:
             if meta is None:
                 return
             v = self.version.apply(add={0: [meta]}).with_wal(self.version.next_wal)
-            self.version = Version(v.current_wal, v.levels, v.next_wal, v.next_run, {**v.extra, "LastSeq": self._seq})
+            self.version = Version(v.current_wal, v.levels, v.next_wal, v.next_run, {**v.extra, "LastSeq": self._seq, "Streams": dict(self._streams)})
             self._persist()
             self._keys = set()
 
     def _write_run(self, state: DataFrame, level: int, number: int) -> FileMeta | None:
         path = self.paths.run(level, number)
-        state.select(*LOG_SCHEMA.names).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        state.select(*LOG_SCHEMA.names).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.options.false_positive_rate)).parquet(path)
         lo, hi, n = self.spark.read.schema(LOG_SCHEMA).parquet(path).agg(F.min("key"), F.max("key"), F.count("*")).first()
         return FileMeta(number, bytes(lo), bytes(hi), n) if n else None
 
@@ -169,11 +214,13 @@ class Store:
             self._persist()
 
     def vacuum(self) -> list[str]:
-        """Removes runs and logs that the manifest doesn't name; returns their paths."""
+        """Removes runs and logs that the manifest doesn't name, and interrupted batches; returns their paths."""
         with self._lock:
+            log = self.paths.wal(self.version.current_wal)
+            torn = [f"{log}/{x}" for x in sorted({*self.files.names(log)} - {*self._batches()})]
             keep = {self.paths.wal(self.version.current_wal)} | {self.paths.run(n, f.number) for n, files in enumerate(self.version.levels) for f in files}
             there = [f"{d}/{x}" for d in (f"{self.paths.base}/wal", *(f"{self.paths.base}/sstable/{n}" for n in range(len(self.version.levels)))) for x in self.files.names(d)]
-            gone = [p for p in there if p not in keep]
+            gone = [p for p in there if p not in keep] + torn
             for p in gone:
                 self.files.delete(p)
             return gone
@@ -203,9 +250,10 @@ class Store:
         return reduce(DataFrame.unionByName, frames, self._empty()) if frames else self._empty()
 
     def wal(self, number: int | None = None) -> DataFrame:
-        """The log, in no particular order; sort by seq for append order."""
+        """The committed batches of a log, in no particular order; sort by seq for append order."""
         path = self.paths.wal(self.version.current_wal if number is None else number)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{path}/batch=*") if self.files.exists(path) else self._empty()
+        names = self._batches(number)
+        return self.spark.read.schema(LOG_SCHEMA).parquet(*(f"{path}/{x}" for x in names)) if names else self._empty()
 
     def memtable(self) -> DataFrame:
         return L.latest(self.wal(), keep_tombstones=True)
@@ -243,13 +291,3 @@ class Store:
         runs = self.version.files(self.spark).select(F.concat(F.lit("L"), F.col("level").cast("string")).alias("tier"), F.concat(F.col("file_no").cast("string"), F.lit(".sst")).alias("name"), "entries", "smallest", "largest")
         return head.unionByName(runs)
 
-
-def dense_numbers(rows: DataFrame, order: str) -> DataFrame:
-    """Adds _n, 1..count in the order of a column (ties in any order): range exchange, then a running
-    count per partition over one small row each."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before), "_p").withColumn("_n", F.col("_before") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_c", "_first", "_before")

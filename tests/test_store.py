@@ -135,3 +135,95 @@ def test_cli(spark, tmp_path):
     h = cli.History()
     [h.add(x) for x in ["a", "a", "b", *map(str, range(1200))]]
     assert len(h.lines) == 1000 and h.last(1) == ["1199"]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_bulk_numbers_are_dense_and_in_order(spark, adaptive):
+    from pyspark.sql import functions as F
+
+    from keystrata.operators.ordered import numbered, ranged
+
+    n = 2_000_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(n).select(((F.col("id") * 1_000_003) % n).alias("ord"), F.rand(1).alias("x")).repartition(64)
+        out = numbered(ranged(rows, "ord"), "n")
+        assert tuple(out.agg(F.count("*"), F.countDistinct("n"), F.count_if(F.col("n") == F.col("ord") + 1)).first()) == (n, n, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_bulk_append_keeps_all_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.put("first", "1")
+    rows = spark.range(100_000).select(F.col("id").alias("ord"), F.lit(PUT).alias("op"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("v").alias("value"))
+    s.append(rows.orderBy(F.rand(3)).repartition(64), "ord")
+    got = s.wal().where("seq > 1").select("seq", F.expr("cast(substr(cast(key as string), 2) as long) + 2").alias("want"))
+    assert got.count() == 100_000 and got.where("seq <> want").count() == 0 and s.scan().count() == 100_001
+    s.put("last", "1")
+    assert s.wal().agg(F.max("seq")).first()[0] == 100_002
+    s.append(rows.limit(0), "ord")
+    assert Store.open(spark, str(tmp_path / "s")).scan().count() == 100_002
+
+
+@pytest.mark.parametrize("where", ["written", "marked"])
+def test_replayed_batch_after_a_crash(spark, tmp_path, monkeypatch, where):
+    batch = spark.createDataFrame([(1, 0, "a", "1"), (2, 0, "b", "2")], "ord long, op int, key string, value string")
+    s = Store.open(spark, str(tmp_path / "s"), flush_threshold=2)
+    s.append(batch.limit(0), "ord", stream="x", batch_id=0)
+    mark = Store._mark
+
+    def crash(self, name, entries):
+        if where == "marked":
+            mark(self, name, entries)
+        raise OSError("crash")
+
+    monkeypatch.setattr(Store, "_mark", crash)
+    with pytest.raises(OSError):
+        s.append(batch, "ord", stream="x", batch_id=1)
+    monkeypatch.undo()
+    again = Store.open(spark, str(tmp_path / "s"), flush_threshold=2)
+    assert again.wal().count() == (2 if where == "marked" else 0)
+    again.append(batch, "ord", stream="x", batch_id=1)
+    assert sorted(r.seq for r in again.wal().collect()) == [1, 2] and again.scan().count() == 2
+    again.put("c", "3")  # flushes; the batch is remembered by the manifest from now on
+    third = Store.open(spark, str(tmp_path / "s"), flush_threshold=2)
+    third.append(batch, "ord", stream="x", batch_id=1)
+    assert third.log().count() == 3
+
+
+def test_interrupted_batches_are_not_read(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.put("a", "1")
+    s._write_batch(spark.createDataFrame([(2, 0, bytearray(b"b"), bytearray(b"2"))], "seq long, op int, key binary, value binary"), "batch=torn")
+    assert rows(s.scan()) == {"a": "1"} and rows(Store.open(spark, str(tmp_path / "s")).scan()) == {"a": "1"}
+    assert any("torn" in p for p in s.vacuum()) and rows(s.scan()) == {"a": "1"}
+
+
+def test_segments_in_batches(spark):
+    rng = random.Random(9)
+    log = [(i + 1, f"k{rng.randrange(30)}") for i in range(700)]
+    for size in (1, 7, 50):
+        keys, segment, want = set(), 0, {}
+        for at in range(0, len(log), size):
+            if len(keys) >= 20:
+                keys, segment = set(), segment + 1
+            for seq, k in log[at : at + size]:
+                keys.add(k)
+                want[seq] = segment
+        segments.SPREAD, before = 64, segments.SPREAD
+        got = {r.seq: r.segment for r in segments.flush_segments(spark.createDataFrame(log, "seq long, key string").repartition(5), 20, batch_size=size).collect()}
+        segments.SPREAD = before
+        assert got == want
+
+
+def test_history_across_partitions(spark):
+    rng = random.Random(10)
+    cmds = [(i, rng.choice([None, "a", "b", "b", "b"])) for i in range(500)]
+    kept = [c for n, c in enumerate(cmds) if not n or cmds[n - 1][1] != c[1]][-60:]
+    got = segments.keep_last(spark.createDataFrame(cmds, "ord long, cmd string").repartition(7), 60).collect()
+    assert [tuple(r) for r in got] == kept
