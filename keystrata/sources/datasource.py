@@ -5,6 +5,11 @@
     df.write.format("sortedrun").mode("append").save("dir")
 
 A path is a file or a directory of files; each file is a partition. Writers give one file per task.
+
+lookup() and between() read runs through their filter and index: a list of keys costs one block for each key
+that a run may hold, bounds skip the blocks outside. They are options of the source and not pushed-down
+filters, because Spark 4.1 keeps the filters of one query in the DataFrame, and applies them to a later query
+of the same DataFrame that has none.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -42,6 +47,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, kind: str) -> None:
         self.path, self.kind = options["path"], kind
         self.permissive = str(options.get("permissive", "false")).lower() == "true"
+        self.keys = {bytes.fromhex(k) for k in options["keys"].split(",")} if "keys" in options else None
+        self.low, self.high = (bytes.fromhex(options[x]) if x in options else None for x in ("low", "high"))
 
     def partitions(self) -> list[InputPartition]:
         files, p = open_fs(self.path)
@@ -52,11 +59,19 @@ class _Reader(DataSourceReader):
 
     def read(self, part: FilePart) -> Iterator[tuple]:
         files, _ = open_fs(self.path)
-        with files.open_input_stream(part.path, compression=None) as f:
-            data = f.read()
-        entries = codec.Run(data).scan() if self.kind == "run" else codec.decode(data, permissive=self.permissive)
-        for n, (seq, op, key, value) in enumerate(entries):
-            yield part.path, n, seq, op, key, value
+        if self.kind != "run":
+            with files.open_input_stream(part.path, compression=None) as f:
+                for n, e in enumerate(codec.decode_stream(f.read, permissive=self.permissive)):
+                    yield part.path, n, *e
+            return
+        with files.open_input_file(part.path) as f:
+            run = codec.Run(size=f.size(), read_at=lambda at, n: f.read_at(n, at))
+            if self.keys is None:
+                found = run.numbered(self.low, self.high)
+            else:
+                found = filter(None, map(run.find, sorted(self.keys)))
+            for n, e in found:
+                yield part.path, n, *e
 
 
 class _Writer(DataSourceWriter):
@@ -71,7 +86,8 @@ class _Writer(DataSourceWriter):
         tmp, final = f"{p}/.{name}.tmp", f"{p}/{name}.{'sst' if self.kind == 'run' else 'log'}"
         with files.open_output_stream(tmp, compression=None) as f:
             if self.kind == "run":
-                f.write(codec.encode_run(entries, self.rate))
+                for piece in codec.run_pieces(entries, self.rate):
+                    f.write(piece)
             else:
                 for e in entries:
                     f.write(codec.encode(*e))
@@ -118,3 +134,18 @@ class SortedRun(EntryLog):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(EntryLog)
     spark.dataSource.register(SortedRun)
+
+
+def lookup(spark: SparkSession, path: str, keys: list[bytes]) -> DataFrame:
+    """The entries of some keys in runs: filter, index floor and one block for each key and run."""
+    if not keys:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.format("sortedrun").option("keys", ",".join(bytes(k).hex() for k in keys)).load(path)
+
+
+def between(spark: SparkSession, path: str, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+    """The entries with low <= key <= high in runs."""
+    source = spark.read.format("sortedrun")
+    for name, value in (("low", low), ("high", high)):
+        source = source if value is None else source.option(name, bytes(value).hex())
+    return source.load(path)

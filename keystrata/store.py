@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from keystrata.model import DELETE, LOG_SCHEMA, PUT, InvalidKey, KeyNotFound, Options, Paths, checked_log
 from keystrata.operators import latest as L
+from keystrata.operators.layout import block_index, blocks
 from keystrata.operators.manifest import FileMeta, Version
 from keystrata.operators.ordered import numbered, ranged
 from keystrata.sources.hadoop import Files
@@ -284,10 +285,32 @@ class Store:
         return L.latest(self.log(), upto=upto).select("key", "value").orderBy("key")
 
     def inspect(self) -> DataFrame:
-        """(tier, name, entries, smallest, largest): memtable and log, then each run."""
-        m, w = self.memtable(), self.wal()
-        head = m.agg(F.lit("memtable").alias("tier"), F.lit("memtable").alias("name"), F.count("*").alias("entries"), F.min("key").alias("smallest"), F.max("key").alias("largest"))
-        head = head.unionByName(w.agg(F.lit("memtable").alias("tier"), F.lit(f"wal/{self.version.current_wal}.log").alias("name"), F.count("*").alias("entries"), F.min("key").alias("smallest"), F.max("key").alias("largest")))
-        runs = self.version.files(self.spark).select(F.concat(F.lit("L"), F.col("level").cast("string")).alias("tier"), F.concat(F.col("file_no").cast("string"), F.lit(".sst")).alias("name"), "entries", "smallest", "largest")
-        return head.unionByName(runs)
-
+        """(tier, name, entries, smallest, largest, status, tier_entries): memtable and log (tier LM), then
+        each run. A level without runs has a row with status empty; a run whose files are gone has status
+        error, no entries, and doesn't count in its level's total."""
+        head = [frame.agg(F.lit("LM").alias("tier"), F.lit(name).alias("name"), F.count("*").alias("entries"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.lit("ok").alias("status")) for frame, name in ((self.memtable(), "memtable"), (self.wal(), f"wal/{self.version.current_wal}.log"))]
+        rows = []
+        for n, files in enumerate(self.version.levels):
+            rows += [] if files else [(f"L{n}", None, None, None, None, "empty")]
+            for f in files:
+                ok = self.files.exists(f"{self.paths.run(n, f.number)}/_SUCCESS")
+                rows.append((f"L{n}", f"{f.number}.sst", f.entries if ok else None, bytearray(f.smallest), bytearray(f.largest), "ok" if ok else "error"))
+        runs = self.spark.createDataFrame(rows, "tier string, name string, entries long, smallest binary, largest binary, status string")
+        every = reduce(DataFrame.unionByName, [*head, runs])
+        totals = every.groupBy("tier").agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("tier_entries"))
+        return every.join(totals, "tier")
+
+    def blocks(self, level: int, number: int) -> DataFrame:
+        """(block, block_offset, first_key, entries) of a run."""
+        found = [f for f in self.version.levels[level] if f.number == number]
+        if not found:
+            raise FileNotFoundError(self.paths.run(level, number))
+        rows = self._run(level, found[0]).select(F.lit(number).cast("long").alias("run"), "key", "value")
+        return block_index(blocks(rows)).select("block", "block_offset", "first_key", "entries").orderBy("block")
+
+    def range_scan(self, low: bytes | str, high: bytes | str, reverse: bool = False) -> DataFrame:
+        """Live rows (key, value) with low <= key < high, in key order or against it."""
+        a, b = _bytes(low), _bytes(high)
+        runs = [self._run(n, f) for n, files in enumerate(self.version.levels) for f in files if f.largest >= a and f.smallest < b]
+        found = L.range_scan(self._union([self.wal(), *runs]), bytearray(a), bytearray(b))
+        return found.orderBy(F.desc("key")) if reverse else found

@@ -8,7 +8,7 @@ from keystrata.model import DELETE, PUT, IncompleteEntry, InvalidKey, KeyNotFoun
 from keystrata.operators import segments
 from keystrata.operators.manifest import FileMeta, Version, parse_manifest
 from keystrata.sources import codec
-from keystrata.sources.datasource import register
+from keystrata.sources.datasource import between, lookup, register
 from keystrata.streaming.ingest import ingest, live_state
 
 
@@ -82,6 +82,30 @@ def test_codec_and_sources(spark, tmp_path):
         assert [(r.seq, r.op, bytes(r.key), bytes(r.value) if r.value is not None else None) for r in back] == entries
 
 
+def test_run_source_reads_by_key(spark, tmp_path):
+    entries = [(i, PUT, b"%05d" % (2 * i), b"v%d" % i) for i in range(1000)]
+    path = tmp_path / "runs"
+    path.mkdir()
+    (path / "0.sst").write_bytes(codec.encode_run(entries, 0.01))
+    data = (path / "0.sst").read_bytes()
+    asked = []
+    run = codec.Run(size=len(data), read_at=lambda at, n: asked.append(n) or data[at : at + n])
+    assert list(run.scan()) == entries and run.find(b"00100") == (50, entries[50]) and run.find(b"00101") is None
+    asked.clear()
+    assert [e[2] for e in run.scan(b"00700", b"00710")] == [b"%05d" % k for k in range(700, 711, 2)] and len(asked) == 1
+    register(spark)
+    keys = lambda df: [bytes(r.key) for r in df.orderBy("key").collect()]
+    assert keys(lookup(spark, str(path), [b"00100"])) == [b"00100"] and keys(lookup(spark, str(path), [b"00101"])) == keys(lookup(spark, str(path), [])) == []
+    assert keys(lookup(spark, str(path), [b"00002", b"00003", b"01998", b""])) == [b"00002", b"01998"]
+    assert keys(between(spark, str(path), b"00701", b"00710")) == [b"%05d" % k for k in range(702, 711, 2)] and keys(between(spark, str(path), high=b"00003")) == [b"00000", b"00002"]
+    assert lookup(spark, str(path), [b"00100"]).first().ord == 50 and between(spark, str(path)).count() == 1000
+    stream = [data[: 13 + 5 + 2], data[20:50], data[50 : run.filter_at]]
+    assert list(codec.decode_stream(lambda n: stream.pop(0) if stream else b"")) == entries
+    torn = [data[:30]]
+    with pytest.raises(IncompleteEntry):
+        list(codec.decode_stream(lambda n: torn.pop(0) if torn else b""))
+
+
 def test_bloom_params_and_rate():
     from keystrata.functions.bloom import params
 
@@ -132,6 +156,14 @@ def test_cli(spark, tmp_path):
     assert "52 pairs" in cli.dispatch(s, "seed 2") and cli.dispatch(s, "get apple1") == "artichoke1"
     assert cli.dispatch(s, "flush") == "ok" and "0.sst" in cli.dispatch(s, "inspect") and "total 53" in cli.dispatch(s, "dump sstable/0/0.sst")
     assert "sstable/0/0.sst" in cli.complete(s, "sst")
+    assert "L1: (empty)" in cli.dispatch(s, "inspect") and "L0: 53 entries" in cli.dispatch(s, "inspect") and "1 blocks\nblock 0: offset 0, first key apple0" in cli.dispatch(s, "inspect sstable/0/0.sst")
+    assert [r.key for r in s.range_scan("a", "b", reverse=True).collect()] == [b"apple1", b"apple0"]
+    s.files.delete(s.paths.run(0, 0))
+    assert {(r.tier, r["name"], r.entries, r.status, r.tier_entries) for r in s.inspect().collect() if r.tier == "L0"} == {("L0", "0.sst", None, "error", 0)}
+    saved = cli.History(s.files, f"{s.paths.base}/.history")
+    saved.add("put a b")
+    saved.save()
+    assert cli.History(s.files, f"{s.paths.base}/.history").lines == ["put a b"]
     h = cli.History()
     [h.add(x) for x in ["a", "a", "b", *map(str, range(1200))]]
     assert len(h.lines) == 1000 and h.last(1) == ["1199"]
