@@ -1,10 +1,8 @@
-"""What the operators share: scratch tables, chunked text, word shingles, grouped streams, components."""
+"""What the operators share: chunked text, word shingles, grouped streams, components; and the scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -15,43 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-#: Text handled at once inside a task.
-CHUNK_BYTES = 1 << 20
-
-
-# -- scratch tables -------------------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            return have.get()
-        d = f"file://{tempfile.mkdtemp()}"
-        spark.sparkContext.setCheckpointDir(d)
-        d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return d.rstrip("/")
+from keystrata.sources.scratch import materialize, release, releasing, shared_dir
 
+__all__ = ["arrow_schema", "as_batch", "components", "grouped", "keep_rows", "map_text", "materialize", "mix64", "release", "releasing", "shared_dir", "shingles", "text_slices", "unused", "words"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, and a lost executor
-    costs no recomputation of what lies before. release() removes the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing reads any more."""
-    for df in frames:
-        spark, path = df.sparkSession, df._scratch_path
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Text handled at once inside a task.
+CHUNK_BYTES = 1 << 20
 
 
 # -- Arrow streams --------------------------------------------------------------------------------
@@ -133,6 +100,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name like name that none of columns has (names don't tell cases apart)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # -- words and shingles ---------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -6,14 +6,17 @@ network is a bijection of exactly the valid values. Equal values get equal pseud
 different ones different pseudonyms. Separators stay where they were.
 
     card       13 to 19 digits with a valid check digit: the payload is permuted, the check digit made anew
-    number     13 to 19 digits otherwise: all digits
     ssn        ddd-dd-dddd with a valid area, group and serial: within the valid ones
-    phone      the ten digits after an optional country code: the seven of the line are permuted, with the area
+    phone      the ten digits after an optional country code
     ip         IPv4 with valid octets: all 32 bits
-    date       yyyy-mm-dd, dd/mm/yyyy or mm/dd/yyyy, valid, 1800 to 2199: the day among the 146,097 of 400 years
+    date       yyyy-mm-dd, valid, 1800 to 2199: the day among the 146,097 of 400 years
+               dd/mm/yyyy, valid: the same days, written day first
+               mm/dd/yyyy that is no valid dd/mm/yyyy: the 88,497 days after the 12th, written month first
 
-Mail addresses and secrets have no such format; they get keyed hashes of the same shape. Values that are
-not valid, such as an address with an octet of 300 or the 31st of April, stay.
+Each line is closed under its permutation: a date that can be read day first stays one, so no two dates share
+a pseudonym. Mail addresses and secrets have no such format; they get keyed hashes of the same shape. Values
+that are not valid, such as digits with a wrong check digit, an address with an octet of 300 or the 31st of
+April, stay.
 
 Text is cut once at the matches of one expression and put together again from the pieces between and the
 pseudonyms, so every row is handled in place: no exchange, no join, no Python.
@@ -28,6 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.common import unused
+
 ROUNDS = 10
 
 # The shapes that are looked for.
@@ -106,12 +111,13 @@ def refilled(shape: Column, digits: Column) -> Column:
 
 
 def number(key: str, m: Column) -> Column:
-    def body(d: Column) -> Column:
+    """13 to 19 digits: a new payload and its check digit, if the check digit is right."""
+
+    def card(d: Column) -> Column:
         payload = F.substr(d, F.lit(1), F.length(d) - 1)
-        card = let(permuted_digits(key, "card", payload), lambda p: F.concat(p, ((10 - luhn_sum(p, True)) % 10).cast("string")))
-        return F.when(luhn_sum(d, False) == 0, card).otherwise(permuted_digits(key, "number", d))
+        return let(permuted_digits(key, "card", payload), lambda p: F.concat(p, ((10 - luhn_sum(p, True)) % 10).cast("string")))
 
-    return let(only_digits(m), lambda d: refilled(m, body(d)))
+    return let(only_digits(m), lambda d: F.when(luhn_sum(d, False) == 0, refilled(m, card(d))).otherwise(m))
 
 
 def phone(key: str, m: Column) -> Column:
@@ -145,15 +151,18 @@ def ip(key: str, m: Column) -> Column:
     return let(F.split(m, r"\."), body)
 
 
+#: Days after the 12th of a month in 400 years, as 9 x 9,833.
+LATE_DAYS = 9 * 9833
+
+
 def date(key: str, m: Column) -> Column:
     """146,097 days from 1800-01-01, as 27 x 5,411. A slashed date is day first unless only month first is valid."""
-    forms = [("yyyy-MM-dd", m.rlike("-")), ("dd/MM/yyyy", m.rlike("/")), ("MM/dd/yyyy", m.rlike("/"))]
     first = F.lit("1800-01-01").cast("date")
 
     def of(form: str, when: Column) -> Column:
         return F.when(when, F.try_to_date(m, form)) if hasattr(F, "try_to_date") else F.when(when, F.try_to_timestamp(m, F.lit(form)).cast("date"))
 
-    def body(form: str) -> Callable[[Column], Column]:
+    def any_day(form: str) -> Callable[[Column], Column]:
         def build(d: Column) -> Column:
             n = F.date_diff(d, first)
             text = lambda p, q: F.date_format(F.date_add(first, (p * 5411 + q).cast("int")), form)
@@ -161,7 +170,26 @@ def date(key: str, m: Column) -> Column:
 
         return build
 
-    return F.coalesce(*[let(of(form, when), body(form)) for form, when in forms], m)
+    def late_day(d: Column) -> Column:
+        """Within the days after the 12th: numbered by leaving the first twelve days of each month out."""
+        month = lambda d: (F.year(d) - 1800) * 12 + F.month(d) - 1
+        days_before = lambda k: F.date_diff(F.add_months(first, k.cast("int")), first) - 12 * k
+        n = days_before(month(d)) + F.dayofmonth(d) - 13
+
+        def text(p: Column, q: Column) -> Column:
+            def written(i: Column) -> Column:
+                # A month has 18.4369 such days in the mean, and the true one is next to the quotient.
+                near = F.floor(i * 4800 / LATE_DAYS).cast("int")
+                ks = F.filter(F.sequence(near - 2, near + 2), lambda k: days_before(k) <= i)
+                return let(F.array_max(ks), lambda k: F.date_format(F.date_add(F.add_months(first, k), (i - days_before(k) + 12).cast("int")), "MM/dd/yyyy"))
+
+            return let(p * 9833 + q, written)
+
+        return F.when(F.year(d).between(1800, 2199), feistel(key, "late", F.floor(n / 9833), n % 9833, F.lit(9), F.lit(9833), text))
+
+    forms = [("yyyy-MM-dd", m.rlike("-"), any_day("yyyy-MM-dd")), ("dd/MM/yyyy", m.rlike("/"), any_day("dd/MM/yyyy")), ("MM/dd/yyyy", m.rlike("/"), late_day)]
+    # A date that can be read day first never comes to the last form: it is out of range in both or in none.
+    return F.coalesce(*[let(of(form, when), body) for form, when, body in forms], m)
 
 
 def email(key: str, m: Column) -> Column:
@@ -202,18 +230,23 @@ def pseudonymize(text: Column, key: str) -> Column:
     gaps = F.split(text, ANY, -1)
 
     def joined(ms: Column) -> Column:
-        replaced = F.concat(F.transform(ms, lambda m: pseudonym(key, m)), F.array(F.lit("")))
-        whole = F.array_join(F.zip_with(gaps, replaced, lambda g, r: F.concat(g, r)), "")
-        return F.struct(F.when(F.size(ms) == 0, text).otherwise(whole).alias("text"), F.size(ms).alias("found"))
+        def built(rs: Column) -> Column:
+            whole = F.array_join(F.zip_with(gaps, F.concat(rs, F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
+            changed = F.size(F.filter(F.zip_with(ms, rs, lambda m, r: m != r), lambda x: x))
+            return F.struct(F.when(F.size(ms) == 0, text).otherwise(whole).alias("text"), changed.alias("found"))
+
+        return let(F.transform(ms, lambda m: pseudonym(key, m)), built)
 
     plain = F.struct(text.alias("text"), F.lit(0).alias("found"))
     return F.when(text.rlike(HINT), let(matches, joined)).otherwise(plain)
 
 
 def pii_columns(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with its text replaced and n_pii added (an existing n_pii is replaced)."""
-    out = docs.drop("n_pii").withColumn("_pii", pseudonymize(F.col(text), key))
-    return out.withColumns({text: F.col("_pii.text"), "n_pii": F.coalesce(F.col("_pii.found"), F.lit(0))}).drop("_pii")
+    """docs with its text replaced and n_pii, the number of values replaced, added (an existing n_pii is replaced)."""
+    rest = docs.drop("n_pii")
+    both = unused(rest.columns, "_pii")
+    out = rest.withColumn(both, pseudonymize(F.col(text), key))
+    return out.withColumns({text: F.col(both)["text"], "n_pii": F.coalesce(F.col(both)["found"], F.lit(0))}).drop(both)
 
 
 def pii_stage(docs: DataFrame, key: str) -> DataFrame:
