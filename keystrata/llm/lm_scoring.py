@@ -1,23 +1,24 @@
 """Document scores by masked pseudo-likelihood under a bidirectional window network, trained in numpy.
 
-The network predicts every token from the two on each side of it: each of the four positions has its own
-table of hidden vectors, their sum goes through tanh, and a softmax layer gives the token's distribution.
-A document's score is the sum of the log-probabilities of its tokens, each given both sides.
-
-A token's probability is p(class) p(word | class). The network gives the class: the most frequent words
-of the whole corpus have one each, the others fall into classes by a hash of their ending. Within a class
-a word's probability comes from the counts of all words over all documents, each less DISCOUNT; what is
-taken off is the share of words outside of the corpus. The counts of the CACHED most frequent words are
-sent to all tasks; a text's other words are joined with the table of counts, which stays distributed.
-
-The network is trained on a fixed share of the different texts, so that the training text grows with the
-corpus and a copied text counts once: each worker starts a round from the common parameters, trains on
-its part, and the parameters are averaged in two steps, so that MERGED sets of them reach the driver
-however many workers there are.
-
-Edge cases: a null text, or one without words, has no tokens, log-likelihood 0 and no score; documents
-shorter than the window are filled up with boundary tokens; without any training text the network is
-uniform.
+The network predicts every token from its neighbours on both sides: each side has its own table of hidden
+vectors, their sum goes through tanh, and a softmax layer gives the token's distribution. A document's score
+is the sum of the log-probabilities of its tokens, each given both sides.
+
+A token's probability is p(class | both neighbours) p(word | class). The network gives the class: the most
+frequent words of the whole corpus have one each, the others fall into classes by a hash of their ending.
+Within a class a word's probability comes from the counts of all words over all documents, each less
+DISCOUNT; what is taken off is the share of words outside of the corpus. The counts of the CACHED most
+frequent words are sent to all tasks; a text's other words are joined with the table of counts, which stays
+distributed.
+
+The network is trained on all tokens of all documents. The window of a token is three classes, so the
+corpus enters as the number of times that each window occurs: whole numbers, counted side by side and added
+up, the same however the rows are dealt. They are CLASSES^3 at most, and training draws contexts from them
+as often as they occur, with the distribution of the tokens that were seen there.
+
+Edge cases: a null text, or one without words, has no tokens, log-likelihood 0 and no score; a text's first
+and last word have a boundary token as their neighbour; equal texts get equal scores, and each counts;
+without any word the network is uniform.
 """
 
 from __future__ import annotations
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, map_text, materialize, text_slices, words
+from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, release, text_slices, words
 
-FREQUENT, ENDINGS = 95, 32
+FREQUENT, ENDINGS = 191, 64
 CLASSES = 1 + FREQUENT + ENDINGS
-HIDDEN, SIDE = 32, 2
-#: One document in TRAINED is trained on; passes over them; sets of parameters that reach the driver.
-TRAINED, ROUNDS, MERGED = 40, 3, 8
-BATCH, RATE = 512, 0.5
+HIDDEN, SIDE = 32, 1
+#: Steps of training, contexts in a step, and the step size of the first; it falls to 0.
+STEPS, BATCH, RATE = 1500, 1024, 0.02
 COUNTED = 200_000
+#: Blocks that the counts of windows are cut into, and groups of tasks that are added up first.
+BLOCKS, GROUPS = 64, 16
 #: Words at most whose counts are sent to all tasks.
 CACHED = 1 << 17
 DISCOUNT = 0.5
@@ -133,57 +135,48 @@ class Words(dict):
 
 
 class Network:
-    """tables (2 SIDE, CLASSES, HIDDEN), out (HIDDEN, CLASSES), bias (CLASSES), in single precision."""
+    """tables (2, CLASSES, HIDDEN) for the left and right neighbour, out (HIDDEN, CLASSES), bias (CLASSES)."""
+
+    SIZES = (2 * CLASSES * HIDDEN, HIDDEN * CLASSES, CLASSES)
 
     def __init__(self, flat: np.ndarray | None = None) -> None:
-        n = 2 * SIDE * CLASSES * HIDDEN
         if flat is None:
             rng = np.random.default_rng(11)
-            flat = np.concatenate([rng.normal(0, 0.1, n + HIDDEN * CLASSES), np.zeros(CLASSES)])
+            flat = np.concatenate([rng.normal(0, 0.1, sum(self.SIZES[:2])), np.zeros(CLASSES)])
         self.flat = flat.astype(np.float32)
-        self.tables = self.flat[:n].reshape(2 * SIDE, CLASSES, HIDDEN)
-        self.out = self.flat[n : n + HIDDEN * CLASSES].reshape(HIDDEN, CLASSES)
-        self.bias = self.flat[n + HIDDEN * CLASSES :]
-
-    def hidden(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        around = [tokens[at + d] for d in range(-SIDE, SIDE + 1) if d]
-        h = self.tables[0][around[0]]
-        for i in range(1, len(around)):
-            h = h + self.tables[i][around[i]]
-        return np.tanh(h), around
-
-    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """ln p of the token at each place, given both sides."""
-        out = np.empty(len(at), np.float32)
-        for a in range(0, len(at), 8192):
-            part = at[a : a + 8192]
-            z = self.hidden(tokens, part)[0] @ self.out
-            z += self.bias
-            own = z[np.arange(len(part)), tokens[part]].copy()
-            np.exp(z, out=z)  # logits stay small: training clips its steps
-            out[a : a + 8192] = own - np.log(z.sum(axis=1))
+        tables, out, self.bias = np.split(self.flat, np.cumsum(self.SIZES)[:2])
+        self.tables, self.out = tables.reshape(2, CLASSES, HIDDEN), out.reshape(HIDDEN, CLASSES)
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """context: left * CLASSES + right."""
+        return np.tanh(self.tables[0][context // CLASSES] + self.tables[1][context % CLASSES])
+
+    def log_table(self) -> np.ndarray:
+        """ln p(class | context) of all contexts, one row each."""
+        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
+        for at in range(0, len(out), 8192):
+            z = self.hidden(np.arange(at, min(at + 8192, len(out)))) @ self.out + self.bias
+            z -= z.max(axis=1, keepdims=True)
+            out[at : at + 8192] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
 
-    def train(self, tokens: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of stochastic gradient descent over the places, in a random order."""
-        at = rng.permutation(at)
-        for a in range(0, len(at), BATCH):
-            part = at[a : a + BATCH]
-            h, around = self.hidden(tokens, part)
-            z = h @ self.out + self.bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), tokens[part]] -= 1
-            p *= np.float32(RATE / len(part))
-            back = (p @ self.out.T) * (1 - h * h)
-            self.out -= np.clip(h.T @ p, -0.1, 0.1)
-            self.bias -= np.clip(p.sum(axis=0), -0.1, 0.1)
-            for i, c in enumerate(around):
-                # The gradient of a table is summed over equal classes as a product with their indicator.
-                hot = np.zeros((len(part), CLASSES), np.float32)
-                hot[np.arange(len(part)), c] = 1
-                self.tables[i] -= np.clip(hot.T @ back, -0.1, 0.1) * np.float32(4)
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the mean cross-entropy between the targets' distributions and the network's, laid out as flat."""
+        h = self.hidden(context)
+        p = h @ self.out + self.bias
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p -= target
+        p /= np.float32(len(context))
+        back = (p @ self.out.T) * (1 - h * h)
+        grad = np.zeros_like(self.flat)
+        tables = grad[: self.SIZES[0]].reshape(2, CLASSES, HIDDEN)
+        np.add.at(tables[0], context // CLASSES, back)
+        np.add.at(tables[1], context % CLASSES, back)
+        grad[self.SIZES[0] : -CLASSES] = (h.T @ p).ravel()
+        grad[-CLASSES:] = p.sum(axis=0)
+        return grad
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -191,68 +184,105 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(SIDE * (2 * np.arange(len(sizes)) + 1), sizes)
 
 
-def fit(docs: DataFrame, frequent: list[bytes], parts: int = MERGED) -> Network:
-    """The network after ROUNDS of training on one text in TRAINED, drawn by a hash; equal texts count once."""
-    spark, classes = docs.sparkSession, Classes(frequent)
-    drawn = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(TRAINED)) == 0))
-    drawn = drawn.select("text", F.xxhash64("text").alias("rid")).dropDuplicates(["rid"]).repartition(parts, "rid").sortWithinPartitions("rid")
-    sample = materialize(map_text(drawn.select("text"), "tokens binary", lambda s: {"tokens": [classes.encode([t])[0].astype(np.uint8).tobytes() for t in s.column("text").to_pylist()]}))
-    schema = arrow_schema("flat binary, weight double, part int")
-    net = Network()
-    for r in range(ROUNDS):
-        held = spark.sparkContext.broadcast(net.flat)
-
-        def work(batches, held=held, r=r):
-            mine, rng, seen = Network(held.value.copy()), np.random.default_rng(100 + r), 0
-            for b in batches:
-                texts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b.column("tokens").to_pylist()]
-                at = 0
-                while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and size < 1 << 18:
-                        size += len(texts[end])
-                        end += 1
-                    part = texts[at:end]
-                    sizes = np.array([len(x) - 2 * SIDE for x in part])
-                    mine.train(np.concatenate(part), _places(sizes), rng)
-                    seen += int(sizes.sum())
-                    at = end
-            if seen:
-                yield as_batch(schema, {"flat": [mine.flat.tobytes()], "weight": [float(seen)], "part": [seen % MERGED]})
-
-        def merge(batches):
-            total, weight = 0.0, 0.0
-            for b in batches:
-                for x, w in zip(b.column("flat").to_pylist(), b.column("weight").to_pylist(), strict=True):
-                    total, weight = total + np.frombuffer(x, np.float32).astype(np.float64) * w, weight + w
-            if weight:
-                yield as_batch(schema, {"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight], "part": [0]})
-
-        kind = "flat binary, weight double, part int"
-        found = sample.mapInArrow(work, kind).repartition(MERGED, "part").mapInArrow(merge, kind).collect()
-        weight = sum(x["weight"] for x in found)
-        if not weight:
-            return Network(np.zeros_like(net.flat))
-        net = Network(sum(np.frombuffer(bytes(x["flat"]), np.float32).astype(np.float64) * x["weight"] for x in found) / weight)
+def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of each place's window: (left, right, own)."""
+    return (tokens[at - 1] * CLASSES + tokens[at + 1]) * CLASSES + tokens[at]
+
+
+PART = "block int, grp int, code binary, n binary"
+
+
+def _added(batches, keys: list[str], schema: pa.Schema):
+    """One row for each group of PART rows: the sum of its counts."""
+    width = -(-(CLASSES**3) // BLOCKS)
+    for g in grouped(batches, keys):
+        block, total = g.column("block")[0].as_py(), np.zeros(width, np.int64)
+        for code, n in zip(g.column("code").to_pylist(), g.column("n").to_pylist(), strict=True):
+            total[np.frombuffer(code, np.uint32)] += np.frombuffer(n, np.int64)
+        at = np.flatnonzero(total)
+        yield as_batch(schema, {"block": [block], "grp": [g.column("grp")[0].as_py()], "code": [at.astype(np.uint32).tobytes()], "n": [total[at].tobytes()]})
+
+
+def window_counts(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """(block, grp, code, n): how often each window occurs in all documents, packed by block of windows; a
+    code is the window's place in its block. A task counts its rows in one array."""
+    schema, classes, width = arrow_schema(PART), Classes(frequent), -(-(CLASSES**3) // BLOCKS)
+
+    def count(batches):
+        total, seen = np.zeros(BLOCKS * width, np.uint32), 0
+
+        def rows() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            cut = np.searchsorted(at, np.arange(BLOCKS + 1) * width)
+            full = [b for b in range(BLOCKS) if cut[b] < cut[b + 1]]
+            codes = [(at[cut[b] : cut[b + 1]] - b * width).astype(np.uint32).tobytes() for b in full]
+            ns = [total[at[cut[b] : cut[b + 1]]].astype(np.int64).tobytes() for b in full]
+            return as_batch(schema, {"block": full, "grp": [0] * len(full), "code": codes, "n": ns})
+
+        for b in batches:
+            for s in text_slices(b):
+                tokens, sizes = classes.encode(s.column("text").to_pylist())
+                code, n = np.unique(windows(tokens, _places(sizes)), return_counts=True)
+                total[code] += n.astype(np.uint32)
+                seen += int(sizes.sum())
+                if seen > 1 << 31:
+                    yield rows()
+                    total[:], seen = 0, 0
+        yield rows()
+
+    parts = docs.select("text").mapInArrow(count, PART).withColumn("grp", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    by = ["block", "grp"]
+    some = parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda b: _added(b, by, schema), PART)
+    return some.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _added(b, ["block"], schema), PART)
+
+
+def dense(table: DataFrame) -> np.ndarray:
+    """The counts as an array (contexts, classes); a row for each block reaches the driver."""
+    width = -(-(CLASSES**3) // BLOCKS)
+    out = np.zeros(BLOCKS * width, np.float32)
+    for r in table.select("block", "code", "n").toLocalIterator():
+        out[r["block"] * width + np.frombuffer(bytes(r["code"]), np.uint32).astype(np.int64)] = np.frombuffer(bytes(r["n"]), np.int64)
+    return out[: CLASSES**3].reshape(-1, CLASSES)
+
+
+def fit(counts: np.ndarray, steps: int = STEPS) -> Network:
+    """Trains on counts (contexts, classes): each step draws contexts as often as they occur (Adam)."""
+    of_context = counts.sum(axis=1, dtype=np.float64)
+    total = of_context.sum()
+    if not total:
+        return Network(np.zeros(sum(Network.SIZES)))
+    net, rng = Network(), np.random.default_rng(12)
+    net.bias[:] = np.log((counts.sum(axis=0, dtype=np.float64) + 0.5) / (total + 0.5 * CLASSES))
+    up = np.cumsum(of_context) / total
+    m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+    for t in range(1, steps + 1):
+        context = np.minimum(np.searchsorted(up, rng.random(BATCH), "right"), len(up) - 1)
+        context = context[of_context[context] > 0]
+        g = net.gradient(context, counts[context] / of_context[context, None].astype(np.float32))
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        net.flat -= np.float32(RATE * (1 - (t - 1) / steps)) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
     return net
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_tokens, log_likelihood, and score, the mean log-probability of a token."""
+    """Per document: doc_id, score (the mean log-probability of a token), log_likelihood (their sum), n_tokens."""
     table = counts(docs)
     frequent = vocabulary(table)
     known = [(bytes(r["word"]), r["n"]) for r in cached(table)]
     totals = np.zeros(ENDINGS)
     for r in table.where(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("n").alias("n")).collect():
         totals[r["ending"]] = r["n"]
-    net = fit(docs, frequent, max(MERGED, int(totals.sum()) >> 22))
+    seen = materialize(window_counts(docs, frequent))
+    net = fit(dense(seen))
+    release(seen)
     held = docs.sparkSession.sparkContext.broadcast((frequent, net.flat, known, totals))  # bounded by CACHED
-    made: list[Words] = []
+    made: list = []
 
     def run(s: pa.RecordBatch) -> dict:
         if not made:
-            made.append(Words(held.value[0], *held.value[2:]))
-        vocab = made[0]
+            made.extend([Words(held.value[0], *held.value[2:]), Network(held.value[1]).log_table().ravel()])
+        vocab, table = made
         lists = [words(t) for t in s.column("text").to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
         n, places = int(sizes.sum()), _places(sizes)
@@ -263,7 +293,7 @@ def score(docs: DataFrame) -> DataFrame:
         far = (number >= vocab.size) & (cls > FREQUENT)
         tokens = np.zeros(n + 2 * SIDE * len(lists), np.int64)
         tokens[places] = cls
-        log_p = Network(held.value[1]).log_probabilities(tokens, places).astype(np.float64)
+        log_p = table[windows(tokens, places)].astype(np.float64)
         log_p += np.concatenate([vocab.log_n, np.zeros(len(others))])[number] - vocab.log_total[cls]
         total = np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(sizes)])])
         pairs, c = np.unique(np.repeat(np.arange(len(lists)), sizes)[far] * (len(others) + 1) + number[far] - vocab.size, return_counts=True)
@@ -280,4 +310,4 @@ def score(docs: DataFrame) -> DataFrame:
     rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * F.log(F.col("n") - DISCOUNT)).alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
     out = part.select("row", "doc_id", "n_tokens", "known").join(rest, "row", "left").withColumn("log_likelihood", total)
-    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"))
+    return out.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"), "log_likelihood", "n_tokens")

@@ -6,7 +6,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -287,7 +287,7 @@ def test_lm_scoring(spark, docs, empty, corpus, monkeypatch):
 def test_lm_words_within_classes(spark, monkeypatch):
     """A garbled word of the same class scores below a repeated one, by the counts; cached or joined."""
     rng = random.Random(6)
-    common = [f"c{i}" for i in range(95)]
+    common = [f"c{i}" for i in range(lm_scoring.FREQUENT)]
     rare = [f"word{i}abc" for i in range(8)]
     texts = [" ".join(common * 2 + rng.sample(common, 20)) for _ in range(20)] + [" ".join(rare)] * 20
     texts += [" ".join("q" + w for w in rare), None, ""]
@@ -301,29 +301,86 @@ def test_lm_words_within_classes(spark, monkeypatch):
     assert all(abs(got[0][i] - got[1][i]) < 1e-2 for i in got[0])
 
 
-def test_lm_trains_on_a_copied_text_once(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "TRAINED", 1)
-    rng = random.Random(7)
-    texts = [" ".join(rng.choice("abcdef") for _ in range(40)) for _ in range(30)]
-    one, many = (spark.createDataFrame([(t,) for t in x], "text string") for x in (texts, texts + texts[:1] * 60))
-    a, b = (lm_scoring.fit(x, [b"a", b"b"]).flat for x in (one, many))
-    assert np.allclose(a, b, atol=1e-5)
+def brute_lm(texts):
+    """Scores by the definition: counts of words and windows in plain dictionaries, one token at a time."""
+    lists = [lm_scoring.words(t) for t in texts]
+    n = Counter(w for ws in lists for w in ws)
+    frequent = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.FREQUENT]]
+    cls = lambda w: frequent.index(w) + 1 if w in frequent else 1 + lm_scoring.FREQUENT + lm_scoring.ending(w)
+    seen, total = np.zeros((lm_scoring.CLASSES**2, lm_scoring.CLASSES), np.float32), Counter()
+    for w, c in n.items():
+        total[cls(w)] += c
+    padded = [[0, *map(cls, ws), 0] for ws in lists]
+    for x in padded:
+        for i in range(1, len(x) - 1):
+            seen[x[i - 1] * lm_scoring.CLASSES + x[i + 1], x[i]] += 1
+    net = lm_scoring.fit(seen)
+    out = []
+    for ws, x in zip(lists, padded, strict=True):
+        score = 0.0
+        for i, w in enumerate(ws, 1):
+            h = np.tanh(net.tables[0][x[i - 1]].astype(float) + net.tables[1][x[i + 1]])
+            z = h @ net.out.astype(float) + net.bias
+            score += z[x[i]] - math.log(np.exp(z).sum())
+            if x[i] > lm_scoring.FREQUENT:
+                score += math.log((n[w] - lm_scoring.DISCOUNT) / total[x[i]])
+        out.append(score)
+    return out
+
+
+def test_lm_against_the_definition(spark, monkeypatch):
+    """However the rows are dealt, and whether words are cached or joined."""
+    rng = random.Random(15)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    texts += [texts[3]] * 5 + [None, "", "one", "Two  two\n"]
+    want = brute_lm(texts)
+    for parts, size in ((1, 1 << 17), (7, 1 << 17), (3, 0)):
+        monkeypatch.setattr(lm_scoring, "CACHED", size)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+        assert all(abs(got[i].log_likelihood - x) < 1e-3 * max(1, -x) for i, x in enumerate(want))
+        assert all(got[i].score is None if not got[i].n_tokens else abs(got[i].score * got[i].n_tokens - got[i].log_likelihood) < 1e-9 for i in got)
+
+
+def test_lm_probabilities_sum_to_one():
+    net = lm_scoring.Network()
+    assert np.allclose(np.exp(net.log_table()[::997].astype(float)).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(lm_scoring.fit(np.zeros((lm_scoring.CLASSES**2, lm_scoring.CLASSES), np.float32)).log_table(), -math.log(lm_scoring.CLASSES))
+
+
+def test_lm_gradient():
+    """The gradient against differences of the loss."""
+    rng = np.random.default_rng(5)
+    context, target = rng.integers(0, lm_scoring.CLASSES**2, 20), rng.dirichlet(np.ones(lm_scoring.CLASSES), 20).astype(np.float32)
+    net = lm_scoring.Network()
+
+    def loss(flat):
+        x = lm_scoring.Network(np.zeros(len(flat)))
+        tables, out, bias = np.split(flat, np.cumsum(x.SIZES)[:2])
+        tables = tables.reshape(2, lm_scoring.CLASSES, -1)
+        z = np.tanh(tables[0][context // lm_scoring.CLASSES] + tables[1][context % lm_scoring.CLASSES]) @ out.reshape(lm_scoring.HIDDEN, -1) + bias
+        return -(target * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum() / len(context)
+
+    flat, g = net.flat.astype(float), net.gradient(context, target)
+    for i in [*rng.integers(0, len(flat), 20), int(context[0] // lm_scoring.CLASSES) * lm_scoring.HIDDEN, len(flat) - 1]:
+        up, down = flat.copy(), flat.copy()
+        up[i], down[i] = up[i] + 1e-4, down[i] - 1e-4
+        assert abs((loss(up) - loss(down)) / 2e-4 - g[i]) < 1e-4
 
 
 def test_lm_learns_both_sides():
     rng = np.random.default_rng(0)
-    texts = [" ".join(rng.choice(["a b c", "x y z"]) for _ in range(60)) for _ in range(60)]
     classes = lm_scoring.Classes([b"a", b"b", b"c", b"x", b"y", b"z"])
-    tokens, sizes = classes.encode(texts)
-    at, net = lm_scoring._places(sizes), lm_scoring.Network()
-    before = net.log_probabilities(tokens, at).mean()
-    for i in range(12):
-        net.train(tokens, at, np.random.default_rng(i))
-    after = net.log_probabilities(tokens, at).mean()
-    assert before < -4 and after > -0.7
-    good, n1 = classes.encode(["a b c x y z"])
-    bad, n2 = classes.encode(["b a c z y x"])
-    assert net.log_probabilities(good, lm_scoring._places(n1)).sum() > net.log_probabilities(bad, lm_scoring._places(n2)).sum() + 3
+
+    def codes(texts):
+        tokens, sizes = classes.encode(texts)
+        return lm_scoring.windows(tokens, lm_scoring._places(sizes))
+
+    text = " ".join(rng.choice(["a b c", "x y z"]) for _ in range(6000))
+    seen = np.bincount(codes([text]), minlength=lm_scoring.CLASSES**3).astype(np.float32).reshape(-1, lm_scoring.CLASSES)
+    table = lm_scoring.fit(seen).log_table().ravel()
+    assert table[codes([text])].mean() > -0.35  # ln 2 at each border between groups, seen from one of two sides
+    assert table[codes(["a b c x y z"])].sum() > table[codes(["b a c z y x"])].sum() + 3
 
 
 # -- PII -----------------------------------------------------------------------------------------
@@ -533,6 +590,51 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [64 << 20, 3000])
+def test_topk_large_components_and_skew(spark, monkeypatch, shard_bytes):
+    """Scores beyond 2^53 and beyond 64 bits, copies of a vector and of an id in a third of the rows each."""
+    monkeypatch.setattr(topk, "SHARD_BYTES", shard_bytes)
+    rng = random.Random(14)
+    big = lambda m: [rng.uniform(-1, 1) * 10 ** rng.uniform(0, m) for _ in range(5)]
+    rows = [(i, big(m)) for i, m in enumerate([0] * 60 + [6] * 60 + [9] * 60 + [30] * 20)]
+    rows += [(1000 + i, [1e5, 2.0, 3.0, -4.0, 1e7]) for i in range(250)] + [(2000, [0.5, -0.25, 1e6, 3.0, 0.0])] * 250
+    rows += [(3000, big(3)), (3000, big(3)), (3001, [1e200] * 5), (3002, [-0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ok = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if max(map(abs, v)) < 1e150}
+    want = {}
+    for q, a in ok:
+        if q % 50 == 0:
+            scores = {(-max(topk.LOW, min(topk.HIGH, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in ok if i != q}
+            want[q] = want.get(q, set()) | scores
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got == {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(w)[:10])] for q, w in want.items()}
+
+
+def test_topk_sends_queries_to_few_shards(spark, monkeypatch):
+    """Clustered vectors: most shards can't reach a query's kth score, and are spared."""
+    monkeypatch.setattr(topk, "SHARD_BYTES", 64 * 8 * 8)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (30, 8))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(0, 0.05, (3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    sent, plain = [], topk._search
+
+    def counted(stored, pairs, shards, k):
+        sent.append((pairs.count(), shards))
+        return plain(stored, pairs, shards, k)
+
+    monkeypatch.setattr(topk, "_search", counted)
+    out = topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect()
+    (first, shards), (second, _) = sent
+    assert first == 30 and shards > 30 and first + second < 0.3 * 30 * shards
+    v = np.floor(1024 * x)
+    for q in range(0, 3000, 100):
+        best = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:10]
+        assert sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 # -- repeated strings ----------------------------------------------------------------------------
 
 
