@@ -6,10 +6,11 @@ is the sum of the log-probabilities of its tokens, each given both sides.
 
 A token's probability is p(class | both neighbours) p(word | class). The network gives the class: the most
 frequent words of the whole corpus have one each, the others fall into classes by a hash of their ending.
-Within a class a word's probability comes from the counts of all words over all documents, each less
-DISCOUNT; what is taken off is the share of words outside of the corpus. The counts of the CACHED most
-frequent words are sent to all tasks; a text's other words are joined with the table of counts, which stays
-distributed.
+Within a class a word's probability comes from the counts of all words over all documents, without the
+masked token itself and less DISCOUNT; what is taken off is the share of new words. A word that the corpus has
+nowhere else is spelled: its probability is that share times those of its letters, each given the one before,
+by the counts over all distinct words. The counts of the CACHED most frequent words are sent to all tasks; a
+text's other words are joined with the table of counts, which stays distributed.
 
 The network is trained on all tokens of all documents. The window of a token is three classes, so the
 corpus enters as the number of times that each window occurs: whole numbers, counted side by side and added
@@ -90,6 +91,36 @@ def cached(table: DataFrame) -> list:
     return table.where(size >= least).collect() if least is not None else []
 
 
+def letters(table: DataFrame) -> np.ndarray:
+    """ln p(letter | the one before) of the bytes of all words of a table of counts; a space stands for either
+    end. Pairs of bytes reach the driver."""
+    schema = arrow_schema("code int, n long")
+
+    def pairs(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = np.frombuffer(b" " + b" ".join(b.column("word").to_pylist()) + b" ", np.uint8).astype(np.int64)
+                total += np.bincount(x[:-1] << 8 | x[1:], minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield as_batch(schema, {"code": at, "n": total[at]})
+
+    seen = np.full(1 << 16, 0.5)
+    for r in table.select("word").mapInArrow(pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        seen[r["code"]] += r["n"]
+    seen = seen.reshape(256, 256)
+    return np.log(seen / seen.sum(axis=1, keepdims=True)).ravel()
+
+
+def spelled(ws: list[bytes], letter: np.ndarray) -> np.ndarray:
+    """ln p of each word, letter by letter to its end."""
+    if not ws:
+        return np.zeros(0)
+    x = np.frombuffer(b" " + b" ".join(ws) + b" ", np.uint8).astype(np.int64)
+    starts = np.cumsum([0, *(len(w) + 1 for w in ws[:-1])])
+    return np.add.reduceat(letter[x[:-1] << 8 | x[1:]], starts)
+
+
 class Classes(dict):
     """Word -> class; 0 is the boundary. Rare words are looked up by their ending and not kept."""
 
@@ -114,14 +145,19 @@ class Classes(dict):
 class Words(dict):
     """Word -> number of the cached words; others are numbered behind them as they come, until forget()."""
 
-    def __init__(self, frequent: list[bytes], known: list[tuple[bytes, int]], totals: np.ndarray) -> None:
-        """known: words with their counts. totals: tokens by ending, without the frequent words."""
+    def __init__(self, frequent: list[bytes], known: list[tuple[bytes, int]], totals: np.ndarray, types: np.ndarray, letter: np.ndarray) -> None:
+        """known: words with their counts. totals, types: tokens and distinct words by ending, without the frequent words."""
         super().__init__((w, i) for i, (w, _) in enumerate(known))
-        self.classes, self.size, self.others = Classes(frequent), len(known), []
+        self.classes, self.size, self.others, self.letter = Classes(frequent), len(known), [], letter
         self.cls = np.array([self.classes[w] for w, _ in known], np.int64)
-        rare = self.cls > FREQUENT
-        self.log_n = np.where(rare, np.log(np.array([n for _, n in known], np.float64) - DISCOUNT), 0.0)
         self.log_total = np.concatenate([np.zeros(1 + FREQUENT), np.log(np.maximum(totals, 1))])
+        self.log_new = np.log(DISCOUNT * np.maximum(types, 1))
+        n = np.array([n for _, n in known], np.float64) - 1
+        self.log_n = np.where(self.cls <= FREQUENT, 0.0, np.where(n > 0, np.log(np.maximum(n - DISCOUNT, DISCOUNT)), self.new([w for w, _ in known], self.cls)))
+
+    def new(self, ws: list[bytes], cls: np.ndarray) -> np.ndarray:
+        """What stands for ln(n - 1 - DISCOUNT) where a word's own token is its only one."""
+        return self.log_new[np.maximum(cls - 1 - FREQUENT, 0)] + spelled(ws, self.letter)
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = self.size + len(self.others)
@@ -270,44 +306,48 @@ def score(docs: DataFrame) -> DataFrame:
     table = counts(docs)
     frequent = vocabulary(table)
     known = [(bytes(r["word"]), r["n"]) for r in cached(table)]
-    totals = np.zeros(ENDINGS)
-    for r in table.where(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("n").alias("n")).collect():
-        totals[r["ending"]] = r["n"]
+    totals, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in table.where(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        totals[r["ending"]], types[r["ending"]] = r["n"], r["types"]
     seen = materialize(window_counts(docs, frequent))
     net = fit(dense(seen))
     release(seen)
-    held = docs.sparkSession.sparkContext.broadcast((frequent, net.flat, known, totals))  # bounded by CACHED
+    held = docs.sparkSession.sparkContext.broadcast((net.flat, frequent, known, totals, types, letters(table)))  # bounded by CACHED
     made: list = []
 
     def run(s: pa.RecordBatch) -> dict:
         if not made:
-            made.extend([Words(held.value[0], *held.value[2:]), Network(held.value[1]).log_table().ravel()])
-        vocab, table = made
+            made.extend([Words(*held.value[1:]), Network(held.value[0]).log_table().ravel()])
+        vocab, of_window = made
         lists = [words(t) for t in s.column("text").to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
         n, places = int(sizes.sum()), _places(sizes)
         number = np.fromiter(map(vocab.__getitem__, chain.from_iterable(lists)), np.int64, n)
         others = vocab.others
-        cls = np.concatenate([vocab.cls, np.array([vocab.classes[w] for w in others], np.int64)])[number]
+        of_others = np.array([vocab.classes[w] for w in others], np.int64)
+        new = vocab.new(others, of_others)
+        cls = np.concatenate([vocab.cls, of_others])[number]
         # A frequent word that is not cached is alone in its class.
         far = (number >= vocab.size) & (cls > FREQUENT)
         tokens = np.zeros(n + 2 * SIDE * len(lists), np.int64)
         tokens[places] = cls
-        log_p = table[windows(tokens, places)].astype(np.float64)
+        log_p = of_window[windows(tokens, places)].astype(np.float64)
         log_p += np.concatenate([vocab.log_n, np.zeros(len(others))])[number] - vocab.log_total[cls]
         total = np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(sizes)])])
         pairs, c = np.unique(np.repeat(np.arange(len(lists)), sizes)[far] * (len(others) + 1) + number[far] - vocab.size, return_counts=True)
         ends = np.searchsorted(pairs, np.arange(len(lists) + 1) * (len(others) + 1)).astype(np.int32)
-        rare = pa.array(others, pa.binary()).take(pa.array(pairs % (len(others) + 1)))
+        which = pairs % (len(others) + 1)
+        rare = pa.array(others, pa.binary()).take(pa.array(which))
         vocab.forget()
         as_lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), x)
-        return {"doc_id": s.column("doc_id"), "n_tokens": sizes, "known": total, "rare": as_lists(rare), "c": as_lists(pa.array(c, pa.int64()))}
+        return {"doc_id": s.column("doc_id"), "n_tokens": sizes, "known": total, "rare": as_lists(rare), "c": as_lists(pa.array(c, pa.int64())), "new": as_lists(pa.array(new[which], pa.float64()))}
 
-    schema = "doc_id long, n_tokens long, known double, rare array<binary>, c array<long>"
+    schema = "doc_id long, n_tokens long, known double, rare array<binary>, c array<long>, new array<double>"
     part = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, run)
     part = materialize(part.withColumn("row", F.monotonically_increasing_id()))
-    rest = part.select("row", F.explode(F.arrays_zip("rare", "c")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.c").alias("c"))
-    rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * F.log(F.col("n") - DISCOUNT)).alias("rest"))
+    rest = part.select("row", F.explode(F.arrays_zip("rare", "c", "new")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.c").alias("c"), F.col("x.new").alias("new"))
+    of_word = F.when(F.col("n") > 1, F.log(F.col("n") - 1 - DISCOUNT)).otherwise(F.col("new"))
+    rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * of_word).alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
     out = part.select("row", "doc_id", "n_tokens", "known").join(rest, "row", "left").withColumn("log_likelihood", total)
     return out.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"), "log_likelihood", "n_tokens")

@@ -284,21 +284,15 @@ def test_lm_scoring(spark, docs, empty, corpus, monkeypatch):
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_lm_words_within_classes(spark, monkeypatch):
-    """A garbled word of the same class scores below a repeated one, by the counts; cached or joined."""
+def test_lm_tells_copies_apart(spark):
+    """Documents that occur twice score above others that differ in nothing else."""
     rng = random.Random(6)
-    common = [f"c{i}" for i in range(lm_scoring.FREQUENT)]
-    rare = [f"word{i}abc" for i in range(8)]
-    texts = [" ".join(common * 2 + rng.sample(common, 20)) for _ in range(20)] + [" ".join(rare)] * 20
-    texts += [" ".join("q" + w for w in rare), None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = []
-    for size in (1 << 17, 0):
-        monkeypatch.setattr(lm_scoring, "CACHED", size)
-        out = {r.doc_id: r.log_likelihood for r in lm_scoring.score(df).collect()}
-        assert abs(out[20] - out[40] - 8 * (math.log(19.5) - math.log(0.5))) < 1e-3 and out[41] == out[42] == 0
-        got.append(out)
-    assert all(abs(got[0][i] - got[1][i]) < 1e-2 for i in got[0])
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:60])), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
+    single = sorted(out[i] for i in range(60, 300))
+    assert sum(out[i] > single[-24] for i in range(60)) > 55 and all(abs(out[i] - out[300 + i]) < 1e-9 for i in range(60))
 
 
 def brute_lm(texts):
@@ -307,9 +301,16 @@ def brute_lm(texts):
     n = Counter(w for ws in lists for w in ws)
     frequent = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.FREQUENT]]
     cls = lambda w: frequent.index(w) + 1 if w in frequent else 1 + lm_scoring.FREQUENT + lm_scoring.ending(w)
-    seen, total = np.zeros((lm_scoring.CLASSES**2, lm_scoring.CLASSES), np.float32), Counter()
+    seen, total, types = np.zeros((lm_scoring.CLASSES**2, lm_scoring.CLASSES), np.float32), Counter(), Counter()
+    pairs, before = Counter(), Counter()
     for w, c in n.items():
         total[cls(w)] += c
+        types[cls(w)] += 1
+        for x, y in zip(b" " + w, w + b" ", strict=True):
+            pairs[x, y] += 1
+            before[x] += 1
+    # Words follow each other with one space between, and the last space has none behind it.
+    letter = lambda x, y: math.log((pairs[x, y] + 0.5) / (before[x] + 128))
     padded = [[0, *map(cls, ws), 0] for ws in lists]
     for x in padded:
         for i in range(1, len(x) - 1):
@@ -323,7 +324,8 @@ def brute_lm(texts):
             z = h @ net.out.astype(float) + net.bias
             score += z[x[i]] - math.log(np.exp(z).sum())
             if x[i] > lm_scoring.FREQUENT:
-                score += math.log((n[w] - lm_scoring.DISCOUNT) / total[x[i]])
+                new = math.log(lm_scoring.DISCOUNT * types[x[i]]) + sum(letter(p, q) for p, q in zip(b" " + w, w + b" ", strict=True))
+                score += (math.log(n[w] - 1 - lm_scoring.DISCOUNT) if n[w] > 1 else new) - math.log(total[x[i]])
         out.append(score)
     return out
 
