@@ -54,11 +54,11 @@ def release(*frames: DataFrame) -> None:
 
 @contextlib.contextmanager
 def releasing():
-    """Collects tables by keep(frame), and deletes them all at the end of the block."""
+    """Stores frames by keep(frame), if they aren't stored yet, and deletes all those tables at the end of the block."""
     held: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
-        held.append(materialize(df))
+        held.append(df if "_scratch_path" in vars(df) else materialize(df))
         return held[-1]
 
     try:
