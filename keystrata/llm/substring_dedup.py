@@ -25,9 +25,8 @@ after all others; rows of the same doc_id don't remove from each other.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, mix64, release, text_slices
+from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, mix64, release, releasing, text_slices
 
 LENGTH, WINDOW = 50, 24
 SPAN, SIDE = LENGTH - WINDOW + 1, (LENGTH - WINDOW) // 2
 #: Text in a slice, text bytes per bucket of triggers, and phrases of one trigger in a shard.
 SLICE_BYTES, BUCKET_BYTES, SHARD_PHRASES = 2 << 20, 16 << 20, 1 << 16
+LEAST_BUCKETS = 8
 LAST = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D | 1
 
@@ -243,14 +243,15 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
                 j = at[i : i + 100_000]
                 yield as_batch(schema, {"doc": doc[j], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j]})
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPEATED)
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, REPEATED)
 
 
 def _copies(keyed: DataFrame) -> DataFrame:
     """(doc, rid) of the rows whose whole text a smaller document has, LENGTH bytes at least."""
-    ids = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("doc", "rid", F.xxhash64("text", F.lit(7)).alias("second"), F.octet_length("text").alias("size")))
-    first = materialize(ids.groupBy("rid", "second", "size").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    return materialize(ids.join(first, ["rid", "second", "size"]).where("doc > first").select("doc", "rid").distinct())
+    with releasing() as keep:
+        ids = keep(keyed.where(F.octet_length("text") >= LENGTH).select("doc", "rid", F.xxhash64("text", F.lit(7)).alias("second"), F.octet_length("text").alias("size")))
+        first = keep(ids.groupBy("rid", "second", "size").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        return materialize(ids.join(first, ["rid", "second", "size"]).where("doc > first").select("doc", "rid").distinct())
 
 
 PHRASE = "doc long, rid long, start long, n int, h long, c long, low long, phrase binary"
@@ -302,10 +303,10 @@ def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return which, order, _runs(*(k[order] for k in keys))[0]
 
 
-def _smallest(dictionary: DataFrame) -> DataFrame:
+def _smallest(dictionary: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(h, c, lowest, highest, mins): for each string of a phrase the smallest document that has it, mins,
     which is null where all are the same."""
-    counts = materialize(dictionary.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > SHARD_PHRASES).select("h", F.ceil(F.col("k") / SHARD_PHRASES).cast("int").alias("shards")))
+    counts = keep(dictionary.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > SHARD_PHRASES).select("h", F.ceil(F.col("k") / SHARD_PHRASES).cast("int").alias("shards")))
     # The hot triggers have SHARD_PHRASES phrases each at least.
     dealt = dictionary.join(counts, "h", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("c"), F.col("shards")).cast("int")).repartition("h", "shard").sortWithinPartitions("h", "shard")
@@ -350,10 +351,10 @@ def _smallest(dictionary: DataFrame) -> DataFrame:
         if size:
             yield solve([r for r in held if r.num_rows])
 
-    solved = materialize(dealt.select("h", "shard", "shards", "c", "phrase", "low").mapInArrow(run, schema_text))
+    solved = keep(dealt.select("h", "shard", "shards", "c", "phrase", "low").mapInArrow(run, schema_text))
     names = ["h", "c", "lowest", "highest", "mins"]
-    parts = materialize(solved.where("not merged").select("h", "c", F.posexplode(F.arrays_zip("mins", "digests")).alias("i", "x")).select("h", "c", "i", F.col("x.mins").alias("m"), F.col("x.digests").alias("digest")))
-    low = materialize(parts.groupBy("digest").agg(F.min("m").alias("low")))
+    parts = keep(solved.where("not merged").select("h", "c", F.posexplode(F.arrays_zip("mins", "digests")).alias("i", "x")).select("h", "c", "i", F.col("x.mins").alias("m"), F.col("x.digests").alias("digest")))
+    low = keep(parts.groupBy("digest").agg(F.min("m").alias("low")))
     hot = parts.join(low, "digest").groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("l"), F.min("low").alias("lowest"), F.max("low").alias("highest"))
     return solved.where("merged").select(names).unionByName(hot.select("h", "c", "lowest", "highest", F.col("l.low").alias("mins")))
 
@@ -372,57 +373,45 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text (the
-    bytes that stay) if asked for."""
-    spark, keyed = docs.sparkSession, _keyed(docs)
+    bytes that stay) if asked for; as a stored table."""
+    keyed = _keyed(docs)
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, -(-total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     some = keyed.where("text is not null")
-    copies = _copies(some)
-    repeated = materialize(_repeated(_trigger_rows(some, buckets), buckets))
-    _collect_garbage(spark)
-    phrases = materialize(_phrases(some, repeated.join(copies, ["doc", "rid"], "left_anti")))
-    release(repeated)
-    _collect_garbage(spark)
-    dictionary = materialize(phrases.where("phrase is not null").groupBy("h", "c", "phrase").agg(F.min("low").alias("low")))
-    mins = materialize(_smallest(dictionary))
-    release(dictionary)
-    _collect_garbage(spark)
-    flagged = phrases.select("doc", "rid", "start", "n", "h", "c").join(mins, ["h", "c"]).where(F.col("lowest") < F.col("doc"))
-    # Bit i: the string that starts i bytes on. A phrase has SPAN strings at most.
-    some_bits = F.aggregate(F.transform("mins", lambda m, i: F.when(m < F.col("doc"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a + b)
-    mask = F.when(F.col("highest") < F.col("doc"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1).otherwise(some_bits)
-    found = materialize(flagged.select("doc", "rid", (F.col("start") * (1 << SPAN) + mask).alias("x")).groupBy("doc", "rid").agg(F.collect_set("x").alias("found")))
-    release(phrases, mins)
-    _collect_garbage(spark)
-    whole = copies.withColumn("copy", F.lit(True))
-    joined = keyed.join(found, ["doc", "rid"], "left").join(whole, ["doc", "rid"], "left")
-
-    def run(s: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-        for t, found, copy in zip(s.column("text").to_pylist(), s.column("found").to_pylist(), s.column("copy").to_pylist(), strict=True):
-            b = t.encode("utf-8", "surrogatepass") if t else b""
-            x = np.array(found or [], np.int64)[:, None]
-            bits = np.arange(SPAN)
-            starts = ((x >> SPAN) + bits)[(x >> bits & 1).astype(bool)]
-            kept, last, removed = hashlib.sha256(), 0, 0
-            parts, spans = [], [(0, len(b))] if copy else _spans(starts)
-            for a, e in spans:
-                parts.append(b[last:a])
-                removed, last = removed + e - a, e
-            parts.append(b[last:])
-            rest = b"".join(parts)
-            kept.update(rest)
-            for k, v in zip(out, (len(b), removed, len(spans), kept.hexdigest(), rest if with_text else None), strict=True):
-                out[k].append(v)
-        return out | {"doc_id": s.column("doc_id")}
-
-    result = map_text(joined.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text", "found", "copy"), RESULT, run)
-    return result if with_text else result.drop("kept_text")
-
-
-def _collect_garbage(spark) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps now, not when the driver's heap fills up."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    with releasing() as keep:
+        copies = keep(_copies(some))
+        repeated = materialize(_repeated(_trigger_rows(some, buckets), buckets))
+        phrases = materialize(_phrases(some, repeated.join(copies, ["doc", "rid"], "left_anti")))
+        release(repeated)
+        dictionary = materialize(phrases.where("phrase is not null").groupBy("h", "c", "phrase").agg(F.min("low").alias("low")))
+        mins = materialize(_smallest(dictionary, keep))
+        release(dictionary)
+        flagged = phrases.select("doc", "rid", "start", "n", "h", "c").join(mins, ["h", "c"]).where(F.col("lowest") < F.col("doc"))
+        # Bit i: the string that starts i bytes on. A phrase has SPAN strings at most.
+        some_bits = F.aggregate(F.transform("mins", lambda m, i: F.when(m < F.col("doc"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: a + b)
+        mask = F.when(F.col("highest") < F.col("doc"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1).otherwise(some_bits)
+        found = keep(flagged.select("doc", "rid", (F.col("start") * (1 << SPAN) + mask).alias("x")).groupBy("doc", "rid").agg(F.collect_set("x").alias("found")))
+        release(phrases, mins)
+        joined = keyed.join(found, ["doc", "rid"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "rid"], "left")
+
+        def run(s: pa.RecordBatch) -> dict:
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+            for t, found, copy in zip(s.column("text").to_pylist(), s.column("found").to_pylist(), s.column("copy").to_pylist(), strict=True):
+                b = t.encode("utf-8", "surrogatepass") if t else b""
+                x = np.array(found or [], np.int64)[:, None]
+                bits = np.arange(SPAN)
+                starts = ((x >> SPAN) + bits)[(x >> bits & 1).astype(bool)]
+                kept, last, removed = hashlib.sha256(), 0, 0
+                parts, spans = [], [(0, len(b))] if copy else _spans(starts)
+                for a, e in spans:
+                    parts.append(b[last:a])
+                    removed, last = removed + e - a, e
+                parts.append(b[last:])
+                rest = b"".join(parts)
+                kept.update(rest)
+                for k, v in zip(out, (len(b), removed, len(spans), kept.hexdigest(), rest if with_text else None), strict=True):
+                    out[k].append(v)
+            return out | {"doc_id": s.column("doc_id")}
+
+        result = map_text(joined.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text", "found", "copy"), RESULT, run)
+        return materialize(result if with_text else result.drop("kept_text"))
