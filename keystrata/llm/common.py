@@ -154,7 +154,7 @@ def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id on an edge (a, b): the component is its smallest id.
+    """(id, component) for every id on an edge (a, b), as a stored table: the component is its smallest id.
 
     Alternating large-star and small-star steps, O(log^2 n) rounds; each round is two aggregations that
     combine before the exchange and two joins, and ends in a table in the shared folder. Nothing but a
@@ -177,4 +177,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
     roots = cur.select(F.col("v").alias("id")).distinct()
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    out = materialize(cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))))
+    release(cur)
+    return out

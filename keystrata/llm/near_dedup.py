@@ -9,11 +9,16 @@ keys are joined by signature distance into clusters, and inside clusters pairs a
 shingle sets.
 
 Skew. Equal sets are one class before anything is joined, found by an aggregation that combines before
-the exchange. A run or cluster larger than a block is cut into blocks, and its hub, one of its texts, is
-added to each. What is linked with the hub, directly or through others of its block, is in one component
-already and is not compared with the rest of it; what is not, the loose texts, is afterwards compared with
-all blocks, a block of loose texts with one of the others at a time. A group of copies thus costs as much
-as it has rows (one that is mostly loose still costs each pair of its blocks), and no task holds more than two blocks. A group emits a spanning forest of its links,
+the exchange. A run larger than RUN_BLOCK becomes one cluster with its hub, one of its texts, without
+comparing signatures: what isn't linked parts again when the sets are compared. A cluster larger than a block
+of CLUSTER_ROWS rows or CLUSTER_BYTES of text is cut into blocks, and its hub is added to each. What is linked
+with the hub, directly or through others of its block, is in one component already and is not compared with
+the rest of it; what is not, the loose texts, is afterwards compared with all blocks, a block of loose texts
+with one of the others at a time. Within a block a text is compared with all others at once, through an index
+of the block's shingles, and only if one of its rarest shingles is shared: of a text's shingles, so many that
+a link can't avoid them all. Texts are taken until those left are in one component, so a block of copies
+takes one step. A group of copies thus costs as much as it has rows (one that is mostly loose still costs each
+pair of its blocks), and no task holds more than two blocks. A group emits a spanning forest of its links,
 never all pairs.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
@@ -24,6 +29,7 @@ and are kept; rows that repeat a doc_id are each linked as their text is.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -33,11 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from keystrata.llm.common import arrow_schema, as_batch, components, grouped, map_text, materialize, mix64, release, shingles, text_slices
+from keystrata.llm.common import arrow_schema, as_batch, components, grouped, map_text, materialize, mix64, release, releasing, shingles, text_slices, unused
 
 SYMBOLS = 64
-#: Rows of a run, and text of a cluster, in one block.
-RUN_BLOCK, CLUSTER_BLOCK_BYTES = 4096, 4 << 20
+#: Rows of a run whose signatures are compared; rows and text of a cluster in one block.
+RUN_BLOCK, CLUSTER_ROWS, CLUSTER_BYTES = 4096, 256, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -92,87 +98,73 @@ def chunk_keys(sig: np.ndarray, t: Threshold) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = i = p[p[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-    def roots(self) -> np.ndarray:
-        return np.fromiter(map(self.find, range(len(self.parent))), np.int64, len(self.parent))
+def forest(n: int, near: Callable[[int], np.ndarray], todo: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of a relation over 0..n-1, and each number's component. near(i) marks what i
+    is related to. Numbers of todo (all) are asked one by one, the first one first, until those not yet asked
+    are in one component."""
+    root, out = np.arange(n), []
+    todo = np.ones(n, bool) if todo is None else todo.copy()
+    left = np.bincount(root[todo], minlength=n)
+    while todo.any():
+        whole = not (root != root[0]).any()
+        ask = np.flatnonzero(todo) if not out else np.flatnonzero(todo & (root != left.argmax()))
+        if whole or not len(ask):
+            break
+        i = int(ask[0])
+        todo[i] = False
+        left[root[i]] -= 1
+        js = np.flatnonzero(near(i) & (root != root[i]))
+        if not len(js):
+            continue
+        # One edge to each component that is reached.
+        others, at = np.unique(root[js], return_index=True)
+        out += [(i, int(j)) for j in js[at]]
+        left[root[i]] += left[others].sum()
+        left[others] = 0
+        root[np.isin(root, others)] = root[i]
+    return out, root
 
 
 def _near_forest(sig: np.ndarray, bound: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose symbols differ in bound places at most."""
-    n, f, out = len(sig), Forest(len(sig)), []
-    root = np.arange(n)
-    for i in range(n):
-        other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        new = [int(j) for j in other[(sig[other] != sig[i]).sum(axis=1) <= bound] if f.join(i, int(j))]
-        if new:
-            out += [(i, j) for j in new]
-            root = f.roots()
-            if (root == root[0]).all():
-                break
-    return out
-
-
-def _near_across(sig: np.ndarray, side: np.ndarray, bound: int) -> list[tuple[int, int]]:
-    """The same of the pairs between side 0 and side 1."""
-    f, out, others = Forest(len(sig)), [], np.flatnonzero(side == 1)
-    for i in np.flatnonzero(side == 0).tolist():
-        out += [(i, int(j)) for j in others[(sig[others] != sig[i]).sum(axis=1) <= bound] if f.join(i, int(j))]
-    return out
-
-
-def _loose(n: int, edges: list[tuple[int, int]], hubs: np.ndarray) -> np.ndarray:
-    """Those of 0..n-1 that the edges don't link with a hub."""
-    f = Forest(n)
-    for i, j in edges:
-        f.join(i, j)
-    root = f.roots()
-    return np.flatnonzero(~np.isin(root, root[hubs]))
+    return forest(len(sig), lambda i: (sig != sig[i]).sum(axis=1) <= bound)[0]
 
 
-def _links(values: np.ndarray, offsets: np.ndarray, t: Threshold, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among texts, or of those between two sides."""
-    sets = [np.unique(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-    size = np.array([len(s) for s in sets])
-    sig, n, f, out = signatures(values, offsets).astype(np.uint8), len(sets), Forest(len(sets)), []
+class Linked:
+    """Links of each of some texts with all others, on the full sets, through an index of their shingles."""
 
-    def confirmed(i: int, j: int) -> bool:
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return 100 * both >= t.percent * (size[i] + size[j] - both)
-
-    order = np.argsort(size, kind="stable")
-    for x in range(n - 1):
-        i = int(order[x])
-        if not size[i]:
-            continue
-        # Sizes within the threshold of each other only.
-        last = int(np.searchsorted(size[order], size[i] * 100 // t.percent, "right"))
-        js = order[x + 1 : last]
-        js = js[side[js] != side[i]] if side is not None else js
-        if not len(js):
-            continue
-        d = (sig[js] != sig[i]).sum(axis=1)
-        near = np.flatnonzero(d <= t.distance)
-        for j in js[near[np.argsort(d[near], kind="stable")]]:
-            if f.find(i) != f.find(int(j)) and confirmed(i, int(j)):
-                f.join(i, int(j))
-                out.append((i, int(j)))
-    return out
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, percent: int) -> None:
+        self.percent, n = percent, len(offsets) - 1
+        sets = [np.unique(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.size)])
+        rows = np.repeat(np.arange(n), self.size)
+        _, self.token, self.held_by = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        self.rows = rows[np.argsort(self.token, kind="stable")]
+        self.starts = np.cumsum(self.held_by) - self.held_by
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of some shingles each text has."""
+        n = self.held_by[tokens]
+        at = np.arange(int(n.sum())) + np.repeat(self.starts[tokens] - (np.cumsum(n) - n), n)
+        return np.bincount(self.rows[at], minlength=len(self.size))
+
+    def near(self, i: int) -> np.ndarray:
+        own = self.token[self.ends[i] : self.ends[i + 1]]
+        # A text linked with i has percent of i's shingles at least, so it has one of any more than the rest.
+        few = len(own) * (100 - self.percent) // 100 + 1
+        if few < len(own) and (self.shared(own[np.argpartition(self.held_by[own], few - 1)[:few]]) > 0).sum() < 2:
+            return np.zeros(len(self.size), bool)
+        both = self.shared(own)
+        return (both > 0) & (100 * both >= self.percent * (self.size[i] + self.size - both))
+
+
+def _links(values: np.ndarray, offsets: np.ndarray, t: Threshold, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links among texts, or of those between side 0 and side 1; and the components."""
+    x = Linked(values, offsets, t.percent)
+    if side is None:
+        return forest(len(x.size), x.near)
+    return forest(len(x.size), lambda i: x.near(i) & (side != side[i]), side == 0)
 
 
 def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
@@ -194,12 +186,12 @@ def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_shingles long, bytes long, digest binary, sig binary", run)
 
 
-RUN, EDGE = "key long, block int, hub long, id long", "a long, b long"
+RUN, EDGE = "key long, id long, star long", "a long, b long"
 
 
 def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
-    """(key, block, hub, id): the runs of equal keys with two classes at least. block is -1 where a run is one
-    block; a larger run's hub is in each of its blocks."""
+    """(key, id, star): the runs of equal keys with two classes at least. star is the hub of a run that is
+    larger than RUN_BLOCK, else null."""
     keyed = arrow_schema("key long, id long")
 
     def key(batches):
@@ -213,101 +205,104 @@ def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
     schema = arrow_schema(RUN)
 
     def run(batches):
-        held_k, held_i = [], []
+        # The rows of the last key so far, while they are RUN_BLOCK at most; beyond that its hub.
+        held, size, last, hub = [], 0, None, None
 
-        def out(k: np.ndarray, ids: np.ndarray):
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-            n = np.diff(cut)
-            small = np.repeat((n > 1) & (n <= RUN_BLOCK), n)
-            one = np.full(int(small.sum()), -1, np.int32)
-            yield as_batch(schema, {"key": k[small], "block": one, "hub": ids[small], "id": ids[small]})
-            for r in np.flatnonzero(n > RUN_BLOCK):
-                hub, part = ids[cut[r]], ids[cut[r] + 1 : cut[r + 1]]
-                for b, at in enumerate(range(0, len(part), RUN_BLOCK)):
-                    piece = np.append(hub, part[at : at + RUN_BLOCK])
-                    yield as_batch(schema, {"key": np.full(len(piece), k[cut[r]]), "block": np.full(len(piece), b, np.int32), "hub": np.full(len(piece), hub), "id": piece})
+        def small(k: np.ndarray, ids: np.ndarray):
+            return as_batch(schema, {"key": k, "id": ids, "star": pa.nulls(len(k), pa.int64())})
+
+        def large(k, ids: np.ndarray, hub: int):
+            return as_batch(schema, {"key": np.full(len(ids), k), "id": ids, "star": np.full(len(ids), hub)})
+
+        def ended():
+            if last is not None and hub is None and size > 1:
+                yield small(np.full(size, last), np.concatenate(held))
 
         for b in batches:
             if not b.num_rows:
                 continue
             k, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
-            # The last run of a batch may go on in the next one.
-            at = int(np.searchsorted(k, k[-1], "left"))
-            if at or (held_k and held_k[0][0] != k[0]):
-                yield from out(np.concatenate([*held_k, k[:at]]), np.concatenate([*held_i, ids[:at]]))
-                held_k, held_i = [], []
-            held_k.append(k[at:])
-            held_i.append(ids[at:])
-        if held_k:
-            yield from out(np.concatenate(held_k), np.concatenate(held_i))
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            n = np.diff(cut)
+            first = 0
+            if k[0] == last:
+                # The run of the batch before goes on.
+                held.append(ids[: n[0]])
+                size, first = size + int(n[0]), 1
+                if hub is None and size > RUN_BLOCK:
+                    hub = int(held[0][0])
+                if hub is not None:
+                    for part in held:
+                        yield large(last, part, hub)
+                    held = []
+                if len(n) == 1:
+                    continue
+            yield from ended()
+            # Runs that begin and end in this batch.
+            whole = np.zeros(len(n), bool)
+            whole[first:-1] = True
+            keep = np.repeat(whole & (n > 1) & (n <= RUN_BLOCK), n)
+            yield small(k[keep], ids[keep])
+            for r in np.flatnonzero(whole & (n > RUN_BLOCK)):
+                yield large(k[cut[r]], ids[cut[r] : cut[r + 1]], int(ids[cut[r]]))
+            last, held, size, hub = k[-1], [ids[cut[-2] :]], int(n[-1]), None
+            if size > RUN_BLOCK:
+                hub = int(held[0][0])
+                yield large(last, held[0], hub)
+                held = []
+        yield from ended()
 
     dealt = classes.select("id", "sig").mapInArrow(key, "key long, id long").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, RUN)
 
 
-def _against_all(loose: DataFrame, blocks: DataFrame, size: Column, limit: int) -> DataFrame:
-    """(key, block, part, side, id): each part of a key's loose ids (side 0) with each block of its ids (side 1).
-    loose is (key, id) and what size needs; blocks is (key, block, id)."""
-    parts = materialize(loose.groupBy("key").agg(F.ceil(F.sum(size) / limit).cast("int").alias("parts")))
-    many = materialize(blocks.join(parts, "key", "left_semi").groupBy("key").agg((F.max("block") + 1).alias("many")))
-    to = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part")
-    all_ = blocks.join(parts, "key").select("key", "block", "id", to).withColumn("side", F.lit(1))
-    few = loose.join(parts, "key").join(many, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))).cast("int"))
-    few = few.select("key", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), "id", "part").withColumn("side", F.lit(0))
-    return all_.unionByName(few).select("key", "block", "part", "side", "id")
-
-
 def _near_edges(runs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): classes of a run whose signatures are within the bound, as spanning forests."""
-    found_ddl = "a long, b long, key long, loose boolean"
-    found_schema, schema = arrow_schema(found_ddl), arrow_schema(EDGE)
+    """(a, b): classes of a run whose signatures are within the bound, as spanning forests; and the stars."""
+    schema = arrow_schema(EDGE)
     # Eight bits of each symbol: distances can only shrink, so no pair within the bound is lost.
-    small = classes.select("id", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("sig"))
-
-    def matrix(g: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, -1)
+    few = classes.select("id", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("sig"))
 
     def within(batches):
-        a, b, key, loose = [], [], [], []
-        for g in grouped(batches, ["key", "block"]):
-            ids, edges = g.column("id").to_numpy(), []
-            if g.column("block")[0].as_py() >= 0:
-                # The hub first: most of a group of copies is linked with it at once.
-                g = g.take(np.argsort(ids != g.column("hub").to_numpy(), kind="stable"))
-                ids, edges = g.column("id").to_numpy(), _near_forest(matrix(g), t.distance)
-                rest = ids[_loose(len(ids), edges, np.flatnonzero(ids == g.column("hub").to_numpy()))].tolist()
-                a, b, key, loose = a + rest, b + rest, key + [g.column("key")[0].as_py()] * len(rest), loose + [True] * len(rest)
-            else:
-                edges = _near_forest(matrix(g), t.distance)
-            for x, y in edges:
+        a, b = [], []
+        for g in grouped(batches, ["key"]):
+            ids = g.column("id").to_numpy()
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, -1)
+            for x, y in _near_forest(sig, t.distance):
                 a.append(ids[x])
                 b.append(ids[y])
-            key, loose = key + [0] * len(edges), loose + [False] * len(edges)
             if len(a) > 50_000:
-                yield as_batch(found_schema, {"a": a, "b": b, "key": key, "loose": loose})
-                a, b, key, loose = [], [], [], []
-        yield as_batch(found_schema, {"a": a, "b": b, "key": key, "loose": loose})
+                yield as_batch(schema, {"a": a, "b": b})
+                a, b = [], []
+        yield as_batch(schema, {"a": a, "b": b})
 
-    def across(batches):
-        for g in grouped(batches, ["key", "block", "part"]):
-            ids = g.column("id").to_numpy()
-            edges = _near_across(matrix(g), g.column("side").to_numpy(), t.distance)
-            yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
+    dealt = runs.where("star is null").select("key", "id").join(few, "id").repartition("key").sortWithinPartitions("key")
+    stars = runs.where("star <> id").select(F.col("star").alias("a"), F.col("id").alias("b"))
+    return dealt.mapInArrow(within, EDGE).unionByName(stars).distinct()
 
-    found = materialize(runs.join(small, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl).distinct())
-    edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select("key", F.col("a").alias("id"))
-    if not loose.isEmpty():
-        dealt = _against_all(loose, runs.where("block >= 0").select("key", "block", "id"), F.lit(1), RUN_BLOCK).join(small, "id")
-        edges = edges.unionByName(dealt.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part").mapInArrow(across, EDGE))
-    return edges.distinct()
+
+def _against_all(loose: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, block, part, side, id): each part of a key's loose ids (side 0) with each block of its ids (side 1).
+    loose is (key, id, bytes); blocks is (key, block, id)."""
+    parts = loose.groupBy("key").agg(_blocks().alias("parts"))
+    many = blocks.join(parts, "key", "left_semi").groupBy("key").agg((F.max("block") + 1).alias("many"))
+    to = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    all_ = blocks.join(parts, "key").select("key", "block", "id", to).withColumn("side", F.lit(1))
+    few = loose.join(parts, "key").join(many, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    few = few.select("key", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), "id", "part").withColumn("side", F.lit(0))
+    return all_.unionByName(few).select("key", "block", "part", "side", "id")
+
+
+def _blocks() -> Column:
+    """How many blocks the rows of a group take, by their number and their bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.sum("bytes") / CLUSTER_BYTES), F.ceil(F.count("*") / CLUSTER_ROWS)).cast("int")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Threshold) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Threshold, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links between classes of one cluster, confirmed on the full sets. A cluster's hub is its smallest id."""
     found_ddl = "a long, b long, key long, loose boolean"
     found_schema, schema = arrow_schema(found_ddl), arrow_schema(EDGE)
-    members = materialize(clusters.join(classes.select("id", "bytes"), "id").select(F.col("component").alias("key"), "id", "bytes"))
-    sizes = materialize(members.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / CLUSTER_BLOCK_BYTES)).cast("int").alias("blocks")))
+    members = keep(clusters.join(classes.select("id", "bytes"), "id").select(F.col("component").alias("key"), "id", "bytes"))
+    sizes = keep(members.groupBy("key").agg(_blocks().alias("blocks")))
     hubs = sizes.where("blocks > 1").select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("id"))
     placed = members.join(sizes, "key").where("blocks = 1 or id <> key").select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
     placed = placed.unionByName(hubs)
@@ -324,46 +319,52 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Thre
 
     def within(batches):
         for g in grouped(batches, ["key", "block"]):
-            ids, key = g.column("id").to_numpy(), g.column("key")[0].as_py()
-            edges, rest = _links(*sets(g), t) if len(ids) > 1 else [], []
-            if g.column("blocks")[0].as_py() > 1:
-                rest = ids[_loose(len(ids), edges, np.flatnonzero(ids == key))].tolist()
+            key = g.column("key")[0].as_py()
+            # The hub first: most of a group of copies is linked with it at once.
+            g = g.take(np.argsort(g.column("id").to_numpy() != key, kind="stable"))
+            ids, edges, rest = g.column("id").to_numpy(), [], []
+            if len(ids) > 1:
+                edges, root = _links(*sets(g), t)
+                if g.column("blocks")[0].as_py() > 1:
+                    rest = ids[~np.isin(root, root[ids == key])].tolist()
             yield as_batch(found_schema, {"a": [ids[x] for x, _ in edges] + rest, "b": [ids[y] for _, y in edges] + rest, "key": [key] * (len(edges) + len(rest)), "loose": [False] * len(edges) + [True] * len(rest)})
 
     def across(batches):
         for g in grouped(batches, ["key", "block", "part"]):
             ids, side = g.column("id").to_numpy(), g.column("side").to_numpy()
-            edges = _links(*sets(g), t, side) if side.min() != side.max() else []
+            edges = _links(*sets(g), t, side)[0] if side.min() != side.max() else []
             yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
 
-    found = materialize(text.join(placed, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl))
+    found = keep(text.join(placed, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl))
     edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select("key", F.col("a").alias("id")).distinct()
     if not loose.isEmpty():
-        sized = loose.join(members, ["key", "id"])
-        dealt = _against_all(sized, placed.where("blocks > 1").select("key", "block", "id"), F.col("bytes"), CLUSTER_BLOCK_BYTES)
-        edges = edges.unionByName(text.join(dealt, "id").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part").mapInArrow(across, EDGE))
+        dealt = _against_all(loose.join(members, ["key", "id"]), placed.where("blocks > 1").select("key", "block", "id"))
+        by = ["key", "block", "part"]
+        edges = edges.unionByName(text.join(dealt, "id").repartition(*by).sortWithinPartitions(*by).mapInArrow(across, EDGE))
     return edges
 
 
 def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    sets = materialize(_sets(docs, t))
-    linkable = sets.where("doc_id is not null and digest is not null")
-    classes = materialize(linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bytes", "sig")).alias("c")).select("digest", F.col("c.doc_id").alias("id"), "c.bytes", "c.sig"))
-    runs = materialize(_runs(classes, t))
-    near = materialize(_near_edges(runs, classes, t))
-    release(runs)
-    clusters = components(near)
-    links = materialize(_confirmed(docs, classes, clusters, t))
-    release(near)
-    linked = components(links)
-    root = materialize(classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
-    known = linkable.join(root, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = sets.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept; as a stored table."""
+    with releasing() as keep:
+        sets = keep(_sets(docs, t))
+        linkable = sets.where("doc_id is not null and digest is not null")
+        classes = keep(linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bytes", "sig")).alias("c")).select("digest", F.col("c.doc_id").alias("id"), "c.bytes", "c.sig"))
+        runs = materialize(_runs(classes, t))
+        near = materialize(_near_edges(runs, classes, t))
+        release(runs)
+        clusters = keep(components(near))
+        release(near)
+        links = keep(_confirmed(docs, classes, clusters, t, keep))
+        linked = keep(components(links))
+        root = keep(classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
+        known = linkable.join(root, "digest").select("doc_id", "n_shingles", "component_id")
+        alone = sets.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return materialize(known.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def near_dedup_stage(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """The documents that stay: the first of each component. All columns stay."""
-    gone = near_duplicates(docs, t).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = unused(docs.columns, "gone")
+    ids = near_duplicates(docs, t).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

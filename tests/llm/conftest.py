@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string, h string, _salt int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string, h string, _salt int, gone string, _gone int, _pii string"
 
 
 def make_words(rng, n, size=400):
@@ -23,7 +23,7 @@ def corpus():
         (11, long), (12, long + " tail"), (13, "a" * 5000), (14, "é ñ ß 你好 <|endoftext|> it's 3.14"), (15, " ".join(base)), (15, " ".join(base)), (None, "no id here at all"), (None, None), (16, " ".join(make_words(rng, 60))),
     ]
     texts += [(20 + i, " ".join(make_words(rng, rng.randrange(1, 80), 3000))) for i in range(40)]
-    return [(d, t, "en" if d is None or d % 3 else None, "src", None if t is None else len(t), "x", "y", "z", 1) for d, t in texts]
+    return [(d, t, "en" if d is None or d % 3 else None, "src", None if t is None else len(t), "x", "y", "z", 1, "g", 2, "p") for d, t in texts]
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -149,14 +150,16 @@ def test_near_duplicates(spark, docs, empty, corpus, k, percent):
     assert len(out) == len(corpus)
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None} == {(d, n, c, d == c) for d, (n, c) in want.items()}
     assert near_dedup.near_duplicates(empty, t).count() == 0
+    assert "gone" in docs.columns
     kept = near_dedup.near_dedup_stage(docs, t)
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id is null").count() == 2
 
 
-def test_near_duplicate_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", ["CLUSTER_BYTES", "CLUSTER_ROWS"])
+def test_near_duplicate_group_in_blocks(spark, monkeypatch, blocks):
     """A large group of near copies of each other at mixed similarities, cut into many blocks."""
     monkeypatch.setattr(near_dedup, "RUN_BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK_BYTES", 4000)
+    monkeypatch.setattr(near_dedup, blocks, 4000 if blocks == "CLUSTER_BYTES" else 9)
     rng = random.Random(5)
     base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -168,6 +171,54 @@ def test_near_duplicate_group_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_near_duplicates_of_short_copies(spark):
+    """50,000 short texts in three groups: each block takes a few steps."""
+    rng = random.Random(16)
+    base = [[f"v{rng.randrange(10**6)}" for _ in range(40)] for _ in range(3)]
+    rows = []
+    for i in range(50_000):
+        w = list(base[i % 3])
+        w[-1] = f"n{i}"  # the last word only: one of 38 shingles
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = near_dedup.near_duplicates(df, near_dedup.Threshold(3, 85)).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(0, 16667), (1, 16667), (2, 16666)]
+    assert time.time() - began < 120
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs at 85 % and right above are all found, pairs right below never."""
+    rng = random.Random(17)
+    rows, linked = [], []
+    for n in range(0, 1200, 2):
+        size = rng.randrange(40, 200)
+        words = [f"w{rng.randrange(10**7)}" for _ in range(size + 2)]
+        # Replacing the last c words changes c of size shingles on either side.
+        c = next(c for c in range(size) if 100 * (size - c) < 85 * (size + c)) - (n % 4 == 0)
+        rows += [(n, " ".join(words)), (n + 1, " ".join(words[: size + 2 - c] + [f"x{rng.randrange(10**7)}" for _ in range(c)]))]
+        linked.append(n % 4 == 0)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Threshold(3, 85)).collect()}
+    assert [got[n + 1] == n for n in range(0, 1200, 2)] == linked
+
+
+def test_forest():
+    rng = random.Random(18)
+    for _ in range(60):
+        n = rng.randrange(1, 30)
+        near = np.zeros((n, n), bool)
+        for _ in range(rng.randrange(0, 2 * n)):
+            i, j = rng.randrange(n), rng.randrange(n)
+            near[i, j] = near[j, i] = True
+        edges, root = near_dedup.forest(n, lambda i, near=near: near[i])
+        want = np.arange(n)
+        for _ in range(n):
+            for i, j in np.argwhere(near):
+                want[want == want[j]] = want[i]
+        assert all((root[i] == root[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+        assert all(near[i, j] for i, j in edges) and len(edges) == n - len(set(want.tolist()))
+
+
 def test_signature_join_guarantee():
     """All pairs within the distance bound share a key."""
     rng = np.random.default_rng(0)
@@ -201,14 +252,76 @@ def test_shingles_by_hand():
 # -- quality -------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_is_a_distribution():
-    m = quality.fit({"en": ["a b c a b d a b c", "b c a d"]})
+def fitted(spark, texts):
+    return quality.fit(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string").repartition(3))
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    m = fitted(spark, {"en": ["a b c a b d a b c", "b c a d"]})
     vocabulary = [b"a", b"b", b"c", b"d", b"unseen"]
     for context in ([b"a", b"b"], [b"d", b"d"], [b"zz", b"a"], [b"zz", b"yy"]):
         total = sum(math.exp(m.log_probabilities(0, quality.hashed([*context, w]))[0]) for w in vocabulary)
         assert abs(total - 1) < 1e-4
 
 
+def brute_kneser_ney(train):
+    """p(w | v, u) by the textbook, in dictionaries: interpolated, three discounts for each order."""
+    start = "<s>"
+    tri = Counter()
+    for t in train:
+        seq = [start, start, *t.lower().split()]
+        tri.update(zip(seq, seq[1:], seq[2:], strict=False))
+    before, behind_start = defaultdict(set), Counter()
+    for (u, v, w), n in tri.items():
+        before[v, w].add(u)
+        behind_start[v, w] += n
+    two = {x: behind_start[x] if x[0] == start else len(us) for x, us in before.items()}
+    one = Counter(w for _, w in two)
+
+    def d_of(counts):
+        n = [0] + [max(1, sum(c == i for c in counts.values())) for i in range(1, 5)]
+        y = n[1] / (n[1] + 2 * n[2])
+        ds = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05 * i), i - 0.01) for i in (1, 2, 3)]
+        return lambda c: ds[min(c, 3) - 1] if c else 0.0
+
+    d1, d2, d3 = d_of(one), d_of(two), d_of(tri)
+
+    def p1(w):
+        total = sum(one.values())
+        return max(one[w] - d1(one[w]), 0) / total + sum(map(d1, one.values())) / total / (len(one) + 1)
+
+    def p2(v, w):
+        c = {y: n for (x, y), n in two.items() if x == v}
+        if not c:
+            return p1(w)
+        total = sum(c.values())
+        return max(c.get(w, 0) - d2(c.get(w, 0)), 0) / total + sum(map(d2, c.values())) / total * p1(w)
+
+    def p3(u, v, w):
+        c = {z: n for (x, y, z), n in tri.items() if (x, y) == (u, v)}
+        if not c:
+            return p2(v, w)
+        total = sum(c.values())
+        return max(c.get(w, 0) - d3(c.get(w, 0)), 0) / total + sum(map(d3, c.values())) / total * p2(v, w)
+
+    def perplexity(t):
+        seq = [start, start, *t.lower().split()]
+        return math.exp(-sum(math.log(p3(*x)) for x in zip(seq, seq[1:], seq[2:], strict=False)) / (len(seq) - 2))
+
+    return perplexity
+
+
+def test_kneser_ney_against_the_definition(spark):
+    rng = random.Random(19)
+    text = lambda size, k: " ".join(f"w{int(rng.paretovariate(0.7)) % k}" for _ in range(size))
+    train = {"en": [text(rng.randrange(1, 40), 60) for _ in range(60)], "": [text(30, 20) for _ in range(9)]}
+    model = fitted(spark, train)
+    tests = [(i, text(rng.randrange(1, 30), 90), rng.choice(["en", None])) for i in range(60)]
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(spark.createDataFrame(tests, "doc_id long, text string, lang string").repartition(3), model).collect()}
+    brute = {lang: brute_kneser_ney(ts) for lang, ts in train.items()}
+    assert all(abs(got[i] / brute[lang or ""](t) - 1) < 1e-4 for i, t, lang in tests)
+
+
 def test_quality_edges(spark, docs, empty, corpus):
     labels = spark.createDataFrame([(d, 1, 0, "x") for d, *_ in corpus if d is not None] + [(None, 1, 0, "x"), (0, None, None, "x")], "doc_id long, quality int, toxic int, kept string")
     out = quality.classify(docs, labels).collect()
