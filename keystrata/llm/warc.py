@@ -7,7 +7,9 @@ file, check the version line, the header fields, the lengths and the digests, an
 
 A record is a response with its HTTP header and payload, or, where another record has an equal payload,
 a revisit of it that carries the HTTP header alone. Equal payloads are found by SHA-1 with an aggregation
-that combines before the exchange, so a payload that a third of all pages share costs a row per task.
+that combines before the exchange, so a payload that a third of all pages share costs a row per task. Only
+payloads that occur twice are looked up again. The target of one that more than HOT_ROWS pages share is
+broadcast (HOT_PAYLOADS of them at most), and its pages are dealt by their row instead of their payload.
 
 Edge cases: a null payload is empty; rows without page_id are responses unless a page with an id has the
 same payload; rows that repeat the smallest page_id are all responses; an empty table makes no archive.
@@ -19,14 +21,15 @@ import base64
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import arrow_schema, as_batch, materialize, shared_dir
+from keystrata.llm.common import arrow_schema, as_batch, materialize, release, releasing, shared_dir
+from keystrata.sources.hadoop import Files
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -34,6 +37,8 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ARCHIVE_BYTES, READ_BYTES, READ_TASKS = 64 << 20, 1 << 20, 50_000
+#: Pages that share a payload from which on it is broadcast, and how many such payloads at most.
+HOT_ROWS, HOT_PAYLOADS = 10_000, 10_000
 #: The dictionary is trained on so many payloads of limited size, drawn by a hash.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 200, 32 << 10
 
@@ -168,16 +173,29 @@ def read_archive(uri: str) -> Iterator[dict]:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes (page_id, url, html) under folder; returns a stored table (path, records, bytes)."""
+    with releasing() as keep:
+        return _write(pages, folder, keep)
+
+
+def _write(pages: DataFrame, folder: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = pages.sparkSession
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    first = materialize(base.groupBy("digest").agg(F.min("page_id").alias("first")))
+    counted = keep(base.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Thinned before the sort, or every task would send its own SAMPLE_ROWS to the driver.
-    share = min(1.0, 4 * SAMPLE_ROWS / max(1, pages.count()))
+    share = min(1.0, 4 * SAMPLE_ROWS / max(1, total))
     drawn = base.where(F.length("payload").between(1, SAMPLE_BYTES) & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
     few = drawn.select("page_id", "payload").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS)
     held = spark.sparkContext.broadcast(train_dictionary([bytes(r["payload"]) for r in few.collect()]))
-    refers = F.when(F.col("page_id").isNull() | (F.col("first") < F.col("page_id")), F.col("first"))
-    rows = base.join(first, "digest").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    # total / many payloads at most are shared by many pages.
+    many = max(HOT_ROWS, -(-total // HOT_PAYLOADS))
+    hot = counted.where(F.col("n") > many).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
+    cold = counted.where(F.col("n").between(2, many)).select(F.col("digest").alias("key"), "first")
+    row = F.concat(F.lit(b"row"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    marked = base.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("hot"), row).otherwise(F.col("digest")))
+    first = F.coalesce("hot_first", "first")
+    refers = F.when(F.col("page_id").isNull() | (first < F.col("page_id")), first)
+    rows = marked.join(cold, "key", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
     schema = arrow_schema("path string, records long, bytes long")
 
     def run(batches):
@@ -232,6 +250,13 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
-    """Writes the pages and reads them back."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder), payloads)
+    """Writes the pages and reads them back. Without a folder the archives are scratch: the records become a
+    stored table, and the archives go."""
+    if folder:
+        return read_archives(write_archives(pages, folder), payloads)
+    spark, folder = pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    archives = write_archives(pages, folder)
+    out = materialize(read_archives(archives, payloads))
+    release(archives)
+    Files(spark, folder).delete(folder)
+    return out

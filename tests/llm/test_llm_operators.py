@@ -365,6 +365,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_hot_payload(spark, monkeypatch):
+    """A payload of more pages than a third, with the smallest id missing, repeated or null among them."""
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    rng = random.Random(20)
+    rows = [(rng.choice([None, *range(200)]), f"u{i}", rng.choice(["hot", "hot", "warm", None, f"x{i % 40}"])) for i in range(300)]
+    rows += [(None, "u", "nameless")] * 9
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = sorted(((i, "revisit", first[h or ""]) if first.get(h or "") is not None and (i is None or first[h or ""] < i) else (i, "response", None) for i, _, h in rows), key=str)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=str) == want
+
+
 def test_warc_damage(tmp_path):
     sample = [b"<html><body>page %d of many</body></html>" % i * 5 for i in range(300)]
     dictionary = warc.train_dictionary(sample)
