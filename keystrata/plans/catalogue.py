@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from keystrata.functions import bloom, seed, text
 from keystrata.operators import latest as L
 from keystrata.operators import layout, manifest, ordered, segments
+from keystrata.plans.stored import STORED
 
 RUN = 1024
 BATCH = 50
@@ -381,6 +382,9 @@ SELECT run, entries, blocks, filter_offset, index_offset, index_offset + index_b
 }
 
 
+CATALOGUE |= STORED
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q for name, (q, _) in CATALOGUE.items()}
 
