@@ -25,6 +25,7 @@ without any word the network is uniform.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, release, text_slices, words
+from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, release, releasing, text_slices, words
 
 FREQUENT, ENDINGS = 191, 64
 CLASSES = 1 + FREQUENT + ENDINGS
@@ -53,7 +54,7 @@ def ending(word: bytes) -> int:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(word, ending, n) of every word of all documents, as a stored table."""
+    """(word, ending, n) of every word of all documents."""
     schema = arrow_schema("word binary, ending int, n long")
 
     def rows(seen: Counter) -> pa.RecordBatch:
@@ -71,7 +72,7 @@ def counts(docs: DataFrame) -> DataFrame:
         yield rows(seen)
 
     parts = docs.select("text").mapInArrow(count, "word binary, ending int, n long")
-    return materialize(parts.groupBy("word", "ending").agg(F.sum("n").alias("n")))
+    return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(table: DataFrame) -> list[bytes]:
@@ -302,8 +303,14 @@ def fit(counts: np.ndarray, steps: int = STEPS) -> Network:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, score (the mean log-probability of a token), log_likelihood (their sum), n_tokens."""
-    table = counts(docs)
+    """Per document: doc_id, score (the mean log-probability of a token), log_likelihood (their sum), n_tokens;
+    as a stored table."""
+    with releasing() as keep:
+        return materialize(_score(docs, keep))
+
+
+def _score(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    table = keep(counts(docs))
     frequent = vocabulary(table)
     known = [(bytes(r["word"]), r["n"]) for r in cached(table)]
     totals, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
@@ -344,7 +351,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, known double, rare array<binary>, c array<long>, new array<double>"
     part = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, run)
-    part = materialize(part.withColumn("row", F.monotonically_increasing_id()))
+    part = keep(part.withColumn("row", F.monotonically_increasing_id()))
     rest = part.select("row", F.explode(F.arrays_zip("rare", "c", "new")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.c").alias("c"), F.col("x.new").alias("new"))
     of_word = F.when(F.col("n") > 1, F.log(F.col("n") - 1 - DISCOUNT)).otherwise(F.col("new"))
     rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * of_word).alias("rest"))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import arrow_schema, as_batch, map_text, materialize
+from keystrata.llm.common import arrow_schema, as_batch, map_text, materialize, releasing
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -203,5 +203,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenizes once, into a small table in the shared folder, then packs."""
-    return pack(materialize(tokenize(docs, tokenizer, capacity)), capacity)
+    """Tokenizes once, into a small table in the shared folder, then packs; the result is a stored table."""
+    with releasing() as keep:
+        return materialize(pack(keep(tokenize(docs, tokenizer, capacity)), capacity))

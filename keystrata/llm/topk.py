@@ -22,6 +22,7 @@ one list. Vectors of different lengths are compared with their own length only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, materialize
+from keystrata.llm.common import arrow_schema, as_batch, materialize, releasing
 
 LEAF, SEED_ROWS = 64, 1024
 #: Vectors (as doubles) that a shard holds, shards at least, cells at most for each vector length.
@@ -305,7 +306,13 @@ def _search(stored: DataFrame, pairs: DataFrame, shards: int, k: int) -> DataFra
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other vectors for each row that queries marks."""
+    """(query_id, rank, vec_id, score): the k best of all other vectors for each row that queries marks; as a
+    stored table."""
+    with releasing() as keep:
+        return materialize(_top_k(vectors, queries, k, scale, id, vector, keep))
+
+
+def _top_k(vectors: DataFrame, queries: Column, k: int, scale: int, id: str, vector: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     context = vectors.sparkSession.sparkContext
     rows = vectors.where(F.col(id).isNotNull() & (F.size(vector) > 0)).select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("x"), F.coalesce(queries, F.lit(False)).alias("asked"))
     dims = {r["dim"]: r["n"] for r in rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()}
@@ -324,15 +331,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, i
                     out[c] += values
             yield as_batch(schema, out)
 
-    placed = materialize(rows.mapInArrow(place, STORED).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
+    placed = keep(rows.mapInArrow(place, STORED).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
     plan.measure(placed.groupBy("dim", "cell").agg(F.count("*").alias("rows"), F.max("far").alias("far")).collect())
     # A row for each cell that holds rows: CELLS at most for each vector length.
     table = [(d, c, int(plan.first[d][c]), int(n)) for d in plan.parts for c, n in enumerate(plan.parts[d]) if n]
     cells = vectors.sparkSession.createDataFrame(table, "dim int, cell int, first int, parts int")
     stored = placed.join(F.broadcast(cells), ["dim", "cell"]).withColumn("shard", (F.col("first") + F.pmod("deal", F.col("parts"))).cast("int"))
     held2 = context.broadcast(plan)
-    asked = materialize(placed.where("asked").select("vec_id", "dim", "v").distinct())
-    near = materialize(_search(stored, _pairs(asked, held2, True, k), plan.shards, k))
+    asked = keep(placed.where("asked").select("vec_id", "dim", "v").distinct())
+    near = keep(_search(stored, _pairs(asked, held2, True, k), plan.shards, k))
     mark = F.col("mark")
     kth = near.groupBy("query_id", mark).agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
     marks = arrow_schema("vec_id long, dim int, v binary, mark long")

@@ -71,6 +71,55 @@ def test_language_mixture():
     assert share[0].tolist() == [1, 0] and share[1].tolist() == [0, 1] and abs(share[2][0] - 0.5) < 0.05 and abs(share[3][0] - 0.75) < 0.05
 
 
+def brute_languages(model, text):
+    """Proportions by the definition: expectation-maximisation in plain loops, sets grown in the full fit's order."""
+    codes = Counter(language_id.ngrams([text])[1].tolist())
+    k, total = len(model.languages), sum(codes.values())
+
+    def em(share):
+        for _ in range(language_id.ROUNDS):
+            new = [0.0] * k
+            for c, n in codes.items():
+                p = [float(model.probability[c, i]) * share[i] for i in range(k)]
+                for i in range(k):
+                    new[i] += n * p[i] / sum(p)
+            share = [x / total for x in new]
+        return share, sum(n * math.log(sum(float(model.probability[c, i]) * share[i] for i in range(k))) for c, n in codes.items())
+
+    full, _ = em([1 / k] * k)
+    alone = [em([float(i == j) for j in range(k)])[1] for i in range(k)]
+    best = alone.index(max(alone))
+    score, chosen = alone[best], [float(i == best) for i in range(k)]
+    order = sorted(range(k), key=lambda i: -full[i])
+    for size in range(2, k + 1):
+        if full[order[size - 1]] <= 0.02:
+            break
+        start = [full[i] if i in order[:size] else 0.0 for i in range(k)]
+        share, like = em([x / sum(start) for x in start])
+        like -= (0.5 * math.log(max(total, 2)) + math.log(k)) * (size - 1)
+        if like > score:
+            score, chosen = like, share
+    return chosen
+
+
+def test_language_against_the_definition(spark):
+    d = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.train(d.where(~language_id.held_out()))
+    by = {r.lang: r.text for r in d.where("lang is not null and n_chars between 300 and 900").collect()}
+    texts = [r.text for r in d.where("n_chars between 1 and 1500").limit(60).collect()] + [a + " " + b for a in by.values() for b in by.values()]
+    share, known = language_id.infer(model, texts)
+    for t, s, ok in zip(texts, share, known, strict=True):
+        if ok:
+            assert np.allclose(s, brute_languages(model, t), atol=2e-3), t
+    assert sum(known) > 60 and any((s > 0.2).sum() == 2 for s in share)
+
+
+def test_language_ties():
+    """Languages that fit equally: the alphabetically first, alone."""
+    m = language_id.Model(["a", "b", "c"], np.full((language_id.BUCKETS, 3), 1 / language_id.BUCKETS, np.float32))
+    assert language_id.infer(m, ["some words", "some words"])[0].tolist() == [[1, 0, 0]] * 2
+
+
 def test_language_ngrams_apart_from_slices():
     texts = ["Some words. ", "A.", None, " b ", "words again"]
     doc, code = language_id.ngrams(texts)
@@ -823,6 +872,36 @@ def test_substrings_copies_in_two_slices(spark):
 # -- pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark, docs):
+    """What an operator leaves in the shared folder is its result."""
+    from keystrata.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:").replace("///", "/")
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").limit(3)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).limit(5)
+    for run in (
+        lambda: near_dedup.near_duplicates(docs),
+        lambda: quality.classify(docs, labels),
+        lambda: warc.round_trip(docs.select(F.col("doc_id").alias("page_id"), "source", F.col("source").alias("url"), F.col("text").alias("html"))),
+        lambda: lm_scoring.score(docs),
+        lambda: packing.pack_documents(docs, queries.tokenizer_path()),
+        lambda: topk.top_k(docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), F.lit(True)),
+        lambda: substring_dedup.deduplicate(docs),
+        lambda: decontamination.contained(docs, bench),
+    ):
+        before = set(os.listdir(folder))
+        run().count()
+        assert len(set(os.listdir(folder)) - before) <= 1
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
