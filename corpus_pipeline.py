@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keystrata.llm import decontamination, language_id, near_dedup, packing, pii
-from keystrata.llm.common import materialize
+from keystrata.llm.common import materialize, release
 from keystrata.llm.queries import PII_KEY, tokenizer_path
 
 
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. Each stage's table goes as soon as the next one is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = materialize(docs)
+        if before is not None:
+            release(before)
+        before = docs  # the last stage's result is stored, too
     return docs
