@@ -1,18 +1,21 @@
 """Repeated 50-byte strings by prefix-free parsing and suffix arrays.
 
 1. Parsing. A rolling hash over 24-byte windows has a trigger wherever it is smallest among the 27 windows
-   of some 50-byte string, so every 50-byte string holds its trigger whole, and equal strings have the same
-   trigger at the same place. Triggers cut the documents into overlapping phrases: the phrase of a trigger
-   is the text of all 50-byte strings that belong to it. Only hashes of triggers are exchanged, packed
-   into arrays of 11 bytes each; those that one document alone has are dropped.
-2. Dictionary. The phrases of repeated triggers are cut out of the text; equal phrases are one dictionary
-   entry with the smallest document that has it (an aggregation that combines before the exchange).
-3. Suffix array. In each shard of the dictionary (all the phrases of a trigger are in the same one) a
-   suffix array of the phrases, ordered up to the 50-byte horizon, puts equal strings next to each other.
-   Phrases overlap their successors by 49 bytes, so the order of the parse behind a phrase never decides
-   within the horizon, and the order of the dictionary's suffixes with the list of each phrase's
-   occurrences in the parse is the corpus order. Each group of
-   equal prefixes gets its smallest document.
+   of some 50-byte string, the leftmost one if several are; so every 50-byte string holds its trigger whole,
+   and equal strings have the same trigger at the same place. Triggers cut the documents into phrases: the
+   phrase of a trigger is what its strings hold before and with it, and the parse is the sequence of the
+   phrases; what a string holds behind its trigger belongs to the phrases that follow. Only hashes of
+   triggers are exchanged, packed into arrays of 12 bytes each; those that one document alone has are dropped.
+2. Dictionary. The phrases of repeated triggers are cut out of the text, each with the parse behind it as far
+   as the 50-byte horizon; equal ones are one entry with the smallest document that has it (an aggregation
+   that combines before the exchange).
+3. Suffix arrays. All phrases of a trigger are in the same shard. There the suffix array of the dictionary
+   orders the suffixes of its phrases. They end in the trigger and hold it only there, so none begins another:
+   the parsing is prefix-free, and two different suffixes decide the order of their strings. The suffix array
+   of the parse orders what follows the triggers, up to the horizon, and decides between strings whose phrase
+   suffixes are equal. Both combine into the corpus order of the trigger's strings. Neighbours in that order
+   are equal if their phrase suffixes are and what follows agrees for the rest of the 50 bytes; each group
+   of equal strings gets its smallest document.
 4. Occurrences look up their phrase's result; bytes of strings that start in a smaller document go.
 
 Skew. A trigger repeated within a slice of documents is one row in the exchange, however often it
@@ -68,16 +71,16 @@ def _side(parts: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
         return mix64(take(8, at) * _power(5) + take(4, at + 8) * _power(1) + take(1, at + 12)) & np.uint64(0xFF)
 
 
-def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, sides, first start, number of starts) of each phrase of concatenated texts; doc numbers each
-    byte's text. sides: eight bits each for the SIDE bytes left and right of the trigger."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, sides, first start, number of starts, bytes before the trigger) of each phrase of concatenated
+    texts; doc numbers each byte's text. sides: eight bits each for the SIDE bytes left and right of the trigger."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(b) - LENGTH + 1
     if n <= 0:
         return none
     h, parts = window_hashes(b)
-    bits = np.uint64(max(1, int(len(b) - 1).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # The same bits decide in each slice, whatever its length; the leftmost of equal ones is taken.
+    low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     m = key
     for step in (1, 2, 4, 8):
@@ -93,27 +96,27 @@ def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     number = np.cumsum(first)[valid] - 1
     where = at[starts]
     sides = _side(parts, where - SIDE) << np.uint64(8) | _side(parts, where + WINDOW)
-    return h[where], sides, starts, np.bincount(number, minlength=len(starts))
+    return h[where], sides, starts, np.bincount(number, minlength=len(starts)), where - starts
 
 
 def _slice_phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, hash, sides, start in the text, number of starts) of the phrases of some texts."""
+    """(text number, hash, sides, start in the text, number of starts, bytes before the trigger) of the phrases of some texts."""
     out = []
     small = [i for i, t in enumerate(texts) if LENGTH <= len(t) <= SLICE_BYTES]
     if small:
         lens = np.array([len(texts[i]) for i in small])
         b = np.frombuffer(b"".join(texts[i] for i in small), np.uint8)
         doc = np.repeat(np.arange(len(small), dtype=np.int32), lens)
-        h, sides, start, n = triggers(b, doc)
+        h, sides, start, n, left = triggers(b, doc)
         which = doc[start]
-        out.append((np.array(small)[which], h, sides, start - (np.cumsum(lens) - lens)[which], n))
+        out.append((np.array(small)[which], h, sides, start - (np.cumsum(lens) - lens)[which], n, left))
     for i, t in enumerate(texts):
         for at in range(0, len(t) if len(t) > SLICE_BYTES else 0, SLICE_BYTES):
             b = np.frombuffer(t[at : at + SLICE_BYTES + LENGTH - 1], np.uint8)
-            h, sides, start, n = triggers(b, np.zeros(len(b), np.int32))
-            out.append((np.full(len(h), i), h, sides, start + at, n))
+            h, sides, start, n, left = triggers(b, np.zeros(len(b), np.int32))
+            out.append((np.full(len(h), i), h, sides, start + at, n, left))
     if not out:
-        out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -123,12 +126,12 @@ ALONE, STANDS_FOR, KNOWN, STANDS_FOR_ANY = 0, 1, 2, 3
 MANY = 64
 
 
-def _pack(g: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:
+def _pack(g: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, left: np.ndarray, kind: np.ndarray) -> bytes:
     """g: 48 bits of the trigger's hash and 16 of its sides. Rows of doc and rid are listed once."""
     rows, idx = np.unique(np.stack([doc, rid], axis=1), axis=0, return_inverse=True)
     idx = idx.ravel()
     head = np.array([len(g), len(rows)], np.int64)
-    parts = [head, rows, g.astype(np.uint64), idx.astype(np.uint16), (idx >> 16).astype(np.uint8), (start & 0xFFFF).astype(np.uint16), (start >> 16).astype(np.uint32), (n + 32 * kind).astype(np.uint8)]
+    parts = [head, rows, g.astype(np.uint64), idx.astype(np.uint16), (idx >> 16).astype(np.uint8), (start & 0xFFFF).astype(np.uint16), (start >> 16).astype(np.uint32), (n + 32 * kind).astype(np.uint8), left.astype(np.uint8)]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -149,7 +152,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     start = take(np.uint16, n).astype(np.int64)
     start |= take(np.uint32, n).astype(np.int64) << 16
     meta = take(np.uint8, n).astype(np.int64)
-    return g, rows[idx, 0], rows[idx, 1], start, meta & 31, meta >> 5
+    return g, rows[idx, 0], rows[idx, 1], start, meta & 31, take(np.uint8, n).astype(np.int64), meta >> 5
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +178,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
     def run(s: pa.RecordBatch) -> dict:
         texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in s.column("text").to_pylist()]
-        which, h, sides, start, n = _slice_phrases(texts)
+        which, h, sides, start, n, left = _slice_phrases(texts)
         doc, rid = (s.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which] for c in ("doc", "rid"))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         g = (h >> np.uint64(16) << np.uint64(16)) | sides
         order = np.lexsort((g, bucket))
-        g, doc, rid, start, n, bucket = (x[order] for x in (g, doc, rid, start, n, bucket))
+        g, doc, rid, start, n, left, bucket = (x[order] for x in (g, doc, rid, start, n, left, bucket))
         kind = np.full(len(g), ALONE)
         if len(g):
             cut, sizes = _runs(g, bucket)
@@ -196,11 +199,11 @@ def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
             spread = (mix64(rid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             bucket = np.concatenate([np.where(kind == KNOWN, spread, bucket), bucket[reps]])
             kind = np.concatenate([kind, rep_kind])
-            g, doc, rid, start, n = (np.concatenate([x, x[reps]]) for x in (g, doc, rid, start, n))
+            g, doc, rid, start, n, left = (np.concatenate([x, x[reps]]) for x in (g, doc, rid, start, n, left))
             order = np.argsort(bucket, kind="stable")
-            g, doc, rid, start, n, kind, bucket = (x[order] for x in (g, doc, rid, start, n, kind, bucket))
+            g, doc, rid, start, n, left, kind, bucket = (x[order] for x in (g, doc, rid, start, n, left, kind, bucket))
         cut, sizes = _runs(bucket)
-        return {"bucket": bucket[cut], "blob": [_pack(*(x[a : a + k] for x in (g, doc, rid, start, n, kind))) for a, k in zip(cut, sizes, strict=True)]}
+        return {"bucket": bucket[cut], "blob": [_pack(*(x[a : a + k] for x in (g, doc, rid, start, n, left, kind))) for a, k in zip(cut, sizes, strict=True)]}
 
     target = arrow_schema("bucket int, blob binary")
 
@@ -212,7 +215,7 @@ def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
     return keyed.mapInArrow(stream, "bucket int, blob binary")
 
 
-REPEATED = "doc long, rid long, h long, start long, n int"
+REPEATED = "doc long, rid long, h long, start long, n int, left int"
 
 
 def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
@@ -223,7 +226,7 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for group in grouped(batches, ["bucket"]):
-            g, doc, rid, start, n, kind = (np.concatenate(x) for x in zip(*map(_unpack, group.column("blob").to_pylist()), strict=True))
+            g, doc, rid, start, n, left, kind = (np.concatenate(x) for x in zip(*map(_unpack, group.column("blob").to_pylist()), strict=True))
             take = kind == KNOWN
             rest = np.flatnonzero(~take)
             h = g >> np.uint64(16)
@@ -241,7 +244,7 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
             at = at[_runs(rid[at], start[at])[0]]
             for i in range(0, len(at), 100_000):
                 j = at[i : i + 100_000]
-                yield as_batch(schema, {"doc": doc[j], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j]})
+                yield as_batch(schema, {"doc": doc[j], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j], "left": left[j]})
 
     return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, REPEATED)
 
@@ -254,19 +257,19 @@ def _copies(keyed: DataFrame) -> DataFrame:
         return materialize(ids.join(first, ["rid", "second", "size"]).where("doc > first").select("doc", "rid").distinct())
 
 
-PHRASE = "doc long, rid long, start long, n int, h long, c long, low long, phrase binary"
+PHRASE = "doc long, rid long, start long, n int, left int, h long, c long, low long, phrase binary"
 
 
 def _phrases(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """One row for each occurrence of a phrase, which (h, c) names. Within a slice of documents its text is
-    given once, with the smallest document of the slice that has it."""
-    lists = repeated.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n", "h")).alias("found"))
+    """One row for each occurrence of a phrase, which (h, c) names. Within a slice of documents its text, with
+    the parse behind it up to the horizon, is given once, with the smallest document of the slice that has it."""
+    lists = repeated.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "n", "h", "left")).alias("found"))
     joined = keyed.join(lists, ["doc", "rid"])
 
     def run(s: pa.RecordBatch) -> dict:
         lists = s.column("found")
         flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        start, n, h = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        start, n, h, left = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         at, phrase = 0, []
         for t, size in zip(s.column("text").to_pylist(), sizes.tolist(), strict=True):
             b = t.encode("utf-8", "surrogatepass")
@@ -278,29 +281,63 @@ def _phrases(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
         cut, _ = _runs(c[order])
         first = np.zeros(len(c), bool)
         first[order[cut]] = True
-        return {"doc": doc, "rid": rid, "start": start, "n": n, "h": h, "c": c, "low": doc, "phrase": [p if x else None for p, x in zip(phrase, first.tolist(), strict=True)]}
+        return {"doc": doc, "rid": rid, "start": start, "n": n, "left": left, "h": h, "c": c, "low": doc, "phrase": [p if x else None for p, x in zip(phrase, first.tolist(), strict=True)]}
 
     return map_text(joined.select("doc", "rid", "text", "found"), PHRASE, run)
 
 
-def suffix_groups(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffix array of the phrases up to LENGTH bytes: (phrase number, suffix array, where its groups begin).
+def _rows(b: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The lens bytes (LENGTH at most) of b from each place, filled up with zeros to whole words."""
+    width = -(-LENGTH // 8) * 8
+    out = np.concatenate([b, np.zeros(width, np.uint8)])[at[:, None] + np.arange(width)]
+    out[np.arange(width) >= lens[:, None]] = 0
+    return out
 
-    Suffixes of fewer bytes are left out; they are numbered phrase by phrase. The suffix array lists the
-    suffixes in the order of their first LENGTH bytes, a group is those with equal ones."""
+
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as big-endian numbers, whose order is that of the bytes."""
+    return list(rows.view(">u8").astype(np.uint64).T)
+
+
+def parse_ranks(follows: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The suffix array of the parse up to the horizon, as the rank of what follows each phrase; equal ranks for equal ones."""
+    keys = [*_words(follows), lens]
+    order = np.lexsort(keys[::-1])
+    cut, sizes = _runs(*(k[order] for k in keys))
+    rank = np.empty(len(lens), np.int64)
+    rank[order] = np.repeat(np.arange(len(cut)), sizes)
+    return rank
+
+
+def corpus_order(phrases: list[bytes], left: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The corpus order of the strings of phrases, trigger by trigger: (phrase number of each string, strings in
+    order, where groups of equal ones begin). Strings are numbered phrase by phrase.
+
+    phrases: with what follows up to the horizon; left: bytes before the trigger; h: the trigger's hash."""
     lens = np.array([len(p) for p in phrases], np.int64)
-    b = np.frombuffer(b"".join(phrases), np.uint8).astype(np.uint64)
-    counts = np.maximum(lens - LENGTH + 1, 0)
+    b = np.frombuffer(b"".join(phrases), np.uint8)
+    counts, begin = lens - LENGTH + 1, np.cumsum(lens) - lens
     which = np.repeat(np.arange(len(phrases)), counts)
     if not len(which):
         return which, which, which
-    eight = np.zeros(len(b) - 7, np.uint64)
-    for i in range(8):
-        eight = (eight << np.uint64(8)) | b[i : i + len(eight)]
-    at = np.arange(len(which)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(counts) - counts), counts)
-    keys = [eight[at + i] for i in (0, 8, 16, 24, 32, 40, LENGTH - 8)]
-    order = np.lexsort(keys[::-1])
-    return which, order, _runs(*(k[order] for k in keys))[0]
+    # The parse: from the trigger to the horizon of the phrase's last string.
+    follows = _rows(b, begin + left, lens - left)
+    rank = parse_ranks(follows, lens - left)[which]
+    # The dictionary: the suffix of a string's phrase, up to the end of the trigger.
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    before = left[which] - offset
+    suffix = [h[which], *_words(_rows(b, begin[which] + offset, before + WINDOW)), before]
+    order = np.lexsort([rank, *suffix[::-1]])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in suffix:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    # Equal suffixes: what follows has to agree for the rest of the string.
+    same = np.flatnonzero(~new[1:] & (rank[order[1:]] != rank[order[:-1]])) + 1
+    one, other = which[order[same]], which[order[same - 1]]
+    rest = (LENGTH - before[order[same]])[:, None]
+    new[same] = ((follows[one] != follows[other]) & (np.arange(follows.shape[1]) < rest)).any(axis=1)
+    return which, order, np.flatnonzero(new)
 
 
 def _smallest(dictionary: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -316,7 +353,7 @@ def _smallest(dictionary: DataFrame, keep: Callable[[DataFrame], DataFrame]) ->
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         phrases, doc = t.column("phrase").to_pylist(), t.column("low").to_numpy()
-        which, order, groups = suffix_groups(phrases)
+        which, order, groups = corpus_order(phrases, t.column("left").to_numpy().astype(np.int64), t.column("h").to_numpy())
         mins = np.zeros(len(which), np.int64)
         ranked = doc[which][order]
         mins[order] = np.repeat(np.minimum.reduceat(ranked, groups), np.diff(np.append(groups, len(order))))
@@ -351,7 +388,7 @@ def _smallest(dictionary: DataFrame, keep: Callable[[DataFrame], DataFrame]) ->
         if size:
             yield solve([r for r in held if r.num_rows])
 
-    solved = keep(dealt.select("h", "shard", "shards", "c", "phrase", "low").mapInArrow(run, schema_text))
+    solved = keep(dealt.select("h", "shard", "shards", "c", "phrase", "left", "low").mapInArrow(run, schema_text))
     names = ["h", "c", "lowest", "highest", "mins"]
     parts = keep(solved.where("not merged").select("h", "c", F.posexplode(F.arrays_zip("mins", "digests")).alias("i", "x")).select("h", "c", "i", F.col("x.mins").alias("m"), F.col("x.digests").alias("digest")))
     low = keep(parts.groupBy("digest").agg(F.min("m").alias("low")))
@@ -383,7 +420,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
         repeated = materialize(_repeated(_trigger_rows(some, buckets), buckets))
         phrases = materialize(_phrases(some, repeated.join(copies, ["doc", "rid"], "left_anti")))
         release(repeated)
-        dictionary = materialize(phrases.where("phrase is not null").groupBy("h", "c", "phrase").agg(F.min("low").alias("low")))
+        dictionary = materialize(phrases.where("phrase is not null").groupBy("h", "c", "phrase").agg(F.min("low").alias("low"), F.min("left").alias("left")))
         mins = materialize(_smallest(dictionary, keep))
         release(dictionary)
         flagged = phrases.select("doc", "rid", "start", "n", "h", "c").join(mins, ["h", "c"]).where(F.col("lowest") < F.col("doc"))

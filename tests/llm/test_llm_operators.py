@@ -841,6 +841,26 @@ def test_substrings(spark, docs, empty, corpus, monkeypatch):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_corpus_order():
+    """Within each trigger, the order of all suffixes to the horizon, and their groups, as by sorting the strings."""
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcd") for _ in range(400))
+    texts = [base[a : a + rng.randrange(60, 300)] + "".join(rng.choice("ab") for _ in range(60)) for a in (rng.randrange(200) for _ in range(60))]
+    texts += ["ab" * 100, "a" * 120, "ab" * 60, "xyz" * 40]
+    which, h, _, start, n, left = substring_dedup._slice_phrases([t.encode() for t in texts])
+    assert (left >= 0).all() and (left - n + 1 >= 0).all() and (left + substring_dedup.WINDOW <= 50).all()
+    phrases = [texts[w].encode()[s : s + k + 49] for w, s, k in zip(which, start, n, strict=True)]
+    number, order, groups = substring_dedup.corpus_order(phrases, left, h.view(np.int64))
+    strings = [p[i : i + 50] for p in phrases for i in range(len(p) - 49)]
+    assert len(strings) == len(number) == sum(len(t) - 49 for t in texts)
+    trigger = h.view(np.int64)[number]
+    assert [(trigger[i], strings[i]) for i in order] == sorted(zip(trigger.tolist(), strings, strict=True))
+    cut = [0, *(i for i in range(1, len(order)) if strings[order[i]] != strings[order[i - 1]] or trigger[order[i]] != trigger[order[i - 1]])]
+    assert groups.tolist() == cut
+    of = {}
+    assert all(of.setdefault(x, t) == t for x, t in zip(strings, trigger, strict=True))  # equal strings have the same trigger
+
+
 def test_substrings_hot_and_sliced(spark, monkeypatch):
     """Small slices and shards: long texts in parts, hot triggers over many shards, periodic text."""
     monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 3000)
