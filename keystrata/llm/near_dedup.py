@@ -11,15 +11,15 @@ shingle sets.
 Skew. Equal sets are one class before anything is joined, found by an aggregation that combines before
 the exchange. A run larger than RUN_BLOCK becomes one cluster with its hub, one of its texts, without
 comparing signatures: what isn't linked parts again when the sets are compared. A cluster larger than a block
-of CLUSTER_ROWS rows or CLUSTER_BYTES of text is cut into blocks, and its hub is added to each. What is linked
-with the hub, directly or through others of its block, is in one component already and is not compared with
-the rest of it; what is not, the loose texts, is afterwards compared with all blocks, a block of loose texts
-with one of the others at a time. Within a block a text is compared with all others at once, through an index
-of the block's shingles, and only if one of its rarest shingles is shared: of a text's shingles, so many that
-a link can't avoid them all. Texts are taken until those left are in one component, so a block of copies
-takes one step. A group of copies thus costs as much as it has rows (one that is mostly loose still costs each
-pair of its blocks), and no task holds more than two blocks. A group emits a spanning forest of its links,
-never all pairs.
+of CLUSTER_ROWS rows or CLUSTER_BYTES of text is cut into blocks, and HUBS of its texts are added to each, so
+that what is linked with them, directly or through others, comes together over all blocks. The largest
+component found so is not compared with itself again; the texts outside of it are compared with all blocks, a
+block of them with one of the others at a time. Within a block a text is compared with all others at once,
+through an index of the block's shingles, and only if one of its rarest shingles is shared: of a text's
+shingles, so many that a link can't avoid them all. Texts are taken until those left are in one component, so
+a block of copies takes one step. A group of copies thus costs as much as it has rows (one that is mostly not
+linked still costs each pair of its blocks), and no task holds more than two blocks. A group emits a spanning
+forest of its links, never all pairs.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; rows without doc_id get n_shingles and no component,
@@ -35,15 +35,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from keystrata.llm.common import arrow_schema, as_batch, components, grouped, map_text, materialize, mix64, release, releasing, shingles, text_slices, unused
 
 SYMBOLS = 64
-#: Rows of a run whose signatures are compared; rows and text of a cluster in one block.
-RUN_BLOCK, CLUSTER_ROWS, CLUSTER_BYTES = 4096, 256, 4 << 20
+#: Rows of a run whose signatures are compared; rows and text of a cluster in one block, and texts in each block of a cluster.
+RUN_BLOCK, CLUSTER_ROWS, CLUSTER_BYTES, HUBS = 4096, 2048, 4 << 20, 8
 
 
 @dataclass(frozen=True)
@@ -100,15 +100,20 @@ def chunk_keys(sig: np.ndarray, t: Threshold) -> np.ndarray:
 
 def forest(n: int, near: Callable[[int], np.ndarray], todo: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Edges of a spanning forest of a relation over 0..n-1, and each number's component. near(i) marks what i
-    is related to. Numbers of todo (all) are asked one by one, the first one first, until those not yet asked
-    are in one component."""
+    is related to. Numbers are asked one by one, the first one first. One whose component holds all numbers
+    that it could still be related to is not asked: those not asked yet, or, where only the numbers of todo are
+    asked about the others, all others."""
     root, out = np.arange(n), []
-    todo = np.ones(n, bool) if todo is None else todo.copy()
+    others = np.zeros(n, bool) if todo is None else ~todo
+    todo = ~others
     left = np.bincount(root[todo], minlength=n)
     while todo.any():
-        whole = not (root != root[0]).any()
-        ask = np.flatnonzero(todo) if not out else np.flatnonzero(todo & (root != left.argmax()))
-        if whole or not len(ask):
+        if others.any():
+            other = root[others]
+            ask = np.flatnonzero(todo & ((root != other[0]) | (other != other[0]).any()))
+        else:
+            ask = np.flatnonzero(todo & (root != left.argmax())) if out else np.flatnonzero(todo)
+        if not len(ask):
             break
         i = int(ask[0])
         todo[i] = False
@@ -117,11 +122,11 @@ def forest(n: int, near: Callable[[int], np.ndarray], todo: np.ndarray | None =
         if not len(js):
             continue
         # One edge to each component that is reached.
-        others, at = np.unique(root[js], return_index=True)
+        reached, at = np.unique(root[js], return_index=True)
         out += [(i, int(j)) for j in js[at]]
-        left[root[i]] += left[others].sum()
-        left[others] = 0
-        root[np.isin(root, others)] = root[i]
+        left[root[i]] += left[reached].sum()
+        left[reached] = 0
+        root[np.isin(root, reached)] = root[i]
     return out, root
 
 
@@ -159,12 +164,12 @@ class Linked:
         return (both > 0) & (100 * both >= self.percent * (self.size[i] + self.size - both))
 
 
-def _links(values: np.ndarray, offsets: np.ndarray, t: Threshold, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of the links among texts, or of those between side 0 and side 1; and the components."""
+def _links(values: np.ndarray, offsets: np.ndarray, t: Threshold, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts, or of those between side 0 and side 1."""
     x = Linked(values, offsets, t.percent)
     if side is None:
-        return forest(len(x.size), x.near)
-    return forest(len(x.size), lambda i: x.near(i) & (side != side[i]), side == 0)
+        return forest(len(x.size), x.near)[0]
+    return forest(len(x.size), lambda i: x.near(i) & (side != side[i]), side == 0)[0]
 
 
 def _sets(docs: DataFrame, t: Threshold) -> DataFrame:
@@ -298,14 +303,16 @@ def _blocks() -> Column:
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Threshold, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b): links between classes of one cluster, confirmed on the full sets. A cluster's hub is its smallest id."""
-    found_ddl = "a long, b long, key long, loose boolean"
-    found_schema, schema = arrow_schema(found_ddl), arrow_schema(EDGE)
+    """(a, b): links between classes of one cluster, confirmed on the full sets."""
+    found_schema, schema = arrow_schema("a long, b long, many boolean"), arrow_schema(EDGE)
     members = keep(clusters.join(classes.select("id", "bytes"), "id").select(F.col("component").alias("key"), "id", "bytes"))
     sizes = keep(members.groupBy("key").agg(_blocks().alias("blocks")))
-    hubs = sizes.where("blocks > 1").select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("id"))
-    placed = members.join(sizes, "key").where("blocks = 1 or id <> key").select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
-    placed = placed.unionByName(hubs)
+    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = keep(placed.where("blocks > 1").select("key", "blocks", "block", "id", "bytes"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(3)), "id"))
+    hubs = keep(many.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", "blocks", "id"))
+    to_all = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("many"), F.lit(True).alias("hub"))
+    others = placed.join(hubs.select("id"), "id", "left_anti").select("key", "block", "id", (F.col("blocks") > 1).alias("many"), F.lit(False).alias("hub"))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
 
     def sets(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -319,28 +326,29 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Thre
 
     def within(batches):
         for g in grouped(batches, ["key", "block"]):
-            key = g.column("key")[0].as_py()
-            # The hub first: most of a group of copies is linked with it at once.
-            g = g.take(np.argsort(g.column("id").to_numpy() != key, kind="stable"))
-            ids, edges, rest = g.column("id").to_numpy(), [], []
-            if len(ids) > 1:
-                edges, root = _links(*sets(g), t)
-                if g.column("blocks")[0].as_py() > 1:
-                    rest = ids[~np.isin(root, root[ids == key])].tolist()
-            yield as_batch(found_schema, {"a": [ids[x] for x, _ in edges] + rest, "b": [ids[y] for _, y in edges] + rest, "key": [key] * (len(edges) + len(rest)), "loose": [False] * len(edges) + [True] * len(rest)})
+            if g.num_rows > 1:
+                # Hubs first: most of a group of copies is linked with them at once.
+                g = g.take(np.argsort(~g.column("hub").to_numpy(), kind="stable"))
+                ids, edges = g.column("id").to_numpy(), _links(*sets(g), t)
+                yield as_batch(found_schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges], "many": [g.column("many")[0].as_py()] * len(edges)})
 
     def across(batches):
         for g in grouped(batches, ["key", "block", "part"]):
             ids, side = g.column("id").to_numpy(), g.column("side").to_numpy()
-            edges = _links(*sets(g), t, side)[0] if side.min() != side.max() else []
+            edges = _links(*sets(g), t, side) if side.min() != side.max() else []
             yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
 
-    found = keep(text.join(placed, "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, found_ddl))
-    edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select("key", F.col("a").alias("id")).distinct()
+    found = keep(text.join(to_all.unionByName(others), "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, "a long, b long, many boolean"))
+    edges = found.select("a", "b")
+    if many.isEmpty():
+        return edges
+    now = keep(components(found.where("many").select("a", "b")))
+    parted = keep(many.join(now, "id", "left").select("key", "id", "bytes", F.coalesce("component", "id").alias("component")))
+    largest = parted.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+    loose = keep(parted.join(largest, "key").where("component <> largest").select("key", "id", "bytes"))
     if not loose.isEmpty():
-        dealt = _against_all(loose.join(members, ["key", "id"]), placed.where("blocks > 1").select("key", "block", "id"))
         by = ["key", "block", "part"]
-        edges = edges.unionByName(text.join(dealt, "id").repartition(*by).sortWithinPartitions(*by).mapInArrow(across, EDGE))
+        edges = edges.unionByName(text.join(_against_all(loose, many.select("key", "block", "id")), "id").repartition(*by).sortWithinPartitions(*by).mapInArrow(across, EDGE))
     return edges
 
 

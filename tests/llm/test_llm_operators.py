@@ -266,6 +266,14 @@ def test_forest():
                 want[want == want[j]] = want[i]
         assert all((root[i] == root[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
         assert all(near[i, j] for i, j in edges) and len(edges) == n - len(set(want.tolist()))
+        side = np.array([rng.random() < 0.5 for _ in range(n)])
+        across = near & (side[:, None] != side)
+        _, root = near_dedup.forest(n, lambda i, across=across: across[i], side)
+        want = np.arange(n)
+        for _ in range(n):
+            for i, j in np.argwhere(across):
+                want[want == want[j]] = want[i]
+        assert all((root[i] == root[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
 
 
 def test_signature_join_guarantee():
@@ -738,15 +746,24 @@ def test_decontamination(spark, docs, empty, corpus):
     assert clean.columns == docs.columns and clean.count() == sum(d not in {x[0] for x in want} for d, *_ in corpus)
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
-    rows = [(7, "one two three four five six seven", "e")] * 60 + [(n, " ".join(docs.where(f"doc_id = {d}").first().text.split()[:30]), "e") for n, d in ((1, 11), (2, 12))]
+def test_decontamination_by_join(spark, docs, monkeypatch):
+    """A benchmark that is not sent to the tasks gives the same: repeated, null and short items, copied texts."""
+    words = {d: docs.where(f"doc_id = {d}").first().text.split() for d in (0, 11, 12)}
+    rows = [(7, "one two three four five six seven", "e")] * 60 + [(n, " ".join(words[d][:30]), "e") for n, d in ((1, 11), (2, 12), (3, 0))]
+    rows += [(4, " ".join(words[0]), "e"), (5, None, "e"), (6, "", "e"), (8, "one", "e"), (None, "two words", "e"), (9, " ".join([*words[0][40:60], "z", *words[0][61:75]]), "e")]
     bench = spark.createDataFrame(rows, "item_id long, text string, containment string").repartition(3)
     found = lambda: sorted(map(tuple, decontamination.contained(docs, bench).collect()), key=str)
-    one = found()
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 800)
-    sizes = [len(x.items) for x in decontamination.indexes(bench)]
-    assert len(sizes) > 3 and sum(sizes) == 62 and max(sizes) < 50
-    assert one and found() == one
+    kept = lambda: sorted(map(str, (tuple(r) for r in decontamination.decontamination_stage(docs, bench).collect())))
+    sent = found(), kept()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 0)
+    for bits in (1 << 26, 1 << 8):
+        monkeypatch.setattr(decontamination, "BITMAP_BITS", bits)
+        assert len(sent[0]) > 10 and (found(), kept()) == sent
+
+
+def test_decontamination_by_join_in_sql(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 0)
+    same(queries.op8_decontamination(spark, SF), SF, queries.OP8)
 
 
 # -- top-k ---------------------------------------------------------------------------------------
