@@ -87,10 +87,36 @@ def bit_set(keys: DataFrame, m: int, k: int) -> DataFrame:
     return probes(keys.select("key"), m, k).select("pos").distinct()
 
 
+#: Bits of a filter that is sent to all tasks at most.
+PACKED_BITS = 1 << 22
+
+
+def packed(bits: DataFrame, m: int) -> DataFrame:
+    """One row with the filter's bits as an array of 64-bit words."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
+    words = [0] * (-(-m // 64))
+    for r in bits.groupBy(F.floor(F.col("pos") / 64).alias("w")).agg(F.bit_or(bit).alias("word")).collect():  # m / 64 rows at most
+        words[r["w"]] = r["word"]
+    return bits.sparkSession.createDataFrame([(words,)], "words array<long>")
+
+
 def may_contain(bits: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
-    """(key, maybe): whether all k bits are set. bits has at most m rows, the filter's own size."""
-    asked = probes(keys.select("key").distinct(), m, k)
-    hit = asked.join(bits.withColumn("_set", F.lit(True)), "pos", "left")
+    """(key, maybe): whether all k bits are set. bits has at most m rows, the filter's own size.
+
+    A filter of PACKED_BITS at most is sent to all tasks, and keys are tested where they are. A larger one is
+    joined with the keys' bits.
+    """
+    asked = keys.select("key").distinct()
+    if m <= PACKED_BITS:
+        hashed = asked.withColumn("_h1", fnv1a(F.col("key"))).withColumn("_h2", second_hash(F.col("_h1"))).crossJoin(F.broadcast(packed(bits, m)))
+
+        def is_set(i: Column) -> Column:
+            pos = position(F.col("_h1"), F.col("_h2"), i, F.lit(m).cast("long"))
+            word = F.element_at("words", (F.floor(pos / 64) + 1).cast("int"))
+            return F.call_function("shiftrightunsigned", word, (pos % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+        return hashed.select("key", F.forall(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), is_set).alias("maybe"))
+    hit = probes(asked, m, k).join(bits.withColumn("_set", F.lit(True)), "pos", "left")
     return hit.groupBy("key").agg(F.bool_and(F.coalesce("_set", F.lit(False))).alias("maybe"))
 
 

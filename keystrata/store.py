@@ -200,20 +200,45 @@ class Store:
         return FileMeta(number, bytes(lo), bytes(hi), n) if n else None
 
     def compact(self, level: int = 0) -> None:
-        """Merges all runs of a level with the next one's; at the deepest populated level tombstones go."""
+        """Merges all runs of a level with those of the next one whose key ranges meet theirs. Where no deeper
+        level holds anything, tombstones go: runs of the next level that are left out have none of the keys."""
         self._check_open()
         with self._lock:
             if level + 1 >= len(self.version.levels):
                 raise IndexError("no level below")
-            old = {n: {f.number for f in self.version.levels[n]} for n in (level, level + 1)}
-            if not any(old.values()):
+            upper = self.version.levels[level]
+            if not upper and level:
+                return
+            low, high = (min(f.smallest for f in upper), max(f.largest for f in upper)) if upper else (b"", None)
+            lower = [f for f in self.version.levels[level + 1] if f.largest >= low and (high is None or f.smallest <= high)]
+            if not upper and not lower:
                 return
             deepest = all(not files for files in self.version.levels[level + 2 :])
-            source = self._union([self._run(n, f) for n in old for f in self.version.levels[n]])
+            source = self._union([*(self._run(level, f) for f in upper), *(self._run(level + 1, f) for f in lower)])
             meta = self._write_run(L.compact(source, bottom=deepest), level + 1, self.version.next_run)
-            self.version = self.version.apply(add={level + 1: [meta] if meta else []}, delete=old)
+            self.version = self.version.apply(add={level + 1: [meta] if meta else []}, delete={level: {f.number for f in upper}, level + 1: {f.number for f in lower}})
             self._persist()
 
+    def maintain(self, max_runs: int = 4) -> list[int]:
+        """Compacts every level with more than max_runs runs, from the top; returns the levels compacted."""
+        done = []
+        for level in range(len(self.version.levels) - 1):
+            if len(self.version.levels[level]) > max_runs:
+                self.compact(level)
+                done.append(level)
+        return done
+
+    def metrics(self) -> dict[str, int]:
+        """What an operator watches: waiting requests, keys and entries of the active log, runs and entries of
+        each level, and the compaction debt: entries above the deepest populated level."""
+        levels = self.version.levels
+        entries = [sum(f.entries for f in files) for files in levels]
+        deepest = max((n for n, files in enumerate(levels) if files), default=0)
+        out = {"waiting": len(self._queue), "last_seq": self._seq, "log_entries": self.wal().count(), "compaction_debt": sum(entries[:deepest])}
+        for n, files in enumerate(levels):
+            out |= {f"l{n}_runs": len(files), f"l{n}_entries": entries[n]}
+        return out
+
     def vacuum(self) -> list[str]:
         """Removes runs and logs that the manifest doesn't name, and interrupted batches; returns their paths."""
         with self._lock:

@@ -259,3 +259,42 @@ def test_history_across_partitions(spark):
     kept = [c for n, c in enumerate(cmds) if not n or cmds[n - 1][1] != c[1]][-60:]
     got = segments.keep_last(spark.createDataFrame(cmds, "ord long, cmd string").repartition(7), 60).collect()
     assert [tuple(r) for r in got] == kept
+
+
+def test_compaction_by_overlap(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), flush_threshold=1000)
+    for keys in (["a", "b"], ["m", "n"], ["n", "o"]):
+        s.write([(PUT, k, keys[0]) for k in keys])
+        s.flush()
+        s.compact(0)
+    # The first run of level 1 meets neither of the others and stays as it is; the others are one.
+    assert [(f.number, f.smallest, f.largest) for f in s.version.levels[1]] == [(1, b"a", b"b"), (5, b"m", b"o")]
+    s.delete("b")
+    s.delete("zz")
+    s.flush()
+    s.compact(0)
+    assert rows(s.scan()) == {"a": "a", "m": "m", "n": "n", "o": "n"} and s.log().where("op = 1").count() == 0
+    for i in range(6):
+        s.put(f"k{i}", "v")
+        s.flush()
+    before = s.metrics()
+    assert (before["l0_runs"], before["l0_entries"], before["compaction_debt"], before["log_entries"]) == (6, 6, 6, 0)
+    assert s.maintain(max_runs=8) == [] and s.maintain(max_runs=5) == [0] and s.metrics()["compaction_debt"] == 0
+    assert rows(s.scan()) == {"a": "a", "m": "m", "n": "n", "o": "n"} | {f"k{i}": "v" for i in range(6)}
+
+
+def test_bloom_sent_and_joined(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from keystrata.functions import bloom
+
+    have = spark.range(500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    asked = spark.range(400, 1500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    m, k = bloom.params(500, 0.05)
+    bits = bloom.bit_set(have, m, k)
+    sent = sorted(map(tuple, bloom.may_contain(bits, asked, m, k).collect()))
+    monkeypatch.setattr(bloom, "PACKED_BITS", 0)
+    assert sorted(map(tuple, bloom.may_contain(bits, asked, m, k).collect())) == sent
+    python = codec.Bloom(m, k)
+    [python.add(b"k%d" % i) for i in range(500)]
+    assert dict(sent) == {f"k{i}": python.may_contain(b"k%d" % i) for i in range(400, 1500)}
