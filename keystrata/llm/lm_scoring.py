@@ -9,8 +9,11 @@ frequent words of the whole corpus have one each, the others fall into classes b
 Within a class a word's probability comes from the counts of all words over all documents, without the
 masked token itself and less DISCOUNT; what is taken off is the share of new words. A word that the corpus has
 nowhere else is spelled: its probability is that share times those of its letters, each given the one before,
-by the counts over all distinct words. The counts of the CACHED most frequent words are sent to all tasks; a
-text's other words are joined with the table of counts, which stays distributed.
+by the counts over all distinct words. A word that the corpus has RARE times at most also depends on the words
+next to it: where the corpus has rare words of its class between the same two words elsewhere, half of the
+probability is shared by those. The counts of the CACHED most frequent words, of more than RARE tokens each,
+are sent to all tasks; the other words' tokens are counted by word, and the rare ones by their neighbours,
+where they meet.
 
 The network is trained on all tokens of all documents. The window of a token is three classes, so the
 corpus enters as the number of times that each window occurs: whole numbers, counted side by side and added
@@ -30,11 +33,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, release, releasing, text_slices, words
+from keystrata.llm.common import arrow_schema, as_batch, grouped, map_text, materialize, mix64, release, releasing, text_slices, words
 
 FREQUENT, ENDINGS = 191, 64
 CLASSES = 1 + FREQUENT + ENDINGS
@@ -44,9 +47,9 @@ STEPS, BATCH, RATE = 1500, 1024, 0.02
 COUNTED = 200_000
 #: Blocks that the counts of windows are cut into, and groups of tasks that are added up first.
 BLOCKS, GROUPS = 64, 16
-#: Words at most whose counts are sent to all tasks.
-CACHED = 1 << 17
-DISCOUNT = 0.5
+#: Words at most whose counts are sent to all tasks, and tokens at most of a rare word.
+CACHED, RARE = 1 << 17, 64
+DISCOUNT, SHARED = 0.5, 0.5
 
 
 def ending(word: bytes) -> int:
@@ -81,7 +84,8 @@ def vocabulary(table: DataFrame) -> list[bytes]:
 
 
 def cached(table: DataFrame) -> list:
-    """(word, ending, n) of the most frequent words: all those of the largest counts, CACHED at most."""
+    """(word, ending, n) of the most frequent words: all those of the largest counts above RARE, CACHED at most."""
+    table = table.where(F.col("n") > RARE)
     size = F.floor(F.log2("n") * 16)
     least, held = None, 0
     for r in sorted(table.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
@@ -309,13 +313,18 @@ def score(docs: DataFrame) -> DataFrame:
         return materialize(_score(docs, keep))
 
 
+def _hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, len(ws))
+
+
 def _score(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     table = keep(counts(docs))
     frequent = vocabulary(table)
     known = [(bytes(r["word"]), r["n"]) for r in cached(table)]
-    totals, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in table.where(~F.col("word").isin(frequent)).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        totals[r["ending"]], types[r["ending"]] = r["n"], r["types"]
+    totals, types, rare = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(ENDINGS)
+    by_ending = table.where(~F.col("word").isin(frequent)).groupBy("ending")
+    for r in by_ending.agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.sum(F.when(F.col("n") <= RARE, F.col("n")).otherwise(0)).alias("rare")).collect():
+        totals[r["ending"]], types[r["ending"]], rare[r["ending"]] = r["n"], r["types"], r["rare"]
     seen = materialize(window_counts(docs, frequent))
     net = fit(dense(seen))
     release(seen)
@@ -324,8 +333,9 @@ def _score(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame
 
     def run(s: pa.RecordBatch) -> dict:
         if not made:
-            made.extend([Words(*held.value[1:]), Network(held.value[0]).log_table().ravel()])
-        vocab, of_window = made
+            words_ = Words(*held.value[1:])
+            made.extend([words_, Network(held.value[0]).log_table().ravel(), _hashes(list(words_))])
+        vocab, of_window, hash_known = made
         lists = [words(t) for t in s.column("text").to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
         n, places = int(sizes.sum()), _places(sizes)
@@ -333,6 +343,7 @@ def _score(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame
         others = vocab.others
         of_others = np.array([vocab.classes[w] for w in others], np.int64)
         new = vocab.new(others, of_others)
+        hashes = np.concatenate([hash_known, _hashes(others)])
         cls = np.concatenate([vocab.cls, of_others])[number]
         # A frequent word that is not cached is alone in its class.
         far = (number >= vocab.size) & (cls > FREQUENT)
@@ -341,20 +352,37 @@ def _score(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame
         log_p = of_window[windows(tokens, places)].astype(np.float64)
         log_p += np.concatenate([vocab.log_n, np.zeros(len(others))])[number] - vocab.log_total[cls]
         total = np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(sizes)])])
-        pairs, c = np.unique(np.repeat(np.arange(len(lists)), sizes)[far] * (len(others) + 1) + number[far] - vocab.size, return_counts=True)
-        ends = np.searchsorted(pairs, np.arange(len(lists) + 1) * (len(others) + 1)).astype(np.int32)
-        which = pairs % (len(others) + 1)
-        rare = pa.array(others, pa.binary()).take(pa.array(which))
+        # The words on both sides, as one number with the class.
+        around = np.zeros(len(tokens), np.uint64)
+        around[places] = hashes[number]
+        at, far_at = places[far], np.flatnonzero(far)
+        with np.errstate(over="ignore"):
+            context = mix64(mix64(around[at - 1] + np.uint64(1)) ^ (around[at + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ cls[far].astype(np.uint64))
         vocab.forget()
-        as_lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), x)
-        return {"doc_id": s.column("doc_id"), "n_tokens": sizes, "known": total, "rare": as_lists(rare), "c": as_lists(pa.array(c, pa.int64())), "new": as_lists(pa.array(new[which], pa.float64()))}
-
-    schema = "doc_id long, n_tokens long, known double, rare array<binary>, c array<long>, new array<double>"
+        ends = np.searchsorted(far_at, np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)
+        as_lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
+        return {
+            "doc_id": s.column("doc_id"), "n_tokens": sizes, "known": total,
+            "w": as_lists(hashes[number[far]].view(np.int64), pa.int64()), "c": as_lists(context.view(np.int64), pa.int64()),
+            "new": as_lists(new[number[far] - vocab.size], pa.float64()), "k": as_lists(cls[far] - 1 - FREQUENT, pa.int32()),
+        }
+
+    schema = "doc_id long, n_tokens long, known double, w array<long>, c array<long>, new array<double>, k array<int>"
     part = map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, run)
     part = keep(part.withColumn("row", F.monotonically_increasing_id()))
-    rest = part.select("row", F.explode(F.arrays_zip("rare", "c", "new")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.c").alias("c"), F.col("x.new").alias("new"))
-    of_word = F.when(F.col("n") > 1, F.log(F.col("n") - 1 - DISCOUNT)).otherwise(F.col("new"))
-    rest = rest.join(table.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("c") * of_word).alias("rest"))
+    far = part.select("row", F.explode(F.arrays_zip("w", "c", "new", "k")).alias("x")).select("row", "x.*")
+    # A word that isn't cached has 1 in CACHED of all tokens at most: no window is large.
+    of_word, of_pair = Window.partitionBy("w"), Window.partitionBy("w", "c")
+    counted = far.withColumns({"n": F.count("*").over(of_word), "together": F.count("*").over(of_pair)})
+    base = F.when(F.col("n") > 1, F.log(F.col("n") - 1 - DISCOUNT)).otherwise(F.col("new"))
+    counted = keep(counted.select("row", "c", "k", F.when(F.col("n") <= RARE, F.col("together")).alias("together"), base.alias("base")))
+    sums = counted.where("together is null").groupBy("row").agg(F.sum("base").alias("rest"))
+    near = counted.where("together is not null")
+    contexts = near.groupBy("c").agg(F.count("*").alias("there")).where("there > 1")
+    of_rare = F.element_at(F.array(*map(F.lit, rare.tolist())), F.col("k") + 1)
+    mixed = F.log(SHARED * F.exp("base") + (1 - SHARED) * of_rare * (F.col("together") - 1) / (F.col("there") - 1))
+    both = near.join(contexts, "c", "left").select("row", F.when(F.col("there") > 1, mixed).otherwise(F.col("base")).alias("p"))
+    rest = sums.unionByName(both.groupBy("row").agg(F.sum("p").alias("rest"))).groupBy("row").agg(F.sum("rest").alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
     out = part.select("row", "doc_id", "n_tokens", "known").join(rest, "row", "left").withColumn("log_likelihood", total)
     return out.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"), "log_likelihood", "n_tokens")
