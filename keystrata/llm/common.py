@@ -153,15 +153,46 @@ def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
 # -- connected components -------------------------------------------------------------------------
 
 
+#: Edges that one task joins at most.
+SMALL_EDGES = 1 << 20
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """The components of few edges (u, v) by union-find in one task, on numbers of 16 bytes an edge."""
+    schema = arrow_schema("id long, component long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (p := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent.setdefault(p, p)
+            return i
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                x, y = find(u), find(v)
+                parent[max(x, y)] = min(x, y)
+        ids = list(parent)
+        for at in range(0, len(ids), 100_000):
+            part = ids[at : at + 100_000]
+            yield as_batch(schema, {"id": part, "component": list(map(find, part))})
+
+    return edges.coalesce(1).mapInArrow(run, "id long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b), as a stored table: the component is its smallest id.
 
-    Alternating large-star and small-star steps, O(log^2 n) rounds; each round is two aggregations that
-    combine before the exchange and two joins, and ends in a table in the shared folder. Nothing but a
-    count and a checksum per round reaches the driver.
+    SMALL_EDGES at most are joined in one task. More take alternating large-star and small-star steps,
+    O(log^2 n) rounds; each round is two aggregations that combine before the exchange and two joins, and ends
+    in a table in the shared folder. Nothing but a count and a checksum per round reaches the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    cur, mark = materialize(e), None
+    cur, mark = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    if cur.count() <= SMALL_EDGES:
+        out = materialize(_joined(cur))
+        release(cur)
+        return out
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))

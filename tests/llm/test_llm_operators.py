@@ -14,7 +14,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontamination, language_id, lm_scoring, near_dedup, packing, pii, quality, queries, substring_dedup, topk, warc
+from keystrata.llm import common, decontamination, language_id, lm_scoring, near_dedup, packing, pii, quality, queries, substring_dedup, topk, warc
 from keystrata.llm.common import components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -289,7 +289,9 @@ def test_signature_join_guarantee():
             assert set(keys[0]) & set(keys[1])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "SMALL_EDGES", few)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, x) for x in range(301, 340)]
     root = {x: x for e in edges for x in e}
@@ -501,8 +503,16 @@ def brute_lm(texts):
         for i in range(1, len(x) - 1):
             seen[x[i - 1] * lm_scoring.CLASSES + x[i + 1], x[i]] += 1
     net = lm_scoring.fit(seen)
+    # Rare words between the same two words.
+    rare = lambda w: cls(w) > lm_scoring.FREQUENT and n[w] <= lm_scoring.RARE
+    between = [[(l, r, cls(w)) for l, w, r in zip([None, *ws], ws, [*ws[1:], None], strict=False)] for ws in lists]  # noqa: E741
+    together = Counter((w, c) for ws, cs in zip(lists, between, strict=True) for w, c in zip(ws, cs, strict=True) if rare(w))
+    there, of_rare = Counter(), Counter()
+    for (w, c), m in together.items():
+        there[c] += m
+        of_rare[cls(w)] += m
     out = []
-    for ws, x in zip(lists, padded, strict=True):
+    for ws, x, cs in zip(lists, padded, between, strict=True):
         score = 0.0
         for i, w in enumerate(ws, 1):
             h = np.tanh(net.tables[0][x[i - 1]].astype(float) + net.tables[1][x[i + 1]])
@@ -510,7 +520,11 @@ def brute_lm(texts):
             score += z[x[i]] - math.log(np.exp(z).sum())
             if x[i] > lm_scoring.FREQUENT:
                 new = math.log(lm_scoring.DISCOUNT * types[x[i]]) + sum(letter(p, q) for p, q in zip(b" " + w, w + b" ", strict=True))
-                score += (math.log(n[w] - 1 - lm_scoring.DISCOUNT) if n[w] > 1 else new) - math.log(total[x[i]])
+                p = math.log(n[w] - 1 - lm_scoring.DISCOUNT) if n[w] > 1 else new
+                c = cs[i - 1]
+                if rare(w) and there[c] > 1:
+                    p = math.log(lm_scoring.SHARED * math.exp(p) + (1 - lm_scoring.SHARED) * of_rare[x[i]] * (together[w, c] - 1) / (there[c] - 1))
+                score += p - math.log(total[x[i]])
         out.append(score)
     return out
 
