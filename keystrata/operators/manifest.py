@@ -32,6 +32,11 @@ def next_numbers(edits: DataFrame) -> DataFrame:
     return edits.where("action = 'add'").agg((F.coalesce(F.max("file_no"), F.lit(-1)) + 1).cast("long").alias("next_run"))
 
 
+def log_numbers(edits: DataFrame) -> DataFrame:
+    """The active log and the next one's number after an edit log with rows of action 'wal': the last one counts."""
+    return edits.where("action = 'wal'").agg(F.max_by("file_no", "edit_no").alias("current_wal"), (F.max_by("file_no", "edit_no") + 1).alias("next_wal"))
+
+
 @dataclass(frozen=True)
 class FileMeta:
     number: int

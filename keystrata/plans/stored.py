@@ -9,12 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.seed import SEED_PAIRS, seed_rows
-from keystrata.model import DELETE, PUT
+from keystrata.model import DELETE, PUT, IncompleteEntry
 from keystrata.operators import manifest
+from keystrata.sources import codec
 from keystrata.sources.datasource import between, lookup, register
 from keystrata.sources.hadoop import Files
 from keystrata.sources.scratch import materialize, shared_dir
@@ -22,6 +24,7 @@ from keystrata.store import Store
 from keystrata.streaming.ingest import ingest
 
 LOW, HIGH = "click:2", "purchase:3"
+RUN, RATE = 4096, 0.01
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +206,64 @@ def sortedrun_between(spark, d):
     return _written(spark, _orders(spark, d), "sortedrun", lambda p: _text(between(spark, p, b"000000000100", b"000000000999"), "key", "value").select("seq", "op", "key", "value"))
 
 
+def _order_runs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.floor(F.col("o_orderkey") / RUN).cast("long").alias("run"), F.col("o_orderkey").alias("seq"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("key"), F.col("o_orderpriority").alias("value"))
+
+
+def _encoded(rows: pd.DataFrame) -> codec.Run:
+    """A run of bounded size in its binary form, opened again."""
+    rows = rows.sort_values("key")
+    return codec.Run(codec.encode_run(((s, PUT, k.encode(), v.encode()) for s, k, v in zip(rows["seq"], rows["key"], rows["value"], strict=True)), RATE))
+
+
+def block_parse(spark, d):
+    """Each block of encoded runs, decoded by itself: entries, first and last key, sum of sequence numbers."""
+
+    def parse(rows: pd.DataFrame) -> pd.DataFrame:
+        run = _encoded(rows)
+        blocks = [run.block(n) for n in range(len(run.index))]
+        return pd.DataFrame([(rows["run"].iloc[0], n, len(b), b[0][2].decode(), b[-1][2].decode(), sum(e[0] for e in b)) for n, b in enumerate(blocks)], columns=["run", "block", "entries", "first_key", "last_key", "seqs"])
+
+    return _order_runs(spark, d).groupBy("run").applyInPandas(parse, "run long, block long, entries long, first_key string, last_key string, seqs long")
+
+
+def run_get(spark, d):
+    """Keys looked up in encoded runs through filter, index and block: every fifth number, order or not."""
+
+    def get(rows: pd.DataFrame) -> pd.DataFrame:
+        run, number = _encoded(rows), int(rows["run"].iloc[0])
+        out = []
+        for k in range(number * RUN, (number + 1) * RUN, 5):
+            e = run.get(f"{k:012d}".encode())
+            out.append((number, k, e is not None, e[3].decode() if e else None))
+        return pd.DataFrame(out, columns=["run", "probe", "found", "value"])
+
+    return _order_runs(spark, d).groupBy("run").applyInPandas(get, "run long, probe long, found boolean, value string")
+
+
+def torn_logs(spark, d):
+    """Logs of 1,024 mutations with the last five bytes missing: what a permissive reader gets, and whether a strict one raises."""
+
+    def read(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        data = b"".join(codec.encode(s, o, k.encode(), v.encode() if isinstance(v, str) else None) for s, o, k, v in zip(rows["ord"], rows["op"], rows["key"], rows["value"], strict=True))[:-5]
+        entries, raised = list(codec.decode(data, permissive=True)), False
+        try:
+            list(codec.decode(data))
+        except IncompleteEntry:
+            raised = True
+        return pd.DataFrame([(rows["wal"].iloc[0], len(entries), max((e[0] for e in entries), default=0), raised)], columns=["wal", "entries", "max_seq", "raised"])
+
+    logs = events(spark, d).withColumn("wal", F.floor((F.col("ord") - 1) / 1024).cast("long"))
+    return logs.groupBy("wal").applyInPandas(read, "wal long, entries long, max_seq long, raised boolean")
+
+
+def manifest_log_numbers(spark, d):
+    """Each run of the event log switches to the next log."""
+    runs = events(spark, d).select(F.floor((F.col("ord") - 1) / 1024).cast("long").alias("edit_no")).distinct()
+    return manifest.log_numbers(runs.select("edit_no", F.lit("wal").alias("action"), (F.col("edit_no") + 1).alias("file_no")))
+
+
 ORDERS = "SELECT o_orderkey AS seq, 0::INT AS op, lpad(o_orderkey::VARCHAR, 12, '0') AS key, o_orderpriority AS value FROM orders"
 RUN_SHAPE = "SELECT third, min(key) AS smallest, max(key) AS largest, count(*)::BIGINT AS entries FROM flushed WHERE third < 2 GROUP BY 1"
 BLOCKED = """placed AS (SELECT key, (13 + strlen(key) + coalesce(strlen(value), 0))::BIGINT AS bytes, row_number() OVER w AS rn, (sum(13 + strlen(key) + coalesce(strlen(value), 0)) OVER w - (13 + strlen(key) + coalesce(strlen(value), 0)))::BIGINT AS off
@@ -240,6 +301,16 @@ SELECT *, coalesce(sum(entries) OVER (PARTITION BY tier), 0)::BIGINT AS tier_ent
         "SELECT row_number() OVER (ORDER BY lpad(i::VARCHAR, 12, '0') || k) AS seq, k || i AS key, v || i AS value FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SEED_PAIRS) + ") AS p(k, v), (SELECT r_regionkey AS i FROM region)",
     ),
     "stream_ingest": (stream_ingest, f"WITH {THIRDS} SELECT count(*)::BIGINT AS mutations, count(*)::BIGINT AS numbers, count(*)::BIGINT AS last, count(DISTINCT key)::BIGINT AS keys FROM log"),
+    "block_parse": (
+        block_parse,
+        f"SELECT run, ((rn - 1) // 64)::BIGINT AS block, count(*)::BIGINT AS entries, min(key) AS first_key, max(key) AS last_key, sum(seq)::BIGINT AS seqs FROM (SELECT (seq // {RUN})::BIGINT AS run, seq, key, row_number() OVER (PARTITION BY seq // {RUN} ORDER BY key) AS rn FROM ({ORDERS})) GROUP BY 1, 2",
+    ),
+    "run_get": (
+        run_get,
+        f"WITH o AS ({ORDERS}), r AS (SELECT DISTINCT (seq // {RUN})::BIGINT AS run FROM o), p AS (SELECT run, unnest(range(run * {RUN}, (run + 1) * {RUN}, 5))::BIGINT AS probe FROM r) SELECT run, probe, o.key IS NOT NULL AS found, o.value FROM p LEFT JOIN o ON o.seq = p.probe",
+    ),
+    "torn_logs": (torn_logs, f"WITH {THIRDS}, l AS (SELECT ((seq - 1) // 1024)::BIGINT AS wal, seq, row_number() OVER (PARTITION BY (seq - 1) // 1024 ORDER BY seq DESC) AS r FROM log) SELECT wal, (count(*) - 1)::BIGINT AS entries, coalesce(max(seq) FILTER (r > 1), 0)::BIGINT AS max_seq, true AS raised FROM l GROUP BY 1"),
+    "manifest_log_numbers": (manifest_log_numbers, f"WITH {THIRDS} SELECT ((max(seq) - 1) // 1024 + 1)::BIGINT AS current_wal, ((max(seq) - 1) // 1024 + 2)::BIGINT AS next_wal FROM log"),
     "entrylog_source": (entrylog_source, f"WITH {THIRDS} SELECT seq, op::INT AS op, key, value FROM log"),
     "sortedrun_source": (sortedrun_source, ORDERS),
     "sortedrun_lookup": (sortedrun_lookup, f"{ORDERS} WHERE o_orderkey IN (SELECT 100 * n_nationkey FROM nation)"),
