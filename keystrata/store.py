@@ -64,8 +64,8 @@ class Store:
             s.version = Version.from_json(s.files.read_text(s.paths.manifest))
             state = s.wal().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
             s._seq = max(state, s.version.extra.get("LastSeq", 0))
-            # The active log holds a threshold of keys and one batch at most.
-            s._keys = {bytes(r[0]) for r in s.wal().select("key").distinct().toLocalIterator()}
+            # Enough keys to know whether the threshold is reached: a bulk load may hold any number.
+            s._keys = {bytes(r[0]) for r in s.wal().select("key").distinct().limit(s.options.flush_threshold).collect()}
             s._streams = dict(s.version.extra.get("Streams", {}))
             for name in s._batches():
                 parts = name.split(".")
@@ -175,8 +175,8 @@ class Store:
             self._mark(name, n)
             self._seq += n
             if len(self._keys) < self.options.flush_threshold:
-                # Enough keys to know that the threshold is reached are enough.
-                self._keys.update(bytes(r[0]) for r in added.select("key").distinct().limit(2 * self.options.flush_threshold).collect())
+                # A threshold of different keys is enough to know that it is reached.
+                self._keys.update(bytes(r[0]) for r in added.select("key").distinct().limit(self.options.flush_threshold).collect())
             if stream is not None:
                 self._streams[stream] = batch_id
 
