@@ -46,6 +46,10 @@ SYMBOLS = 64
 RUN_BLOCK, CLUSTER_ROWS, CLUSTER_BYTES, HUBS = 4096, 2048, 4 << 20, 8
 
 
+#: Ids that are sent to all tasks at most: eight bytes each, about thirty in a task's table.
+BROADCAST_IDS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Links have 100 * |A and B| >= percent * |A or B|, on shingles of so many words."""
@@ -372,7 +376,9 @@ def near_duplicates(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
-    """The documents that stay: the first of each component. All columns stay."""
+    """The documents that stay: the first of each component. All columns stay. Up to BROADCAST_IDS ids of the
+    others are sent to all tasks, and the documents stay where they are; more are joined by an exchange."""
     gone = unused(docs.columns, "gone")
     ids = near_duplicates(docs, t).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

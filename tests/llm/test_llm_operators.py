@@ -192,7 +192,7 @@ def brute_components(rows, k, percent):
 
 
 @pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, docs, empty, corpus, k, percent):
+def test_near_duplicates(spark, docs, empty, corpus, monkeypatch, k, percent):
     t = near_dedup.Threshold(k, percent)
     out = near_dedup.near_duplicates(docs, t).collect()
     want = brute_components([r[:2] for r in corpus], k, percent)
@@ -202,6 +202,8 @@ def test_near_duplicates(spark, docs, empty, corpus, k, percent):
     assert "gone" in docs.columns
     kept = near_dedup.near_dedup_stage(docs, t)
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id is null").count() == 2
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert sorted(map(str, near_dedup.near_dedup_stage(docs, t).collect())) == sorted(map(str, kept.collect()))
 
 
 @pytest.mark.parametrize("blocks", ["CLUSTER_BYTES", "CLUSTER_ROWS"])
