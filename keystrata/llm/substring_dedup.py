@@ -23,7 +23,9 @@ occurs; a trigger with very many phrases is dealt over several shards, whose res
 strings' digests; the last lookup is a plain join that Spark splits at hot phrases.
 
 Edge cases: a null text has no bytes; texts under 50 bytes lose nothing; documents without doc_id come
-after all others; rows of the same doc_id don't remove from each other.
+after all others; rows of the same doc_id don't remove from each other; repeated rows lose the same bytes. A
+document is one row, as its text is, and so is the list of its repeated phrases: at most about twice the
+bytes of its text.
 """
 
 from __future__ import annotations
