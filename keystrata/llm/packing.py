@@ -63,7 +63,7 @@ class FastEncoder:
     #: What is safe: printable ASCII, line breaks, precomposed Latin letters and common punctuation.
     SAFE = bytes([9, 10, 13, *range(32, 127)])
     UNSURE = regex.compile(r"[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
-    WORDS, PIECES = 1_000_000, 600_000
+    WORDS, PIECES = 700_000, 500_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
