@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.bloom import filter_bytes, optimal_bits
 from keystrata.model import ENTRIES_PER_BLOCK, ENTRY_HEADER_BYTES, FOOTER_BYTES
-from keystrata.operators.ordered import ranged, running_sum
+from keystrata.operators.ordered import ranged, running_sums
 
 
 def entry_bytes(key: str = "key", value: str = "value") -> Column:
@@ -30,6 +30,14 @@ def blocks(run_rows: DataFrame) -> DataFrame:
     return placed.withColumn("block", F.floor((F.col("rn") - 1) / ENTRIES_PER_BLOCK).cast("long"))
 
 
+def blocks_of_one(rows: DataFrame) -> DataFrame:
+    """The same for the rows (key, value) of one run of any size, which no task has to hold."""
+    sized = rows.withColumn("bytes", entry_bytes()).withColumn("_one", F.lit(1))
+    summed = running_sums(ranged(sized, "key"), {"rn": "_one", "_end": "bytes"})
+    placed = summed.withColumns({"offset": F.col("_end") - F.col("bytes"), "block": F.floor((F.col("rn") - 1) / ENTRIES_PER_BLOCK).cast("long")})
+    return placed.drop("_one", "_end")
+
+
 def block_index(placed: DataFrame) -> DataFrame:
     """Per block: first key, byte offset, entries."""
     return placed.groupBy("run", "block").agg(F.min("key").alias("first_key"), F.min("offset").alias("block_offset"), F.count("*").alias("entries"))
@@ -83,5 +91,5 @@ def read_amplification(meta: DataFrame, keys: DataFrame) -> DataFrame:
     bounds = bounds.unionByName(meta.select(F.col("largest").alias("key"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step"), F.lit(0).alias("_run")))
     placed = ranged(bounds.unionByName(keys.select("key", F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.lit(0).alias("_run"))), "key", "_kind")
     total = placed.agg(F.coalesce(F.sum("_run"), F.lit(0)).alias("runs_total"))
-    counted = running_sum(placed, "_step", "runs_in_range").where("_kind = 1").select("key", "runs_in_range")
+    counted = running_sums(placed, {"runs_in_range": "_step"}).where("_kind = 1").select("key", "runs_in_range")
     return counted.crossJoin(F.broadcast(total))

@@ -26,26 +26,24 @@ def ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
     return materialize(placed)
 
 
-def _before(stored: DataFrame, total: Column) -> DataFrame:
-    """(_part, _before, _all): the sum of total over earlier partitions, and over all of them. One row a partition."""
-    sums = stored.groupBy(PART).agg(total.cast("long").alias("_t"))
-    w = Window.orderBy(PART)
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return sums.select(PART, F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(everything).alias("_all"))
+def _before(stored: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """For each partition the sums over earlier ones, as before_ and the name. One row a partition."""
+    sums = stored.groupBy(PART).agg(*[v.cast("long").alias(name) for name, v in values.items()])
+    w = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(PART, *[F.coalesce(F.sum(name).over(w), F.lit(0)).alias(f"before_{name}") for name in values])
 
 
 def numbered(stored: DataFrame, name: str) -> DataFrame:
     """Adds name, 1..count in the order of a table of ranged()."""
-    before = _before(stored, F.count("*")).select(PART, "_before")
-    return stored.join(F.broadcast(before), PART).withColumn(name, F.col("_before") + F.col(PLACE) + 1).drop(PART, PLACE, "_before")
+    before = _before(stored, {name: F.count("*")})
+    return stored.join(F.broadcast(before), PART).withColumn(name, F.col(f"before_{name}") + F.col(PLACE) + 1).drop(PART, PLACE, f"before_{name}")
 
 
-def running_sum(stored: DataFrame, value: str, name: str, total: str | None = None) -> DataFrame:
-    """Adds name, the sum of value from the first row to this one, and the sum over all rows as total."""
-    before = _before(stored, F.sum(value))
+def running_sums(stored: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Adds, for each name of values, the sum of its column from the first row to this one."""
     w = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    out = stored.withColumn("_own", F.sum(value).over(w)).join(F.broadcast(before), PART).withColumn(name, F.col("_before") + F.col("_own"))
-    return (out.withColumn(total, F.col("_all")) if total else out).drop(PART, PLACE, "_own", "_before", "_all")
+    joined = stored.withColumns({name: F.sum(column).over(w) for name, column in values.items()}).join(F.broadcast(_before(stored, {name: F.sum(column) for name, column in values.items()})), PART)
+    return joined.withColumns({name: F.col(name) + F.col(f"before_{name}") for name in values}).drop(PART, PLACE, *[f"before_{name}" for name in values])
 
 
 def with_previous(stored: DataFrame, value: str, name: str) -> DataFrame:

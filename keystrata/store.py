@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keystrata.model import DELETE, LOG_SCHEMA, PUT, InvalidKey, KeyNotFound, Options, Paths, checked_log
 from keystrata.operators import latest as L
-from keystrata.operators.layout import block_index, blocks
+from keystrata.operators.layout import block_index, blocks_of_one
 from keystrata.operators.manifest import FileMeta, Version
 from keystrata.operators.ordered import numbered, ranged
 from keystrata.sources.hadoop import Files
@@ -331,7 +331,7 @@ class Store:
         if not found:
             raise FileNotFoundError(self.paths.run(level, number))
         rows = self._run(level, found[0]).select(F.lit(number).cast("long").alias("run"), "key", "value")
-        return block_index(blocks(rows)).select("block", "block_offset", "first_key", "entries").orderBy("block")
+        return block_index(blocks_of_one(rows)).select("block", "block_offset", "first_key", "entries").orderBy("block")
 
     def range_scan(self, low: bytes | str, high: bytes | str, reverse: bool = False) -> DataFrame:
         """Live rows (key, value) with low <= key < high, in key order or against it."""
