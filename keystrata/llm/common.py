@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -15,7 +16,7 @@ from xxhash import xxh3_64_intdigest
 
 from keystrata.sources.scratch import materialize, release, releasing, shared_dir
 
-__all__ = ["arrow_schema", "as_batch", "components", "grouped", "keep_rows", "map_text", "materialize", "mix64", "release", "releasing", "shared_dir", "shingles", "text_slices", "unused", "words"]
+__all__ = ["arrow_schema", "as_batch", "components", "grouped", "keep_rows", "lean", "map_text", "materialize", "mix64", "release", "releasing", "shared_dir", "shingles", "text_slices", "unused", "words"]
 
 #: Text handled at once inside a task.
 CHUNK_BYTES = 1 << 20
@@ -24,6 +25,22 @@ CHUNK_BYTES = 1 << 20
 # -- Arrow streams --------------------------------------------------------------------------------
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives what it no longer uses back to the system at its end: a worker lives on for other tasks,
+    beside those of its neighbours."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def as_batch(schema: StructType | pa.Schema, columns: dict) -> pa.RecordBatch:
     """A batch with the columns in the schema's order."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
@@ -53,7 +70,7 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | N
                 if out is not None:
                     yield as_batch(target, out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def keep_rows(df: DataFrame, fn: Callable[[list], np.ndarray], column: str = "text") -> DataFrame:
@@ -64,7 +81,7 @@ def keep_rows(df: DataFrame, fn: Callable[[list], np.ndarray], column: str = "te
             for s in text_slices(b, column):
                 yield s.filter(pa.array(fn(s.column(column).to_pylist())))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

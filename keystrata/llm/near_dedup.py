@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from keystrata.llm.common import arrow_schema, as_batch, components, grouped, map_text, materialize, mix64, release, releasing, shingles, text_slices, unused
+from keystrata.llm.common import arrow_schema, as_batch, components, grouped, lean, map_text, materialize, mix64, release, releasing, shingles, text_slices, unused
 
 SYMBOLS = 64
 #: Rows of a run whose signatures are compared; rows and text of a cluster in one block, and texts in each block of a cluster.
@@ -261,8 +261,8 @@ def _runs(classes: DataFrame, t: Threshold) -> DataFrame:
                 held = []
         yield from ended()
 
-    dealt = classes.select("id", "sig").mapInArrow(key, "key long, id long").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, RUN)
+    dealt = classes.select("id", "sig").mapInArrow(lean(key), "key long, id long").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lean(run), RUN)
 
 
 def _near_edges(runs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
@@ -286,7 +286,7 @@ def _near_edges(runs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
 
     dealt = runs.where("star is null").select("key", "id").join(few, "id").repartition("key").sortWithinPartitions("key")
     stars = runs.where("star <> id").select(F.col("star").alias("a"), F.col("id").alias("b"))
-    return dealt.mapInArrow(within, EDGE).unionByName(stars).distinct()
+    return dealt.mapInArrow(lean(within), EDGE).unionByName(stars).distinct()
 
 
 def _against_all(loose: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Thre
             edges = _links(*sets(g), t, side) if side.min() != side.max() else []
             yield as_batch(schema, {"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]})
 
-    found = keep(text.join(to_all.unionByName(others), "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(within, "a long, b long, many boolean"))
+    found = keep(text.join(to_all.unionByName(others), "id").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lean(within), "a long, b long, many boolean"))
     edges = found.select("a", "b")
     if many.isEmpty():
         return edges
@@ -352,7 +352,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, t: Thre
     loose = keep(parted.join(largest, "key").where("component <> largest").select("key", "id", "bytes"))
     if not loose.isEmpty():
         by = ["key", "block", "part"]
-        edges = edges.unionByName(text.join(_against_all(loose, many.select("key", "block", "id")), "id").repartition(*by).sortWithinPartitions(*by).mapInArrow(across, EDGE))
+        edges = edges.unionByName(text.join(_against_all(loose, many.select("key", "block", "id")), "id").repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(across), EDGE))
     return edges
 
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import arrow_schema, as_batch, map_text, materialize, releasing
+from keystrata.llm.common import arrow_schema, as_batch, lean, map_text, materialize, releasing
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -63,7 +63,7 @@ class FastEncoder:
     #: What is safe: printable ASCII, line breaks, precomposed Latin letters and common punctuation.
     SAFE = bytes([9, 10, 13, *range(32, 127)])
     UNSURE = regex.compile(r"[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
-    WORDS, PIECES = 700_000, 500_000
+    WORDS, PIECES = 400_000, 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -199,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             nth = rank - row[:, 1]
             yield as_batch(schema, {c: b.column(c) for c in names} | {"sequence_id": row[:, 2] + nth // row[:, 3], "offset": row[:, 4] + nth % row[:, 3] * length})
 
-    return ranked.select(*names, "_rank").mapInArrow(place, PIECE + ", sequence_id long, offset long")
+    return ranked.select(*names, "_rank").mapInArrow(lean(place), PIECE + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
