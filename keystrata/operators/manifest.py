@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,12 @@ class FileMeta:
     largest: bytes
     entries: int = 0
 
+    @cached_property
+    def json(self) -> dict:
+        """The run in the manifest, which is written whole at each edit."""
+        b64 = lambda b: base64.b64encode(b).decode()
+        return {"FileNo": self.number, "SmallestKey": b64(self.smallest), "LargestKey": b64(self.largest), "Entries": self.entries}
+
 
 @dataclass(frozen=True)
 class Version:
@@ -72,8 +79,7 @@ class Version:
         return replace(self, levels=levels, next_run=max(self.next_run, highest + 1))
 
     def to_json(self) -> str:
-        b64 = lambda b: base64.b64encode(b).decode()
-        files = [[{"FileNo": f.number, "SmallestKey": b64(f.smallest), "LargestKey": b64(f.largest), "Entries": f.entries} for f in level] for level in self.levels]
+        files = [[f.json for f in level] for level in self.levels]
         return json.dumps({"CurrentWAL": self.current_wal, "Levels": files, "NextWALNumber": self.next_wal, "NextSSTableNumber": self.next_run, **self.extra}, indent=2)
 
     @staticmethod

@@ -8,17 +8,24 @@ A batch is a folder of the log, and counts once its marker is there; the marker
 step. A folder without one is an interrupted write: it is never read, and goes with vacuum(). The folder of
 a stream's micro-batch bears the stream's name and the batch's number, so that the rows and the fact that
 they were committed become visible together, and a replay after any crash is recognised.
+
+What comes through the queue is in the driver already: its batches are written from there, without a job. While
+the active log holds nothing else, the driver keeps its memtable, up to MEMTABLE_BYTES of keys and values, and a
+flush writes the run from it. Logs with bulk loads, of a reopened store or beyond that limit are flushed by a job.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import threading
 import time
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +38,16 @@ from keystrata.sources.hadoop import Files
 from keystrata.sources.scratch import release
 
 MARKER = "_COMMITTED"
+#: Keys and values that the driver keeps of the active log.
+MEMTABLE_BYTES = 8 << 20
+_ARROW = pa.schema([pa.field("seq", pa.int64(), False), pa.field("op", pa.int32(), False), pa.field("key", pa.binary(), False), pa.field("value", pa.binary())])
+
+
+def _encoded(rows: Sequence[tuple]) -> bytes:
+    """Rows (seq, op, key, value) as a Parquet file. All keys fit into the dictionary, which readers filter by."""
+    out = io.BytesIO()
+    pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW), out, use_dictionary=["key"], dictionary_pagesize_limit=2 * MEMTABLE_BYTES)
+    return out.getvalue()
 
 
 def _bytes(x: bytes | str) -> bytes:
@@ -53,6 +70,9 @@ class Store:
         self.version = Version()
         self._seq, self._keys = 0, set()
         self._streams: dict[str, int] = {}
+        #: key -> (seq, op, key, value): the newest mutations of the active log, or None if the driver doesn't hold them all.
+        self._memtable: dict[bytes, tuple] | None = {}
+        self._memtable_bytes = 0
 
     @staticmethod
     def open(spark: SparkSession, path: str, **options) -> Store:
@@ -67,7 +87,10 @@ class Store:
             # Enough keys to know whether the threshold is reached: a bulk load may hold any number.
             s._keys = {bytes(r[0]) for r in s.wal().select("key").distinct().limit(s.options.flush_threshold).collect()}
             s._streams = dict(s.version.extra.get("Streams", {}))
-            for name in s._batches():
+            batches = s._batches()
+            if batches:
+                s._memtable = None
+            for name in batches:
                 parts = name.split(".")
                 if len(parts) == 3:
                     stream = bytes.fromhex(parts[1]).decode()
@@ -98,7 +121,7 @@ class Store:
         with self._waiting:
             self._queue.extend(mine)
             self._waiting.notify_all()
-        while not all(r.done for r in mine):
+        while mine and not mine[-1].done:  # the queue is answered in order
             with self._lock:
                 self._commit_some()
         for r in mine:
@@ -120,18 +143,29 @@ class Store:
         try:
             if len(self._keys) >= self.options.flush_threshold:
                 self.flush()
-            rows = [(self._seq + 1 + i, op, bytearray(k), None if v is None else bytearray(v)) for i, (op, k, v) in enumerate(r.row for r in batch)]
+            rows = [(self._seq + 1 + i, *r.row) for i, r in enumerate(batch)]
             name = f"batch={rows[0][0]:020d}"
-            self._write_batch(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1), name)
+            self.files.delete(self._batch_path(name))  # of an interrupted write
+            self.files.write_bytes(f"{self._batch_path(name)}/part-0.parquet", _encoded(rows))
             self._mark(name, len(rows))
             self._seq = rows[-1][0]
             self._keys.update(r.row[1] for r in batch)
+            self._remember(rows)
         except Exception as e:  # every writer of the batch gets the same answer
+            self._memtable = None  # the log tells how far it came
             for r in batch:
                 r.error = e
         for r in batch:
             r.done = True
 
+    def _remember(self, rows: list[tuple]) -> None:
+        if self._memtable is not None:
+            self._memtable_bytes += sum(len(k) + len(v or b"") for _, _, k, v in rows)
+            if self._memtable_bytes > MEMTABLE_BYTES:
+                self._memtable = None
+            else:
+                self._memtable.update((r[2], r) for r in rows)
+
     def _batch_path(self, name: str) -> str:
         return f"{self.paths.wal(self.version.current_wal)}/{name}"
 
@@ -160,6 +194,7 @@ class Store:
                 return
             if len(self._keys) >= self.options.flush_threshold:
                 self.flush()
+            self._memtable = None
             first = self._seq + 1
             name = f"batch={first:020d}" + ("" if stream is None else f".{stream.encode().hex()}.{batch_id}")
             stored = ranged(rows.select(F.col(order).alias("_order"), F.col("op").cast("int").alias("op"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), "_order")
@@ -185,13 +220,23 @@ class Store:
         self._check_open()
         with self._lock:
             number = self.version.next_run
-            meta = self._write_run(L.latest(self.wal(), keep_tombstones=True), 0, number)
+            meta = self._write_run(L.latest(self.wal(), keep_tombstones=True), 0, number) if self._memtable is None else self._write_memtable(number)
             if meta is None:
                 return
             v = self.version.apply(add={0: [meta]}).with_wal(self.version.next_wal)
             self.version = Version(v.current_wal, v.levels, v.next_wal, v.next_run, {**v.extra, "LastSeq": self._seq, "Streams": dict(self._streams)})
             self._persist()
-            self._keys = set()
+            self._keys, self._memtable, self._memtable_bytes = set(), {}, 0
+
+    def _write_memtable(self, number: int) -> FileMeta | None:
+        """The run at level 0 from what the driver holds."""
+        if not self._memtable:
+            return None
+        keys, path = sorted(self._memtable), self.paths.run(0, number)
+        self.files.delete(path)  # of an interrupted flush
+        self.files.write_bytes(f"{path}/part-0.parquet", _encoded([self._memtable[k] for k in keys]))
+        self.files.write_bytes(f"{path}/_SUCCESS", b"", sync=False)
+        return FileMeta(number, keys[0], keys[-1], len(keys))
 
     def _write_run(self, state: DataFrame, level: int, number: int) -> FileMeta | None:
         path = self.paths.run(level, number)
@@ -214,7 +259,7 @@ class Store:
             if not upper and not lower:
                 return
             deepest = all(not files for files in self.version.levels[level + 2 :])
-            source = self._union([*(self._run(level, f) for f in upper), *(self._run(level + 1, f) for f in lower)])
+            source = self._runs([*((level, f) for f in upper), *((level + 1, f) for f in lower)])
             meta = self._write_run(L.compact(source, bottom=deepest), level + 1, self.version.next_run)
             self.version = self.version.apply(add={level + 1: [meta] if meta else []}, delete={level: {f.number for f in upper}, level + 1: {f.number for f in lower}})
             self._persist()
@@ -272,9 +317,6 @@ class Store:
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], LOG_SCHEMA)
 
-    def _union(self, frames: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, frames, self._empty()) if frames else self._empty()
-
     def wal(self, number: int | None = None) -> DataFrame:
         """The committed batches of a log, in no particular order; sort by seq for append order."""
         path = self.paths.wal(self.version.current_wal if number is None else number)
@@ -285,13 +327,17 @@ class Store:
         return L.latest(self.wal(), keep_tombstones=True)
 
     def _run(self, level: int, f: FileMeta) -> DataFrame:
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self.paths.run(level, f.number))
+        return self._runs([(level, f)])
+
+    def _runs(self, runs: list[tuple[int, FileMeta]]) -> DataFrame:
+        """The mutations of (level, run) pairs, in one scan however many they are."""
+        return self.spark.read.schema(LOG_SCHEMA).parquet(*(self.paths.run(n, f.number) for n, f in runs)) if runs else self._empty()
 
     def log(self, key: bytes | None = None) -> DataFrame:
         """Every mutation still stored. With a key, only runs whose key range holds it are opened."""
         with self._lock:
-            runs = [self._run(n, f) for n, files in enumerate(self.version.levels) for f in files if key is None or f.smallest <= key <= f.largest]
-            return self._union([self.wal(), *runs])
+            runs = [(n, f) for n, files in enumerate(self.version.levels) for f in files if key is None or f.smallest <= key <= f.largest]
+            return self.wal().unionByName(self._runs(runs))
 
     def get(self, key: bytes | str) -> bytes:
         """The live value; KeyNotFound if absent or deleted."""
@@ -336,6 +382,6 @@ class Store:
     def range_scan(self, low: bytes | str, high: bytes | str, reverse: bool = False) -> DataFrame:
         """Live rows (key, value) with low <= key < high, in key order or against it."""
         a, b = _bytes(low), _bytes(high)
-        runs = [self._run(n, f) for n, files in enumerate(self.version.levels) for f in files if f.largest >= a and f.smallest < b]
-        found = L.range_scan(self._union([self.wal(), *runs]), bytearray(a), bytearray(b))
+        runs = [(n, f) for n, files in enumerate(self.version.levels) for f in files if f.largest >= a and f.smallest < b]
+        found = L.range_scan(self.wal().unionByName(self._runs(runs)), bytearray(a), bytearray(b))
         return found.orderBy(F.desc("key")) if reverse else found

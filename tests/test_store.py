@@ -3,7 +3,7 @@ import threading
 
 import pytest
 
-from keystrata import Store, cli
+from keystrata import Store, cli, store
 from keystrata.model import DELETE, PUT, IncompleteEntry, InvalidKey, KeyNotFound
 from keystrata.operators import segments
 from keystrata.operators.manifest import FileMeta, Version, parse_manifest
@@ -298,3 +298,37 @@ def test_bloom_sent_and_joined(spark, monkeypatch):
     python = codec.Bloom(m, k)
     [python.add(b"k%d" % i) for i in range(500)]
     assert dict(sent) == {f"k{i}": python.may_contain(b"k%d" % i) for i in range(400, 1500)}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_queue_writes_without_jobs(spark, tmp_path, monkeypatch, limit):
+    """A job for each batch and flush took 1.6 s of each 50 mutations; beyond the limit jobs flush, with the same result."""
+    monkeypatch.setattr(store, "MEMTABLE_BYTES", limit)
+    rng = random.Random(11)
+    log = [(DELETE, f"k{rng.randrange(300)}") if rng.random() < 0.2 else (PUT, f"k{rng.randrange(300)}", f"v{n}") for n in range(1020)]
+    s = Store.open(spark, str(tmp_path / "s"), flush_threshold=20, batch_size=50, batch_timeout_ms=0)
+    spark.sparkContext.setJobGroup("queue", "")
+    try:
+        s.write(log)
+        assert bool(spark.sparkContext.statusTracker().getJobIdsForGroup("queue")) == (limit == 300)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want, runs = {}, {}
+    for at in range(0, len(log), 50):
+        part = {m[1]: (at + i + 1, m[0], m[2] if m[0] == PUT else None) for i, m in enumerate(log[at : at + 50])}
+        want |= part
+        if at < 1000:
+            runs[at // 50] = (min(part), max(part), len(part))
+    again = Store.open(spark, str(tmp_path / "s"), flush_threshold=20, batch_size=50, batch_timeout_ms=0)
+    for t in (s, again):
+        assert {f.number: (f.smallest.decode(), f.largest.decode(), f.entries) for f in t.version.levels[0]} == runs
+        assert t.log().count() == sum(n for *_, n in runs.values()) + 20
+        assert rows(t.scan()) == {k: v for k, (_, op, v) in want.items() if op == PUT}
+    assert again.get(next(k for k, (n, op, _) in want.items() if op == PUT and n > 1000)).startswith(b"v10")
+    assert again.inspect().where("status = 'ok'").count() == len(runs) + 2
+    again.flush()  # of a reopened store: by a job
+    again.put("zz", "1")
+    again.append(spark.createDataFrame([(1, PUT, "zz", "2"), (2, PUT, "zzz", "3")], "ord long, op int, key string, value string"), "ord")
+    again.flush()  # of a log with a bulk load
+    again.compact(0)
+    assert rows(again.scan()) == {k: v for k, (_, op, v) in want.items() if op == PUT} | {"zz": "2", "zzz": "3"}
