@@ -1,17 +1,18 @@
 """Quality classification by the perplexity of an interpolated modified Kneser-Ney trigram model.
 
-The model of each language is trained on trusted text: documents labelled good and not toxic, thinned by a
-hash to TRUSTED_BYTES of text a language in the mean, and TRUSTED_TOTAL over all languages. Their n-grams are
-counted where they lie, and the counts are sharded by n-gram: the counts of lower orders, the discounts, the
-totals of contexts and the back-off weights are aggregations and joins of these tables, so no text reaches
-the driver. The finished model, a probability or weight for each n-gram, is cut into shards by the leading
-bits of the n-gram's hash and sent to all tasks; its size is bounded by the two limits. Documents are scored
-where they lie: the n-grams of a slice of text are joined with the shards by binary search, unigrams first,
-and longer ones only where their context is known.
+The model of each language is trained on all trusted text: documents labelled good and not toxic, but for
+those held out. Their n-grams are counted where they lie, and the counts are sharded by n-gram: the counts of
+lower orders, the discounts, the totals of contexts and the back-off weights are aggregations and joins of
+these tables, so no text reaches the driver. A finished model of SENT_ENTRIES n-grams at most is cut into
+shards by the leading bits of the n-gram's hash and sent to all tasks, and documents are scored where they
+lie: the n-grams of a slice of text are joined with the shards by binary search, unigrams first, and longer
+ones only where their context is known. Of a larger model only words and their back-off weights are sent; the
+words of documents whose context is known are exchanged by their bigram and by their context of two words,
+and joined with the stored model. Both ways give the same perplexities.
 
 A document is kept if its perplexity is at most the threshold of its language and length class: a
-quantile of the perplexities of held-out trusted documents. One in HELD_OUT is held out before thinning,
-by a hash of its text, so that copies are on one side. A length class with fewer than LEAST_HELD_OUT of
+quantile of the perplexities of held-out trusted documents. One in HELD_OUT is held out by
+a hash of its text, so that copies are on one side. A length class with fewer than LEAST_HELD_OUT of
 them takes the quantile over all length classes of its language; documents trained on never count.
 
 Edge cases: a null text, or one without words, has no perplexity and goes; documents of a language
@@ -28,16 +29,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, map_text, materialize, mix64, release, releasing, text_slices, words
+from keystrata.llm.common import arrow_schema, as_batch, lean, map_text, materialize, mix64, release, releasing, text_slices, words
 
-#: Trusted text per language that a model is trained on, in the mean.
-TRUSTED_BYTES = 1 << 20
-#: Trusted text of all languages together, in the mean.
-TRUSTED_TOTAL = 64 << 20
+#: N-grams and contexts of a model that is sent to all tasks; larger ones are joined.
+SENT_ENTRIES = 1 << 22
+#: Trusted documents whose ids are sent to all tasks.
+SENT_IDS = 1 << 22
 QUANTILE, LEAST_HELD_OUT = 0.99, 20
 #: One trusted document in HELD_OUT sets thresholds only.
 HELD_OUT = 4
@@ -100,15 +102,17 @@ class Model:
     alpha: tuple[Shards, Shards, Shards]
     gamma: tuple[Shards, Shards]
 
+    def words(self, lang: int, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words w3 behind w2: the probability without context, whether the word is known, and the weight of
+        w2 as a context, -1 where it is none."""
+        p = self.alpha[0].join(_context(lang, w3), 0.0)
+        known = p > 0
+        return np.where(known, p, self.unknown[lang]), known, self.gamma[0].join(_context(lang, w2), -1.0)
+
     def log_probabilities(self, lang: int, seq: np.ndarray) -> np.ndarray:
         """ln p of each word after the first two, which are start marks or context."""
         w1, w2, w3 = seq[:-2], seq[1:-1], seq[2:]
-        key1 = _context(lang, w3)
-        p = self.alpha[0].join(key1, 0.0)
-        known = p > 0
-        p = np.where(known, p, self.unknown[lang])
-        context = _context(lang, w2)
-        g = self.gamma[0].join(context, -1.0)
+        p, known, g = self.words(lang, w2, w3)
         has = np.flatnonzero(g >= 0)
         if len(has):
             a = np.zeros(len(has), np.float32)
@@ -123,12 +127,21 @@ class Model:
         return np.log(np.maximum(p, 1e-12))
 
 
+@dataclass(frozen=True)
+class Large:
+    """A model whose n-grams of two and three words, and weights of two words, are a stored table of ENTRY."""
+
+    model: Model
+    entries: DataFrame
+
+
 def hashed(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
 NGRAM = "lang string, a long, b long, c long, n long"
-ENTRY = "kind int, key long, value double"
+#: The context is that of a trigram.
+ENTRY = "kind int, key long, context long, value float"
 _MARK = int(_START) - (1 << 64) if int(_START) >> 63 else int(_START)
 
 
@@ -165,7 +178,7 @@ def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataF
     return less.join(totals, ["lang", *context]).withColumn("p", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")), totals
 
 
-def fit(texts: DataFrame) -> Model:
+def fit(texts: DataFrame) -> Model | Large:
     """Models of the languages of rows (lang, text)."""
     with releasing() as keep:
         tri = keep(ngram_counts(texts))
@@ -188,44 +201,115 @@ def fit(texts: DataFrame) -> Model:
                 word = {w: pc.fill_null(batch.column(w), 0).to_numpy(zero_copy_only=False).view(np.uint64) for w in "abc"}
                 value = batch.column("value").to_numpy().copy()
                 value[kinds == 0] += unknown[langs[kinds == 0]]
-                keys = np.zeros(batch.num_rows, np.uint64)
+                keys, contexts = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
                 for k, used in enumerate(("c", "bc", "abc", "b", "ab")):
                     for lang in np.unique(langs[kinds == k]):
                         at = np.flatnonzero((kinds == k) & (langs == lang))
                         keys[at] = _context(int(lang), *(word[w][at] for w in used))
-                yield as_batch(schema, {"kind": kinds, "key": keys.view(np.int64), "value": value})
+                        if k == 2:
+                            contexts[at] = _context(int(lang), word["a"][at], word["b"][at])
+                yield as_batch(schema, {"kind": kinds, "key": keys.view(np.int64), "context": contexts.view(np.int64), "value": value.astype(np.float32)})
 
-        entries = rows.mapInArrow(key, ENTRY).toArrow()
+        stored = materialize(rows.mapInArrow(key, ENTRY))
+    if stored.count() <= SENT_ENTRIES:
+        model = _sent(languages, unknown, stored)
+        release(stored)
+        return model
+    return Large(_sent(languages, unknown, stored.where("kind in (0, 3)")), stored)
+
+
+def _sent(languages: dict[str, int], unknown: np.ndarray, frame: DataFrame) -> Model:
+    entries = frame.select("kind", "key", "value").toArrow()
     kinds, keys, values = entries.column("kind").to_numpy(), entries.column("key").to_numpy().view(np.uint64), entries.column("value").to_numpy()
     shards = [Shards.build(keys[kinds == k], values[kinds == k]) for k in range(5)]
     return Model(languages, unknown, tuple(shards[:3]), tuple(shards[3:]))
 
 
-def train(docs: DataFrame, labels: DataFrame, trusted_bytes: int = TRUSTED_BYTES) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Large, DataFrame]:
     """The model, and the stored table (doc_id, held_out, used) of trusted documents: those held out are
-    never used, of the others a share is."""
+    never used, all others are."""
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    sized = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.octet_length("text").alias("bytes"), (F.pmod(F.xxhash64("text", F.lit(31)), F.lit(HELD_OUT)) == 0).alias("held_out"))
-    first = F.min(F.struct("lang", "held_out", "bytes"))
-    trusted = materialize(sized.join(good, "doc_id").groupBy("doc_id").agg(first.alias("x")).select("doc_id", "x.lang", "x.held_out", "x.bytes"))
-    totals = {r["lang"]: r["n"] for r in trusted.where("not held_out").groupBy("lang").agg(F.sum("bytes").alias("n")).collect()}
-    used = F.lit(False)
-    if totals:
-        most = min(trusted_bytes, TRUSTED_TOTAL / len(totals))
-        share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, most / max(1, n)))])[F.col("lang")]
-        used = F.coalesce(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < share * float(1 << 30)), F.lit(False))
-    marked = materialize(trusted.select("doc_id", "held_out", used.alias("used")))
-    release(trusted)
+    first = F.min(F.struct("lang", "held_out"))
+    sized = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), (F.pmod(F.xxhash64("text", F.lit(31)), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    marked = materialize(sized.join(good, "doc_id").groupBy("doc_id").agg(first.alias("x")).select("doc_id", "x.held_out", (~F.col("x.held_out")).alias("used")))
     ids = marked.where("used").select("doc_id")
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).where("text is not null")
-    # The ids are bounded with the text, but by bytes: many short texts are joined without a broadcast.
-    few = ids.count() <= 100_000
+    few = ids.count() <= SENT_IDS  # more are joined by an exchange of the texts
     return fit(drawn.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")), marked
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+OCCURRENCE = "rid long, doc_id long, lang string, n_words long, done double, p float, g float, k2 long, context long, k3 long"
+
+
+def _occurrences(docs: DataFrame, model: Model) -> DataFrame:
+    """A row for each document, with n_words and the sum done of ln p of words whose context is unknown; and a row
+    for each other word, with its probability p without context, its context's weight g and the keys."""
+    schema, held = arrow_schema(OCCURRENCE), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, rid = held.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for s in text_slices(batch):
+                langs, lists = s.column("lang").to_pylist(), [words(t) for t in s.column("text").to_pylist()]
+                rids, done = np.arange(rid, rid + len(lists)), [None] * len(lists)
+                rid += len(lists)
+                for lang in sorted(set(langs) & set(m.languages)):
+                    mine = [i for i, x in enumerate(langs) if x == lang and lists[i]]
+                    if not mine:
+                        continue
+                    n = m.languages[lang]
+                    seq = np.concatenate([np.concatenate([[_START, _START], hashed(lists[i])]) for i in mine])
+                    sizes = np.array([len(lists[i]) for i in mine])
+                    at = np.arange(2, int(sizes.sum()) + 2) + 2 * np.repeat(np.arange(len(mine)), sizes)
+                    own = np.repeat(np.arange(len(mine)), sizes)
+                    w1, w2, w3 = seq[at - 2], seq[at - 1], seq[at]
+                    p, _, g = m.words(n, w2, w3)
+                    has = g >= 0
+                    sums = np.bincount(own[~has], np.log(np.maximum(p[~has], 1e-12)), len(mine))
+                    for i, x in zip(mine, sums, strict=True):
+                        done[i] = float(x)
+                    if has.any():
+                        w1, w2, w3, k = w1[has], w2[has], w3[has], int(has.sum())
+                        none = pa.nulls(k)
+                        keys = {"k2": _context(n, w2, w3), "context": _context(n, w1, w2), "k3": _context(n, w1, w2, w3)}
+                        yield as_batch(schema, {"rid": rids[mine][own[has]], "doc_id": none, "lang": none, "n_words": none, "done": none, "p": p[has].astype(np.float32), "g": g[has], **{x: v.view(np.int64) for x, v in keys.items()}})
+                # The documents' rows pass through the joins, dealt by their number, and meet nothing there.
+                own = mix64(rids.astype(np.uint64)).view(np.int64)
+                none = pa.nulls(len(lists))
+                yield as_batch(schema, {"rid": rids, "doc_id": s.column("doc_id"), "lang": langs, "n_words": [len(x) for x in lists], "done": done, "p": none, "g": none, "k2": own, "context": own, "k3": own})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(lean(run), OCCURRENCE)
+
+
+#: Lets the join with trigrams use the exchange by context that the join with weights made.
+_COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def _joined(docs: DataFrame, large: Large) -> DataFrame:
+    """perplexities() by joins, as a stored table."""
+    spark, e = docs.sparkSession, large.entries
+    two = e.where("kind = 1").select(F.col("key").alias("k2"), F.col("value").alias("a2"))
+    weight = e.where("kind = 4").select(F.col("key").alias("context"), F.col("value").alias("g3"))
+    tri = e.where("kind = 2").select("context", F.col("key").alias("k3"), F.col("value").alias("a3"))
+    p2 = F.coalesce("a2", F.lit(0.0).cast("float")) + F.col("g") * F.col("p")
+    p3 = F.when(F.col("g3").isNull(), F.col("p2")).otherwise(F.coalesce("a3", F.lit(0.0).cast("float")) + F.col("g3") * F.col("p2"))
+    found = _occurrences(docs, large.model).join(two, "k2", "left").withColumn("p2", p2).drop("k2", "a2", "p", "g")
+    found = found.join(weight, "context", "left").join(tri, ["context", "k3"], "left").withColumn("p3", p3).withColumn("log_p", F.when(F.col("p3").isNotNull(), F.log(F.greatest("p3", F.lit(1e-12)))))
+    sums = found.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "lang", "n_words", "done")], F.coalesce(F.sum("log_p"), F.lit(0.0)).alias("log_p"))
+    out = sums.select("doc_id", "lang", "n_words", F.exp(-(F.col("done") + F.col("log_p")) / F.col("n_words")).alias("perplexity"))
+    before = spark.conf.get(_COPARTITION, None)
+    spark.conf.set(_COPARTITION, "false")
+    try:
+        return materialize(out)
+    finally:
+        spark.conf.unset(_COPARTITION) if before is None else spark.conf.set(_COPARTITION, before)
+
+
+def perplexities(docs: DataFrame, model: Model | Large) -> DataFrame:
     """(doc_id, lang, n_words, perplexity): perplexity is null without words or without a model."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRUSTED_BYTES a language
+    if isinstance(model, Large):
+        return _joined(docs, model)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # SENT_ENTRIES at most
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def run(s: pa.RecordBatch) -> dict:
@@ -257,13 +341,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 def _classify(docs: DataFrame, labels: DataFrame, quantile: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     model, trusted = train(docs, labels)
     keep(trusted)
+    if isinstance(model, Large):
+        keep(model.entries)
     scored = keep(perplexities(docs, model))
     length = F.lit(len(LENGTHS))
     for i in reversed(range(len(LENGTHS))):
         length = F.when(F.col("n_words") <= LENGTHS[i], i).otherwise(length)
     scored = scored.withColumn("length", length)
     found = keep(scored.join(trusted.where("held_out"), "doc_id").where("perplexity is not null").select("lang", "length", "perplexity"))
-    limit = F.percentile_approx("perplexity", quantile, 10000)
+    limit = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY perplexity)")
     own = found.groupBy("lang", "length").agg(F.count("*").alias("n"), limit.alias("own")).where(F.col("n") >= LEAST_HELD_OUT).drop("n")
     pooled = found.groupBy("lang").agg(limit.alias("pooled"))
     lengths = docs.sparkSession.range(len(LENGTHS) + 1).select(F.col("id").cast("int").alias("length"))

@@ -383,6 +383,27 @@ def test_kneser_ney_against_the_definition(spark):
     assert all(abs(got[i] / brute[lang or ""](t) - 1) < 1e-4 for i, t, lang in tests)
 
 
+def test_quality_counts_all_trusted_text(spark, docs, corpus, monkeypatch):
+    """Only 1 MiB a language was counted before; a model too large to send is joined, with the same perplexities."""
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"w{i}x{rng.randrange(40)}" for _ in range(4000)), "en") for i in range(60)]
+    trusted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sum(len(t) for _, t, _ in rows) > 1.25 * (1 << 20)
+    _, marked = quality.train(trusted, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert marked.count() == 60 and marked.where("used = held_out").count() == 0
+
+    texts = {"en": [t for _, t, lang, *_ in corpus if t and lang == "en"][::2], "": ["a b c a b d", "b c"]}
+    repeated = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "a b c zz a b", None), (1, "qq qq b c", None)], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    get = lambda m: sorted(tuple(r) for r in quality.perplexities(repeated, m).withColumns({"doc_id": F.coalesce("doc_id", F.lit(-9)), "perplexity": F.coalesce("perplexity", F.lit(-1.0))}).collect())
+    sent = get(fitted(spark, texts))
+    monkeypatch.setattr(quality, "SENT_ENTRIES", 10)
+    large = fitted(spark, texts)
+    assert isinstance(large, quality.Large)
+    joined = get(large)
+    assert [r[:3] for r in sent] == [r[:3] for r in joined] and any(r[3] > 0 for r in sent)
+    assert all(abs(a[3] - b[3]) <= 1e-4 * abs(a[3]) for a, b in zip(sent, joined, strict=True))
+
+
 def test_quality_edges(spark, docs, empty, corpus):
     labels = spark.createDataFrame([(d, 1, 0, "x") for d, *_ in corpus if d is not None] + [(None, 1, 0, "x"), (0, None, None, "x")], "doc_id long, quality int, toxic int, kept string")
     out = quality.classify(docs, labels).collect()
