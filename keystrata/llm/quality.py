@@ -6,9 +6,15 @@ lower orders, the discounts, the totals of contexts and the back-off weights are
 these tables, so no text reaches the driver. A finished model of SENT_ENTRIES n-grams at most is cut into
 shards by the leading bits of the n-gram's hash and sent to all tasks, and documents are scored where they
 lie: the n-grams of a slice of text are joined with the shards by binary search, unigrams first, and longer
-ones only where their context is known. Of a larger model only words and their back-off weights are sent; the
-words of documents whose context is known are exchanged by their bigram and by their context of two words,
-and joined with the stored model. Both ways give the same perplexities.
+ones only where their context is known.
+
+A larger model is never stored. Every count and weight of a trigram and its bigram belongs to the trigram's
+middle word, so trigrams are dealt by it, as packed blocks: a shard counts the trusted ones it gets and looks
+up those of the documents beside them. A first exchange of the trusted text gives what spans shards, the
+discounts and the words' probabilities, which are sent to all tasks. PASSES exchanges follow, each of the
+trigrams whose middle word is of one residue, so that a fraction of them is on disk at a time. What a shard
+gives is summed by the hash of language and text, over copies too, whose words count as often as their
+probabilities. Both ways give the same perplexities.
 
 A document is kept if its perplexity is at most the threshold of its language and length class: a
 quantile of the perplexities of held-out trusted documents. One in HELD_OUT is held out by
@@ -25,19 +31,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from keystrata.llm.common import arrow_schema, as_batch, lean, map_text, materialize, mix64, release, releasing, text_slices, words
+from keystrata.llm.common import arrow_schema, as_batch, lean, map_text, materialize, mix64, releasing, text_slices, words
 
-#: N-grams and contexts of a model that is sent to all tasks; larger ones are joined.
+#: N-grams and contexts of a model that is sent to all tasks, where each trusted word counts for five; larger ones are counted in shards.
 SENT_ENTRIES = 1 << 22
+#: Exchanges in which a large model's documents are scored.
+PASSES = 4
+#: Trusted text, and text to score, of a shard in the mean.
+SHARD_TRUSTED, SHARD_SCORED = 1 << 23, 1 << 25
+#: Trigrams that a task holds before it packs them.
+BLOCK = 1 << 20
 #: Trusted documents whose ids are sent to all tasks.
 SENT_IDS = 1 << 22
 QUANTILE, LEAST_HELD_OUT = 0.99, 20
@@ -129,10 +141,14 @@ class Model:
 
 @dataclass(frozen=True)
 class Large:
-    """A model whose n-grams of two and three words, and weights of two words, are a stored table of ENTRY."""
+    """What spans the shards of a model that is counted again from its texts."""
 
-    model: Model
-    entries: DataFrame
+    texts: DataFrame
+    languages: dict[str, int]
+    #: By language: discounts of orders 2 and 3.
+    less: np.ndarray
+    unknown: np.ndarray
+    words: Shards
 
 
 def hashed(ws: list[bytes]) -> np.ndarray:
@@ -140,8 +156,7 @@ def hashed(ws: list[bytes]) -> np.ndarray:
 
 
 NGRAM = "lang string, a long, b long, c long, n long"
-#: The context is that of a trigram.
-ENTRY = "kind int, key long, context long, value float"
+ENTRY = "kind int, key long, value double"
 _MARK = int(_START) - (1 << 64) if int(_START) >> 63 else int(_START)
 
 
@@ -180,6 +195,8 @@ def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataF
 
 def fit(texts: DataFrame) -> Model | Large:
     """Models of the languages of rows (lang, text)."""
+    if 5 * _words_of(texts) > SENT_ENTRIES:
+        return _fit_large(texts)
     with releasing() as keep:
         tri = keep(ngram_counts(texts))
         # Lower orders count the different words before, but behind a start mark the n-grams themselves.
@@ -201,30 +218,308 @@ def fit(texts: DataFrame) -> Model | Large:
                 word = {w: pc.fill_null(batch.column(w), 0).to_numpy(zero_copy_only=False).view(np.uint64) for w in "abc"}
                 value = batch.column("value").to_numpy().copy()
                 value[kinds == 0] += unknown[langs[kinds == 0]]
-                keys, contexts = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+                keys = np.zeros(batch.num_rows, np.uint64)
                 for k, used in enumerate(("c", "bc", "abc", "b", "ab")):
                     for lang in np.unique(langs[kinds == k]):
                         at = np.flatnonzero((kinds == k) & (langs == lang))
                         keys[at] = _context(int(lang), *(word[w][at] for w in used))
-                        if k == 2:
-                            contexts[at] = _context(int(lang), word["a"][at], word["b"][at])
-                yield as_batch(schema, {"kind": kinds, "key": keys.view(np.int64), "context": contexts.view(np.int64), "value": value.astype(np.float32)})
+                yield as_batch(schema, {"kind": kinds, "key": keys.view(np.int64), "value": value})
 
-        stored = materialize(rows.mapInArrow(key, ENTRY))
-    if stored.count() <= SENT_ENTRIES:
-        model = _sent(languages, unknown, stored)
-        release(stored)
-        return model
-    return Large(_sent(languages, unknown, stored.where("kind in (0, 3)")), stored)
-
-
-def _sent(languages: dict[str, int], unknown: np.ndarray, frame: DataFrame) -> Model:
-    entries = frame.select("kind", "key", "value").toArrow()
+        entries = rows.mapInArrow(key, ENTRY).toArrow()
     kinds, keys, values = entries.column("kind").to_numpy(), entries.column("key").to_numpy().view(np.uint64), entries.column("value").to_numpy()
     shards = [Shards.build(keys[kinds == k], values[kinds == k]) for k in range(5)]
     return Model(languages, unknown, tuple(shards[:3]), tuple(shards[3:]))
 
 
+# -- models too large to send ---------------------------------------------------------------------
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """The words() of texts, and empty ones at the ends."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words() of texts, one after the other, and how many each text has. Words of one
+    length up to eight bytes never meet."""
+    lists = _split(texts)
+    flat = lists.flatten()
+    _, at, data = flat.buffers()
+    ends = np.frombuffer(at, np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
+    own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = np.diff(ends) > 0
+    start, size = ends[:-1][some], np.diff(ends)[some]
+    held = np.concatenate([np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix64(size.astype(np.uint64) * _ORDER[0] + _ORDER[2])
+        rest = np.arange(len(h))
+        for k in range(0, 64, 8):
+            left = size[rest] - k
+            h[rest] = mix64(h[rest] ^ (eight[start[rest] + k] << (64 - 8 * np.minimum(left, 8)).astype(np.uint64)))
+            rest = rest[left > 8]
+            if not len(rest):
+                break
+    for i in rest:
+        h[i] = xxh3_64_intdigest(held[start[i] : start[i] + size[i]].tobytes())
+    return h, np.bincount(own[some], minlength=len(texts))
+
+
+def _words_of(texts: DataFrame) -> int:
+    """How many words the texts have."""
+    counted = map_text(texts.select("text"), "n long", lambda s: {"n": [int(np.count_nonzero(pc.binary_length(_split(s.column("text")).flatten()).to_numpy(zero_copy_only=False)))]})
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers: of those under 2 ** 32 the bytes of equal weight lie together."""
+    out = [np.array([len(arrays), *map(len, arrays), *(x.itemsize for x in arrays)], np.int64).tobytes()]
+    out += [x.tobytes() if x.itemsize == 8 else np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * k, 8)
+    at, out = 8 + 16 * k, []
+    for n, width in zip(head[:k].tolist(), head[k:].tolist(), strict=True):
+        part = np.frombuffer(raw, np.uint8, n * width, at)
+        out.append(part.view(np.uint64) if width == 8 else np.ascontiguousarray(part.reshape(width, n).T).reshape(-1).view(f"<u{width}"))
+        at += n * width
+    return out
+
+
+def _narrow(x: np.ndarray, most: int) -> np.ndarray:
+    return x.astype(np.uint16 if most <= 1 << 16 else np.uint32)
+
+
+def _block(a: np.ndarray, b: np.ndarray, c: np.ndarray, key: np.ndarray | None) -> bytes:
+    """Trigrams as numbers in the list of their words, the frequent ones first; by text, if keys of texts are given."""
+    ws, at, n = np.unique(np.concatenate([a, b, c]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(ws), np.int64)
+    place[order] = np.arange(len(ws))
+    x, y, z = _narrow(place[at], len(ws)).reshape(3, -1)
+    if key is None:
+        by = np.argsort(y, kind="stable")
+        return _packed([ws[order], x[by], y[by], z[by]])
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return _packed([ws[order], x, y, z, key[first], np.diff(np.append(first, len(key))).astype(np.uint32)])
+
+
+BLOCKS = "shard int, lang int, scored boolean, data binary"
+
+
+def _blocks(frame: DataFrame, languages: dict[str, int], shards: int, passes: int, turn: int, scored: bool) -> DataFrame:
+    """The trigrams of rows (lang, text) whose middle word belongs to this turn, as packed blocks for each shard."""
+    schema = arrow_schema(BLOCKS)
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def pack(lang: int) -> pa.RecordBatch:
+            shard, *arrays = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+            which, at = np.unique(shard[order], return_index=True)
+            parts = [_block(*(x[i] for x in arrays[:3]), arrays[3][i] if scored else None) for i in np.split(order, at[1:])]
+            return as_batch(schema, {"shard": which, "lang": [lang] * len(which), "scored": [scored] * len(which), "data": parts})
+
+        for batch in batches:
+            for s in text_slices(batch):
+                h, sizes = word_hashes(s.column("text"))
+                texts, langs = s.column("text"), s.column("lang").to_pylist()
+                number = np.array([languages.get(x, -1) for x in langs], np.int64)
+                keys = np.zeros(len(langs), np.uint64)
+                if scored:
+                    keys = text_keys(langs, texts)
+                keep = np.repeat(number >= 0, sizes)
+                some = (number >= 0) & (sizes > 0)
+                h, number, keys, sizes = h[keep], number[some], keys[some], sizes[some]
+                if not len(h):
+                    continue
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.arange(2, len(h) + 2) + 2 * own
+                seq = np.full(len(h) + 2 * len(sizes), _START, np.uint64)
+                seq[at] = h
+                middle = seq[at - 1]
+                shard = ((mix64(middle ^ _ORDER[1]) >> np.uint64(24)) % np.uint64(shards * passes)).astype(np.int64)
+                here = np.flatnonzero(shard % passes == turn)
+                for lang in np.unique(number):
+                    i = here[number[own[here]] == lang]
+                    if len(i):
+                        held.setdefault(int(lang), []).append((shard[i] // passes, seq[at[i] - 2], middle[i], h[i], keys[own[i]]))
+                        if sum(len(x[0]) for x in held[int(lang)]) >= BLOCK:
+                            yield pack(int(lang))
+        for lang in list(held):
+            yield pack(lang)
+
+    return frame.select("lang", "text").mapInArrow(lean(run), BLOCKS)
+
+
+def text_keys(langs: list[str], texts: pa.Array) -> np.ndarray:
+    return np.fromiter((xxh3_64_intdigest(t or "", xxh3_64_intdigest(x)) for x, t in zip(langs, texts.to_pylist(), strict=True)), np.uint64, len(langs))
+
+
+def _found(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of keys among the sorted ones we have, -1 where there is none."""
+    if not len(have):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return np.where(have[at] == keys, at, -1)
+
+
+class Trigrams:
+    """The counts of a shard's trusted trigrams, all those of its middle words."""
+
+    def __init__(self, blocks: list[list[np.ndarray]]):
+        self.words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in blocks)]), return_inverse=True)
+        self.size = len(self.words)
+        cuts, grams = np.cumsum([0, *(len(x[0]) for x in blocks)]), []
+        for k in (1, 2, 3):
+            grams.append(np.concatenate([np.zeros(0, np.int64), *(at[i:j][x[k]] for i, j, x in zip(cuts, cuts[1:], blocks, strict=False))]))
+        a, b, c = grams
+        self.pairs, at = np.unique(a * self.size + b, return_inverse=True)
+        self.grams, self.n3 = np.unique(at * self.size + c, return_counts=True)
+        self.pair, c = np.divmod(self.grams, max(1, self.size))
+        b = self.pairs[self.pair] % max(1, self.size)
+        self.twos, at = np.unique(b * self.size + c, return_inverse=True)
+        # Behind a start mark the n-grams themselves count, elsewhere the different words before.
+        self.n2 = np.bincount(at, np.where(self.words[b] == _START, self.n3, 1), len(self.twos)).astype(np.int64)
+        self.first, self.second = np.divmod(self.twos, max(1, self.size))
+
+    def weigh(self, less: np.ndarray) -> None:
+        """Discounted probabilities and weights of contexts; less: the discounts of orders 2 and 3 for 0 to 3 and more."""
+        for order, n, of, size in ((2, self.n2, self.first, self.size), (3, self.n3, self.pair, len(self.pairs))):
+            d = less[order - 2][np.minimum(n, 3)]
+            total = np.bincount(of, n, size)
+            with np.errstate(invalid="ignore"):
+                g = np.where(total > 0, np.bincount(of, d, size) / total, -1.0)
+            setattr(self, f"p{order}", np.maximum(n - d, 0.0) / total[of])
+            setattr(self, f"g{order}", g)
+
+    def score(self, block: list[np.ndarray], p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text of a block: its key, words here, and the sum of their ln p; p1: of the block's words."""
+        ws, a, b, c, keys, sizes = block
+        known = _found(self.words, ws)
+        p = p1[c]
+        a, b, c = known[a], known[b], known[c]
+        has = np.flatnonzero(b >= 0)
+        has = has[self.g2[b[has]] >= 0]
+        if len(has):
+            a, b, c = a[has], b[has], c[has]
+            two = np.where(c >= 0, _found(self.twos, b * self.size + c), -1)
+            q = np.where(two >= 0, self.p2[two], 0.0) + self.g2[b] * p[has]
+            pair = np.where(a >= 0, _found(self.pairs, a * self.size + b), -1)
+            deep = np.flatnonzero(pair >= 0)
+            if len(deep):
+                pair, c = pair[deep], c[deep]
+                gram = np.where(c >= 0, _found(self.grams, pair * self.size + c), -1)
+                q[deep] = np.where(gram >= 0, self.p3[gram], 0.0) + self.g3[pair] * q[deep]
+            p[has] = q
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[:-1]])
+        return keys, sizes.astype(np.int64), np.add.reduceat(np.log(np.maximum(p, 1e-12)), ends)
+
+
+def _dealt(blocks: DataFrame, shards: int) -> DataFrame:
+    return blocks.repartitionById(shards, "shard").sortWithinPartitions("shard", "lang", "scored")
+
+
+def _groups(batches):
+    """(shard and lang, scored, blocks) of a stream in the order of _dealt, the blocks as an iterator to be read to its end."""
+    rows = ((row, lang, scored, data) for batch in batches for row, lang, scored, data in zip(*(batch.column(x).to_pylist() for x in ("shard", "lang", "scored", "data")), strict=True))
+    for (shard, lang, scored), held in groupby(rows, key=lambda x: x[:3]):
+        yield (shard, lang), scored, (_unpacked(x[3]) for x in held)
+
+
+def _shards(*sizes: tuple[DataFrame, int]) -> int:
+    """Shards of one exchange, for the text of frames and the bytes of it that a shard gets. They grow with the
+    text alone, as each one that a text's words are dealt to gives a row for it."""
+    most = [(f.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] or 0) // n + 1 for f, n in sizes]
+    return max(2 * sizes[0][0].sparkSession.sparkContext.defaultParallelism, *most)
+
+
+def _fit_large(texts: DataFrame) -> Large:
+    languages = {lang: n for n, lang in enumerate(sorted(r["lang"] for r in texts.select("lang").distinct().collect()))}
+    schema, shards = arrow_schema("lang int, level int, key long, n long"), _shards((texts, SHARD_TRUSTED))
+
+    def count(batches):
+        """Before how many words a word has another (level 1); how many n-grams of the level have a count of 1 to 4."""
+        for (_, lang), _, blocks in _groups(batches):
+            t = Trigrams(list(blocks))
+            at, n = np.unique(t.second, return_counts=True)
+            levels, keys, ns = [np.ones(len(at), np.int64)], [t.words[at].view(np.int64)], [n]
+            for level, counts in ((2, t.n2), (3, t.n3)):
+                levels.append(np.full(4, level))
+                keys.append(np.arange(1, 5))
+                ns.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+            levels, keys, ns = map(np.concatenate, (levels, keys, ns))
+            yield as_batch(schema, {"lang": np.full(len(ns), lang), "level": levels, "key": keys, "n": ns})
+
+    counted = _dealt(_blocks(texts, languages, shards, 1, 0, False), shards).mapInArrow(lean(count), "lang int, level int, key long, n long")
+    with releasing() as keep:
+        found = keep(counted.groupBy("lang", "level", "key").agg(F.sum("n").alias("n"))).toArrow()
+    langs, levels, keys, n = (found.column(x).to_numpy() for x in ("lang", "level", "key", "n"))
+    less, unknown, all_keys, all_p = np.zeros((len(languages), 2, 4)), np.zeros(len(languages)), [], []
+    for lang in range(len(languages)):
+        for level in (2, 3):
+            at = (langs == lang) & (levels == level)
+            of = dict(zip(keys[at].tolist(), n[at].tolist(), strict=True))
+            less[lang, level - 2] = discounts([of.get(i, 0) for i in range(1, 5)])
+        at = np.flatnonzero((langs == lang) & (levels == 1))
+        if not len(at):
+            continue
+        ones = n[at]
+        d = np.array(discounts([int(np.count_nonzero(ones == i)) for i in range(1, 5)]))[np.minimum(ones, 3)]
+        # What the unigrams leave is shared evenly by all words of the language and one unknown word.
+        unknown[lang] = d.sum() / ones.sum() / (len(at) + 1)
+        all_keys.append(_context(lang, keys[at].view(np.uint64)))
+        all_p.append(np.maximum(ones - d, 0.0) / ones.sum() + unknown[lang])
+    ones = Shards.build(np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0), *all_p]))
+    return Large(texts, {x: i for x, i in languages.items() if unknown[i] > 0}, less, unknown, ones)
+
+
+SUMS = "key long, n long, log_p double"
+
+
+def _summed(docs: DataFrame, large: Large) -> DataFrame:
+    """perplexities() of a large model, as a stored table."""
+    schema, spark = arrow_schema(SUMS), docs.sparkSession
+    less, unknown, held = large.less, large.unknown, spark.sparkContext.broadcast(large.words)
+    shards = _shards((large.texts, PASSES * SHARD_TRUSTED), (docs, PASSES * SHARD_SCORED))
+
+    def score(batches):
+        t, of = None, None
+        for own, scored, blocks in _groups(batches):
+            lang = own[1]
+            if not scored or own != of:
+                t, of = Trigrams([] if scored else list(blocks)), own
+                t.weigh(less[lang])
+            if not scored:
+                continue
+            for block in blocks:
+                p1 = held.value.join(_context(lang, block[0]), 0.0).astype(float)
+                keys, n, log_p = t.score(block, np.where(p1 > 0, p1, unknown[lang]))
+                yield as_batch(schema, {"key": keys.view(np.int64), "n": n, "log_p": log_p})
+
+    def count(s: pa.RecordBatch) -> dict:
+        langs = s.column("lang").to_pylist()
+        return {"doc_id": s.column("doc_id"), "lang": langs, "n_words": word_hashes(s.column("text"))[1], "key": text_keys(langs, s.column("text")).view(np.int64)}
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    total = lambda f: f.groupBy("key").agg(F.sum("n").alias("n"), F.sum("log_p").alias("log_p"))
+    with releasing() as keep:
+        sums = None
+        for turn in range(PASSES):
+            parts = [_blocks(f, large.languages, shards, PASSES, turn, scored) for f, scored in ((large.texts, False), (docs, True))]
+            now = keep(total(_dealt(parts[0].unionByName(parts[1]), shards).mapInArrow(lean(score), SUMS)))
+            sums = now if sums is None else sums.unionByName(now)
+        counted = map_text(docs, "doc_id long, lang string, n_words long, key long", count)
+        value = F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n")))
+        return materialize(counted.join(total(sums), "key", "left").select("doc_id", "lang", "n_words", value.alias("perplexity")))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Large, DataFrame]:
     """The model, and the stored table (doc_id, held_out, used) of trusted documents: those held out are
     never used, all others are."""
@@ -238,77 +533,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | Large, DataFrame]
     return fit(drawn.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "text")), marked
 
 
-OCCURRENCE = "rid long, doc_id long, lang string, n_words long, done double, p float, g float, k2 long, context long, k3 long"
-
-
-def _occurrences(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each document, with n_words and the sum done of ln p of words whose context is unknown; and a row
-    for each other word, with its probability p without context, its context's weight g and the keys."""
-    schema, held = arrow_schema(OCCURRENCE), docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m, rid = held.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for s in text_slices(batch):
-                langs, lists = s.column("lang").to_pylist(), [words(t) for t in s.column("text").to_pylist()]
-                rids, done = np.arange(rid, rid + len(lists)), [None] * len(lists)
-                rid += len(lists)
-                for lang in sorted(set(langs) & set(m.languages)):
-                    mine = [i for i, x in enumerate(langs) if x == lang and lists[i]]
-                    if not mine:
-                        continue
-                    n = m.languages[lang]
-                    seq = np.concatenate([np.concatenate([[_START, _START], hashed(lists[i])]) for i in mine])
-                    sizes = np.array([len(lists[i]) for i in mine])
-                    at = np.arange(2, int(sizes.sum()) + 2) + 2 * np.repeat(np.arange(len(mine)), sizes)
-                    own = np.repeat(np.arange(len(mine)), sizes)
-                    w1, w2, w3 = seq[at - 2], seq[at - 1], seq[at]
-                    p, _, g = m.words(n, w2, w3)
-                    has = g >= 0
-                    sums = np.bincount(own[~has], np.log(np.maximum(p[~has], 1e-12)), len(mine))
-                    for i, x in zip(mine, sums, strict=True):
-                        done[i] = float(x)
-                    if has.any():
-                        w1, w2, w3, k = w1[has], w2[has], w3[has], int(has.sum())
-                        none = pa.nulls(k)
-                        keys = {"k2": _context(n, w2, w3), "context": _context(n, w1, w2), "k3": _context(n, w1, w2, w3)}
-                        yield as_batch(schema, {"rid": rids[mine][own[has]], "doc_id": none, "lang": none, "n_words": none, "done": none, "p": p[has].astype(np.float32), "g": g[has], **{x: v.view(np.int64) for x, v in keys.items()}})
-                # The documents' rows pass through the joins, dealt by their number, and meet nothing there.
-                own = mix64(rids.astype(np.uint64)).view(np.int64)
-                none = pa.nulls(len(lists))
-                yield as_batch(schema, {"rid": rids, "doc_id": s.column("doc_id"), "lang": langs, "n_words": [len(x) for x in lists], "done": done, "p": none, "g": none, "k2": own, "context": own, "k3": own})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(lean(run), OCCURRENCE)
-
-
-#: Lets the join with trigrams use the exchange by context that the join with weights made.
-_COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
-
-
-def _joined(docs: DataFrame, large: Large) -> DataFrame:
-    """perplexities() by joins, as a stored table."""
-    spark, e = docs.sparkSession, large.entries
-    two = e.where("kind = 1").select(F.col("key").alias("k2"), F.col("value").alias("a2"))
-    weight = e.where("kind = 4").select(F.col("key").alias("context"), F.col("value").alias("g3"))
-    tri = e.where("kind = 2").select("context", F.col("key").alias("k3"), F.col("value").alias("a3"))
-    p2 = F.coalesce("a2", F.lit(0.0).cast("float")) + F.col("g") * F.col("p")
-    p3 = F.when(F.col("g3").isNull(), F.col("p2")).otherwise(F.coalesce("a3", F.lit(0.0).cast("float")) + F.col("g3") * F.col("p2"))
-    found = _occurrences(docs, large.model).join(two, "k2", "left").withColumn("p2", p2).drop("k2", "a2", "p", "g")
-    found = found.join(weight, "context", "left").join(tri, ["context", "k3"], "left").withColumn("p3", p3).withColumn("log_p", F.when(F.col("p3").isNotNull(), F.log(F.greatest("p3", F.lit(1e-12)))))
-    sums = found.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "lang", "n_words", "done")], F.coalesce(F.sum("log_p"), F.lit(0.0)).alias("log_p"))
-    out = sums.select("doc_id", "lang", "n_words", F.exp(-(F.col("done") + F.col("log_p")) / F.col("n_words")).alias("perplexity"))
-    before = spark.conf.get(_COPARTITION, None)
-    spark.conf.set(_COPARTITION, "false")
-    try:
-        return materialize(out)
-    finally:
-        spark.conf.unset(_COPARTITION) if before is None else spark.conf.set(_COPARTITION, before)
-
-
 def perplexities(docs: DataFrame, model: Model | Large) -> DataFrame:
     """(doc_id, lang, n_words, perplexity): perplexity is null without words or without a model."""
     if isinstance(model, Large):
-        return _joined(docs, model)
+        return _summed(docs, model)
     held = docs.sparkSession.sparkContext.broadcast(model)  # SENT_ENTRIES at most
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
@@ -341,8 +569,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 def _classify(docs: DataFrame, labels: DataFrame, quantile: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     model, trusted = train(docs, labels)
     keep(trusted)
-    if isinstance(model, Large):
-        keep(model.entries)
     scored = keep(perplexities(docs, model))
     length = F.lit(len(LENGTHS))
     for i in reversed(range(len(LENGTHS))):

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -404,6 +405,25 @@ def test_quality_counts_all_trusted_text(spark, docs, corpus, monkeypatch):
     assert all(abs(a[3] - b[3]) <= 1e-4 * abs(a[3]) for a, b in zip(sent, joined, strict=True))
 
 
+def test_quality_writes_less_than_its_disk(spark, monkeypatch):
+    """The n-grams of a model too large to send were stored and exchanged as rows, of several times the input."""
+    monkeypatch.setattr(quality, "SENT_ENTRIES", 10)
+    d, written = "/root/testdata/sf0.1", lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert queries.op4_quality(spark, d).count() == queries.table(spark, d, "documents").count()
+    assert written() - before <= 1.5 * sum(os.path.getsize(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+
+
+def test_word_hashes_are_those_of_words():
+    texts = [None, "", " ", " A  b\tab", "a\x0b\x0cb\x1cc \u00c4 \u00e4", "abcdefgh abcdefghi ABCDEFGH abcdefg", "x" * 64 + " " + "x" * 65 + " " + "x" * 200 + "y " + "x" * 200 + "z " + "X" * 65, "a\x00 a"]
+    lists = [common.words(t) for t in texts]
+    for arr in (pa.array(texts), pa.array(["pad", *texts, "pad"]).slice(1, len(texts))):
+        h, sizes = quality.word_hashes(arr)
+        assert sizes.tolist() == list(map(len, lists))
+        flat = [w for ws in lists for w in ws]
+        assert len({*zip(flat, h.tolist(), strict=True)}) == len(set(flat)) == len(set(h.tolist()))
+
+
 def test_quality_edges(spark, docs, empty, corpus):
     labels = spark.createDataFrame([(d, 1, 0, "x") for d, *_ in corpus if d is not None] + [(None, 1, 0, "x"), (0, None, None, "x")], "doc_id long, quality int, toxic int, kept string")
     out = quality.classify(docs, labels).collect()
