@@ -234,22 +234,34 @@ def fit(texts: DataFrame) -> Model | Large:
 # -- models too large to send ---------------------------------------------------------------------
 
 
-def _split(texts: pa.Array) -> pa.Array:
-    """The words() of texts, and empty ones at the ends."""
-    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+#: A-Z lower-cased, ASCII white space as blanks.
+_LOWER = np.frombuffer(bytes(32 if chr(i) in " \t\n\r\x0b\x0c" else i + 32 * (65 <= i <= 90) for i in range(256)), np.uint8)
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts with _LOWER, where their words() begin and end there, and how many each text has."""
+    texts = pc.fill_null(texts, "")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, at, data = texts.buffers()
+    bounds = np.frombuffer(at, wide, len(texts) + 1, np.dtype(wide).itemsize * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = _LOWER[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    inside = raw != 32
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    cut = bounds[(bounds > 0) & (bounds < len(raw))]
+    begins[cut] = inside[cut]
+    ends[cut - 1] = inside[cut - 1]
+    start = np.flatnonzero(begins)
+    return raw, start, np.flatnonzero(ends) + 1, np.diff(np.searchsorted(start, bounds))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words() of texts, one after the other, and how many each text has. Words of one
     length up to eight bytes never meet."""
-    lists = _split(texts)
-    flat = lists.flatten()
-    _, at, data = flat.buffers()
-    ends = np.frombuffer(at, np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
-    own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    some = np.diff(ends) > 0
-    start, size = ends[:-1][some], np.diff(ends)[some]
-    held = np.concatenate([np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    raw, start, end, counts = _split(texts)
+    size, held = end - start, np.concatenate([raw, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
     with np.errstate(over="ignore"):
         h = mix64(size.astype(np.uint64) * _ORDER[0] + _ORDER[2])
@@ -262,12 +274,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
     for i in rest:
         h[i] = xxh3_64_intdigest(held[start[i] : start[i] + size[i]].tobytes())
-    return h, np.bincount(own[some], minlength=len(texts))
+    return h, counts
 
 
 def _words_of(texts: DataFrame) -> int:
     """How many words the texts have."""
-    counted = map_text(texts.select("text"), "n long", lambda s: {"n": [int(np.count_nonzero(pc.binary_length(_split(s.column("text")).flatten()).to_numpy(zero_copy_only=False)))]})
+    counted = map_text(texts.select("text"), "n long", lambda s: {"n": [len(_split(s.column("text"))[1])]})
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
