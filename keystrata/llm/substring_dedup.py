@@ -46,6 +46,9 @@ SPAN, SIDE = LENGTH - WINDOW + 1, (LENGTH - WINDOW) // 2
 #: Text in a slice, text bytes per bucket of triggers, and phrases of one trigger in a shard.
 SLICE_BYTES, BUCKET_BYTES, SHARD_PHRASES = 2 << 20, 16 << 20, 1 << 16
 LEAST_BUCKETS = 8
+#: Bits of a place among the windows looked at in a step, and strings in a step.
+PLACE_BITS = 14
+STEP = (1 << PLACE_BITS) - SPAN
 LAST = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D | 1
 
@@ -54,23 +57,49 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
 
-def window_hashes(b: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """The hash of the WINDOW bytes from each position, and the rolling hashes of 1, 2, 4, 8 and 16 bytes."""
-    h = b.astype(np.uint64) + np.uint64(1)
+def window_hashes(b: np.ndarray) -> np.ndarray:
+    """The rolling hash of the WINDOW bytes from each position, four bytes a digit."""
+    if len(b) < WINDOW:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        parts = {1: h}
-        for n in (1, 2, 4, 8):
-            x = parts[n]
-            parts[2 * n] = x[:-n] * _power(n) + x[n:] if len(x) > n else x[:0]
+        h = np.ndarray(len(b) - 3, "<u4", b, strides=(1,)).astype(np.uint64)
+        eight = h[:-4] * _power(4) + h[4:]
         n = len(b) - WINDOW + 1
-        return (mix64(parts[16][:n] * _power(8) + parts[8][16 : 16 + n]) if n > 0 else parts[16][:0]), parts
+        return (eight[:n] * _power(8) + eight[8 : 8 + n]) * _power(8) + eight[16 : 16 + n]
 
 
-def _side(parts: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Eight bits of the hash of the SIDE = 8 + 4 + 1 bytes from each position; any value outside the text."""
-    take = lambda n, at: parts[n][np.clip(at, 0, len(parts[n]) - 1)]
+def _word_at(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes of b from each place as a big-endian number, whose order is that of the bytes."""
+    return np.ndarray(len(b) - 7, ">u8", b, strides=(1,))[at].astype(np.uint64)
+
+
+def _side(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bits of the hash of the SIDE = 8 + 5 bytes from each position, read as two words that overlap; any
+    value outside the text."""
+    one, other = (_word_at(b, np.clip(x, 0, len(b) - 8)) for x in (at, at + SIDE - 8))
     with np.errstate(over="ignore"):
-        return mix64(take(8, at) * _power(5) + take(4, at + 8) * _power(1) + take(1, at + 12)) & np.uint64(0xFF)
+        return mix64(mix64(one) * np.uint64(_BASE) + other) & np.uint64(0xFF)
+
+
+def _smallest_windows(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the smallest window of each LENGTH bytes is, the rolling hash of each window). STEP strings at a time, whose
+    numbers stay in a core's cache."""
+    n = len(b) - LENGTH + 1
+    at, hashes = np.empty(n, np.int32), np.empty(len(b) - WINDOW + 1, np.uint64)
+    # The same bits decide everywhere, however long slice and step are; the leftmost of equal ones is taken.
+    low = np.uint32((1 << PLACE_BITS) - 1)
+    number = np.arange(STEP + SPAN, dtype=np.uint32)
+    for x in range(0, n, STEP):
+        h = window_hashes(b[x : x + STEP + LENGTH - 1])
+        hashes[x : x + len(h)] = h
+        with np.errstate(over="ignore"):
+            m = (h * np.uint64(_BASE) >> np.uint64(32)).astype(np.uint32) & ~low | number[: len(h)]
+        k = len(h) - SPAN + 1
+        for step in (1, 2, 4, 8):
+            m = np.minimum(m[:-step], m[step:])
+        m = np.minimum(m[:k], m[SPAN - 16 : SPAN - 16 + k])
+        at[x : x + k] = (m & low).view(np.int32) + np.int32(x)
+    return at, hashes
 
 
 def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -80,25 +109,18 @@ def triggers(b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(b) - LENGTH + 1
     if n <= 0:
         return none
-    h, parts = window_hashes(b)
-    # The same bits decide in each slice, whatever its length; the leftmost of equal ones is taken.
-    low = np.uint64(0xFFFFFFFF)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    m = key
-    for step in (1, 2, 4, 8):
-        m = np.minimum(m[:-step], m[step:])
-    m = np.minimum(m[:n], m[SPAN - 16 : SPAN - 16 + n])
-    at = (m & low).astype(np.int64)
+    at, h = _smallest_windows(b)
     valid = doc[:n] == doc[LENGTH - 1 :]
     first = valid.copy()
     first[1:] &= (at[1:] != at[:-1]) | ~valid[:-1] | (doc[1:n] != doc[: n - 1])
     starts = np.flatnonzero(first)
     if not len(starts):
         return none
-    number = np.cumsum(first)[valid] - 1
-    where = at[starts]
-    sides = _side(parts, where - SIDE) << np.uint64(8) | _side(parts, where + WINDOW)
-    return h[where], sides, starts, np.bincount(number, minlength=len(starts)), where - starts
+    last = valid.copy()
+    last[:-1] &= first[1:] | ~valid[1:]
+    where = at[starts].astype(np.int64)
+    sides = _side(b, where - SIDE) << np.uint64(8) | _side(b, where + WINDOW)
+    return mix64(h[where]), sides, starts, np.flatnonzero(last) - starts + 1, where - starts
 
 
 def _slice_phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -128,10 +150,11 @@ ALONE, STANDS_FOR, KNOWN, STANDS_FOR_ANY = 0, 1, 2, 3
 MANY = 64
 
 
-def _pack(g: np.ndarray, doc: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, left: np.ndarray, kind: np.ndarray) -> bytes:
-    """g: 48 bits of the trigger's hash and 16 of its sides. Rows of doc and rid are listed once."""
-    rows, idx = np.unique(np.stack([doc, rid], axis=1), axis=0, return_inverse=True)
-    idx = idx.ravel()
+def _pack(texts: np.ndarray, g: np.ndarray, which: np.ndarray, start: np.ndarray, n: np.ndarray, left: np.ndarray, kind: np.ndarray) -> bytes:
+    """g: 48 bits of the trigger's hash and 16 of its sides. Each text's doc and rid, which texts has, are listed once."""
+    there = np.zeros(len(texts), bool)
+    there[which] = True
+    rows, idx = texts[there], (np.cumsum(there) - 1)[which]
     head = np.array([len(g), len(rows)], np.int64)
     parts = [head, rows, g.astype(np.uint64), idx.astype(np.uint16), (idx >> 16).astype(np.uint8), (start & 0xFFFF).astype(np.uint16), (start >> 16).astype(np.uint32), (n + 32 * kind).astype(np.uint8), left.astype(np.uint8)]
     return b"".join(p.tobytes() for p in parts)
@@ -177,17 +200,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("rid"), "text")
 
 
+def _bytes(s: pa.RecordBatch) -> list[bytes]:
+    """The texts of a slice, as they are in its buffers."""
+    return [t or b"" for t in s.column("text").cast(pa.binary()).to_pylist()]
+
+
 def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
+    few = np.uint16 if buckets <= 1 << 16 else np.int64  # numbers of 16 bits are sorted by counting
+
     def run(s: pa.RecordBatch) -> dict:
-        texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in s.column("text").to_pylist()]
-        which, h, sides, start, n, left = _slice_phrases(texts)
-        doc, rid = (s.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which] for c in ("doc", "rid"))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        which, h, sides, start, n, left = _slice_phrases(_bytes(s))
+        rows = np.stack([s.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "rid")], axis=1)
+        bucket = (h % np.uint64(buckets)).astype(few)
         g = (h >> np.uint64(16) << np.uint64(16)) | sides
-        order = np.lexsort((g, bucket))
-        g, doc, rid, start, n, left, bucket = (x[order] for x in (g, doc, rid, start, n, left, bucket))
+        order = np.argsort(g, kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        g, which, start, n, left, bucket = (x[order] for x in (g, which, start, n, left, bucket))
         kind = np.full(len(g), ALONE)
         if len(g):
+            rid = rows[which, 1]
             cut, sizes = _runs(g, bucket)
             several = _several(rid, cut)
             kind[np.repeat(several, sizes)] = KNOWN
@@ -198,14 +229,14 @@ def _trigger_rows(keyed: DataFrame, buckets: int) -> DataFrame:
             reps = np.concatenate([cut[several & ~inside], wide[hot]])
             rep_kind = np.repeat([STANDS_FOR, STANDS_FOR_ANY], [int((several & ~inside).sum()), int(hot.sum())])
             # Known rows only pass through, spread by their text; copies of a text stay together.
-            spread = (mix64(rid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            spread = (mix64(rows[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(few)[which]
             bucket = np.concatenate([np.where(kind == KNOWN, spread, bucket), bucket[reps]])
             kind = np.concatenate([kind, rep_kind])
-            g, doc, rid, start, n, left = (np.concatenate([x, x[reps]]) for x in (g, doc, rid, start, n, left))
+            g, which, start, n, left = (np.concatenate([x, x[reps]]) for x in (g, which, start, n, left))
             order = np.argsort(bucket, kind="stable")
-            g, doc, rid, start, n, left, kind, bucket = (x[order] for x in (g, doc, rid, start, n, left, kind, bucket))
+            g, which, start, n, left, kind, bucket = (x[order] for x in (g, which, start, n, left, kind, bucket))
         cut, sizes = _runs(bucket)
-        return {"bucket": bucket[cut], "blob": [_pack(*(x[a : a + k] for x in (g, doc, rid, start, n, left, kind))) for a, k in zip(cut, sizes, strict=True)]}
+        return {"bucket": bucket[cut], "blob": [_pack(rows, *(x[a : a + k] for x in (g, which, start, n, left, kind))) for a, k in zip(cut, sizes, strict=True)]}
 
     target = arrow_schema("bucket int, blob binary")
 
@@ -233,7 +264,7 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
             rest = np.flatnonzero(~take)
             h = g >> np.uint64(16)
             for key in (g >> np.uint64(8), (h << np.uint64(8)) | (g & np.uint64(0xFF))):
-                order = rest[np.argsort(key[rest], kind="stable")]
+                order = rest[np.argsort(key[rest])]
                 cut, sizes = _runs(key[order])
                 # A row that stands for two texts bears the mark of one: other rows of that text count too.
                 stands = np.logical_or.reduceat(kind[order] == STANDS_FOR, cut) if len(cut) else np.zeros(0, bool)
@@ -242,11 +273,13 @@ def _repeated(rows: DataFrame, buckets: int) -> DataFrame:
             take |= np.isin(h, anywhere)
             take &= (kind == ALONE) | (kind == KNOWN)
             at = np.flatnonzero(take)
-            at = at[np.lexsort((doc[at], start[at], rid[at]))]
-            at = at[_runs(rid[at], start[at])[0]]
+            at = at[np.lexsort((start[at], rid[at]))]
+            cut, _ = _runs(rid[at], start[at])
+            doc = np.minimum.reduceat(doc[at], cut) if len(cut) else doc[:0]
+            at = at[cut]
             for i in range(0, len(at), 100_000):
                 j = at[i : i + 100_000]
-                yield as_batch(schema, {"doc": doc[j], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j], "left": left[j]})
+                yield as_batch(schema, {"doc": doc[i : i + 100_000], "rid": rid[j], "h": h[j].astype(np.int64), "start": start[j], "n": n[j], "left": left[j]})
 
     return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, REPEATED)
 
@@ -273,9 +306,8 @@ def _phrases(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
         flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
         start, n, h, left = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         at, phrase = 0, []
-        for t, size in zip(s.column("text").to_pylist(), sizes.tolist(), strict=True):
-            b = t.encode("utf-8", "surrogatepass")
-            phrase += [b[x : x + k] for x, k in zip(start[at : at + size].tolist(), (n[at : at + size] + LENGTH - 1).tolist(), strict=True)]
+        for t, size in zip(_bytes(s), sizes.tolist(), strict=True):
+            phrase += [t[x : x + k] for x, k in zip(start[at : at + size].tolist(), (n[at : at + size] + LENGTH - 1).tolist(), strict=True)]
             at += size
         doc, rid = (np.repeat(s.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc", "rid"))
         c = np.fromiter(map(xxh3_64_intdigest, phrase), np.uint64, len(phrase)).view(np.int64)
@@ -301,6 +333,14 @@ def _words(rows: np.ndarray) -> list[np.ndarray]:
     return list(rows.view(">u8").astype(np.uint64).T)
 
 
+def _tie_keys(padded: np.ndarray, at: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """The suffixes of phrases from each place to the end of the trigger, as words filled up with zeros, and their lengths."""
+    masks = ~np.uint64(0) << np.arange(64, 0, -8, dtype=np.uint64) % np.uint64(64)
+    masks = np.array([0, *masks[1:], ~np.uint64(0)], np.uint64)
+    words = [_word_at(padded, at + i) & masks[np.clip(before + WINDOW - i, 0, 8)] for i in range(0, LENGTH, 8)]
+    return [*words, before]
+
+
 def parse_ranks(follows: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The suffix array of the parse up to the horizon, as the rank of what follows each phrase; equal ranks for equal ones."""
     keys = [*_words(follows), lens]
@@ -325,17 +365,38 @@ def corpus_order(phrases: list[bytes], left: np.ndarray, h: np.ndarray) -> tuple
     # The parse: from the trigger to the horizon of the phrase's last string.
     follows = _rows(b, begin + left, lens - left)
     rank = parse_ranks(follows, lens - left)[which]
-    # The dictionary: the suffix of a string's phrase, up to the end of the trigger.
+    # The dictionary: the suffix of a string's phrase, up to the end of the trigger. The trigger and the first
+    # bytes decide most of the order; the rest is compared where they are equal, and sorted where it differs.
     offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    before = left[which] - offset
-    suffix = [h[which], *_words(_rows(b, begin[which] + offset, before + WINDOW)), before]
-    order = np.lexsort([rank, *suffix[::-1]])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in suffix:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
+    before, at = left[which] - offset, begin[which] + offset
+    padded = np.concatenate([b, np.zeros(64, np.uint8)])
+    trigger = np.unique(h, return_inverse=True)[1].astype(np.uint64)
+    bits = np.uint64(max(16, int(trigger.max()).bit_length()))
+    key = trigger[which] << np.uint64(64) - bits | _word_at(padded, at) >> bits
+    order = np.argsort(key, kind="stable")
+    cut, sizes = _runs(key[order])
+    tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    run = np.repeat(np.arange(len(cut)), sizes)[tied]
+    keys = _tie_keys(padded, at[order[tied]], before[order[tied]])
+    ranks = rank[order[tied]]
+    inner = run[1:] == run[:-1]
+    unlike = np.zeros(len(tied), bool)
+    for k in (*keys, ranks):
+        unlike[1:] |= inner & (k[1:] != k[:-1])
+    mixed = np.zeros(len(cut), bool)
+    mixed[run[unlike]] = True
+    part = np.flatnonzero(mixed[run])
+    to = np.arange(len(tied))
+    to[part] = part[np.lexsort([ranks[part], *(k[part] for k in keys[::-1]), run[part]])]
+    order[tied] = order[tied[to]]
+    new = np.ones(len(order), bool)
+    new[tied[1:][inner]] = False
+    for k in keys:
+        k = k[to]
+        new[tied[1:]] |= k[1:] != k[:-1]
     # Equal suffixes: what follows has to agree for the rest of the string.
-    same = np.flatnonzero(~new[1:] & (rank[order[1:]] != rank[order[:-1]])) + 1
+    same = np.flatnonzero(~new)
+    same = same[rank[order[same]] != rank[order[same - 1]]]
     one, other = which[order[same]], which[order[same - 1]]
     rest = (LENGTH - before[order[same]])[:, None]
     new[same] = ((follows[one] != follows[other]) & (np.arange(follows.shape[1]) < rest)).any(axis=1)
@@ -360,12 +421,12 @@ def _smallest(dictionary: DataFrame, keep: Callable[[DataFrame], DataFrame]) ->
         ranked = doc[which][order]
         mins[order] = np.repeat(np.minimum.reduceat(ranked, groups), np.diff(np.append(groups, len(order))))
         counts = np.array([len(p) for p in phrases]) - LENGTH + 1
-        ends = np.cumsum(counts)
-        starts = ends - counts
+        starts = np.cumsum(counts) - counts
         lowest, highest = np.minimum.reduceat(mins, starts), np.maximum.reduceat(mins, starts)
         hot = t.column("shards").to_numpy() > 1
         varied = hot | (lowest < highest)
-        lists = [mins[a:e] if v else None for a, e, v in zip(starts.tolist(), ends.tolist(), varied.tolist(), strict=True)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(varied, counts, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mins[np.repeat(varied, counts)]), mask=pa.array(~varied))
         digests = [[xxh3_128_digest(p[i : i + LENGTH]) for i in range(len(p) - LENGTH + 1)] if x else None for p, x in zip(phrases, hot.tolist(), strict=True)]
         return as_batch(schema, {"h": t.column("h").to_numpy(), "c": t.column("c").to_numpy(), "merged": ~hot, "lowest": lowest, "highest": highest, "mins": lists, "digests": digests})
 
@@ -435,8 +496,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
         def run(s: pa.RecordBatch) -> dict:
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-            for t, found, copy in zip(s.column("text").to_pylist(), s.column("found").to_pylist(), s.column("copy").to_pylist(), strict=True):
-                b = t.encode("utf-8", "surrogatepass") if t else b""
+            for b, found, copy in zip(_bytes(s), s.column("found").to_pylist(), s.column("copy").to_pylist(), strict=True):
                 x = np.array(found or [], np.int64)[:, None]
                 bits = np.arange(SPAN)
                 starts = ((x >> SPAN) + bits)[(x >> bits & 1).astype(bool)]

@@ -936,6 +936,52 @@ def test_corpus_order():
     assert all(of.setdefault(x, t) == t for x, t in zip(strings, trigger, strict=True))  # equal strings have the same trigger
 
 
+def test_corpus_order_costs_less_than_sorting_all_bytes():
+    """Only strings that begin alike are sorted by all their bytes. (When all were, the check took 961 CPU seconds a GB.)"""
+    rng = np.random.default_rng(22)
+    base = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 60_000)
+    texts = []
+    for a in rng.integers(0, 59_000, 600).tolist():
+        text = base[a : a + 500].copy()
+        text[rng.integers(0, 500, 10)] = ord("x")
+        texts.append(text.tobytes())
+    found = zip(*(x.tolist() for x in substring_dedup._slice_phrases(texts)), strict=True)
+    entries = sorted({(h, texts[w][s : s + n + 49], left) for w, h, _, s, n, left in found})
+    h, phrases, left = (list(x) for x in zip(*entries, strict=True))
+    h, left = np.array(h, np.uint64).view(np.int64), np.array(left)
+    strings = b"".join(p[i : i + 50] + b"\0" * 6 for p in phrases for i in range(len(p) - 49))
+    words = np.frombuffer(strings, ">u8").reshape(-1, 7).astype(np.uint64).T
+
+    def cost(run):
+        times = []
+        for _ in range(3):
+            began = time.thread_time()
+            run()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    order, sort = cost(lambda: substring_dedup.corpus_order(phrases, left, h)), cost(lambda: np.lexsort(words[::-1]))
+    assert order < 1.4 * sort, (order, sort)
+
+
+def test_triggers_across_steps(monkeypatch):
+    """The same phrases however many strings are looked at in a step; equal strings have the same trigger at the same place."""
+    rng = random.Random(23)
+    texts = [("".join(rng.choice("abé ") for _ in range(rng.randrange(0, 900))) + "ab" * rng.randrange(0, 90)).encode() for _ in range(30)] + [b"a" * 300, b"", b"a" * 50]
+    texts += [texts[0][7:600], b"x" + texts[1]]
+    found = []
+    for step in (substring_dedup.STEP, 100, 7, 1):
+        monkeypatch.setattr(substring_dedup, "STEP", step)
+        found.append([x.tolist() for x in substring_dedup._slice_phrases(texts)])
+    assert found[1:] == found[:1] * 3
+    which, h, _, start, n, left = found[0]
+    assert sum(n) == sum(max(len(t) - 49, 0) for t in texts)
+    of = {}
+    for w, g, s, k, a in zip(which, h, start, n, left, strict=True):
+        for i in range(k):
+            assert of.setdefault(texts[w][s + i : s + i + 50], (g, a - i)) == (g, a - i)
+
+
 def test_substrings_hot_and_sliced(spark, monkeypatch):
     """Small slices and shards: long texts in parts, hot triggers over many shards, periodic text."""
     monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 3000)
